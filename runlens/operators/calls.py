@@ -48,14 +48,15 @@ def file_io(events: DataFrame, block: Column | None = None) -> DataFrame:
     rows = (events.where((c("event_type") == "syscall") & c("error").isNull() & c("pid").isNotNull() & call.isin(used))
             .select("run_id", "pid", "seq", "syscall", "path", "fd", retval_int("retval").alias("ret")))
     opened = call.isin(names.OPEN_CALLS)
-    # A descriptor is known where it was returned (open) or named (the rest); without one the row touches no file.
+    # A descriptor is known where it was returned (open) or named (the rest); -1 stands for none and never holds a path.
     fd = F.when(~opened, c("fd").cast("long")).when((c("ret") >= 0) & _filled("path"), c("ret"))
+    fd = F.coalesce(fd, F.lit(-1).cast("long"))
     kind = F.when(opened, "open").when(call == "close", "close").when(call.isin(names.READ_CALLS), "read").otherwise("write")
-    rows = rows.select("run_id", "pid", "seq", "path", "ret", fd.alias("fd"), kind.alias("kind")).where(c("fd").isNotNull())
-    state = F.when(c("kind") == "open", c("path")).when(c("kind") == "close", "")
+    rows = rows.select("run_id", "pid", "seq", "path", "ret", fd.alias("fd"), kind.alias("kind"))
+    state = F.when((c("kind") == "open") & (c("fd") >= 0), c("path")).when(c("kind") == "close", "")
     keys = ["run_id", "pid", "fd"]
     seen = ordered_scan(rows, keys, ["seq"], block, held=last_known(state))
-    path = F.when(c("kind") == "open", c("path")).otherwise(F.nullif("held", F.lit("")))
+    path = F.when(c("fd") < 0, None).when(c("kind") == "open", c("path")).otherwise(F.nullif("held", F.lit("")))
     zero = F.lit(0).cast("long")
     failed = c("kind").isin("read", "write") & ~F.coalesce(c("ret") >= 0, F.lit(False))
     used = (seen.select("run_id", path.alias("path"), "kind", "ret", zero.alias("leak"))

@@ -60,7 +60,7 @@ def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_
 
     def spread(df: DataFrame, start: str, dur: str) -> DataFrame:
         out = df.withColumn("__own", _level(F.col(dur), base))
-        out = out.withColumn("__lv", F.explode(F.filter(levels, lambda x: x >= F.col("__own"))))
+        out = out.withColumn("__lv", F.explode(levels)).where(F.col("__lv") >= F.col("__own"))
         w = _width(F.col("__lv"), base)
         return out.withColumn("__bin", F.explode(F.sequence(
             F.floor(F.col(start) / w).cast("long"), F.floor((F.col(start) + F.col(dur)) / w).cast("long"))))
@@ -109,10 +109,10 @@ def coverage(spans: DataFrame, span_id: str, start: str, dur: str, intervals: Da
     line = (steps.withColumn("__sign", F.lit(0)).withColumn("__id", F.lit(None).cast(spans.schema[span_id].dataType))
             .unionByName(marks))
     order, block = ["__t", "__sign", "__id"], width_block("__t", block_ns)
-    active = ordered_scan(line, keys, order, block, __prev=prev("__t"),
+    active = ordered_scan(line, keys, order, block, shared=True, __prev=prev("__t"),
                           **{f"__a_{n}": running(t(f"__d_{n}")) for n in names})
     gap = t("__t") - F.coalesce(t("__prev.__t"), t("__t"))
     grown = active.select(*keys, *order, *[((t(f"__a_{n}") - t(f"__d_{n}")) * gap).alias(f"__g_{n}") for n in names])
-    area = ordered_scan(grown, keys, order, block, **{f"__f_{n}": running(t(f"__g_{n}")) for n in names})
+    area = ordered_scan(grown, keys, order, block, shared=True, **{f"__f_{n}": running(t(f"__g_{n}")) for n in names})
     return (area.where(t("__id").isNotNull()).groupBy(*keys, t("__id").alias(span_id))
             .agg(*[F.sum(t("__sign") * t(f"__f_{n}")).alias(n) for n in names]))

@@ -70,9 +70,20 @@ def running_max(value: Column) -> Carry:
     return Carry("max", value)
 
 
-def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column, **outs: Carry) -> DataFrame:
-    """Add one column per carry. `block` must be non-decreasing along `order`; keys must not be null."""
+def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column, *, shared: bool = False,
+                 **outs: Carry) -> DataFrame:
+    """Add one column per carry. `block` must be non-decreasing along `order`; keys must not be null.
+
+    The block summaries are a second, narrow, map-side-combined pass over `df`. Where producing `df` is the costly part
+    (a scan over a scan) and every column of it is used afterwards, `shared=True` makes both passes read one shuffle:
+    both ask for the same columns, so the exchange is reused and `df` is computed once.
+    """
     src = df.withColumn(_BLOCK, block)
+    if shared:
+        # The join below implies these filters for one side only; stated for both, the two shuffles stay equal.
+        for k in [*keys, _BLOCK]:
+            src = src.where(F.col(k).isNotNull())
+        src = src.repartition(*keys, _BLOCK)
     inside = Window.partitionBy(*keys, _BLOCK)
     asc = inside.orderBy(*order)
     desc = inside.orderBy(*[F.desc(c) for c in order])
@@ -123,7 +134,12 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column
             raise ValueError(carry.kind)
 
     scanned = src.select("*", *[c.alias(n) for n, c in local.items()])
-    summary = src.groupBy(*keys, _BLOCK).agg(*ends).select(*keys, _BLOCK, *carried)
+    if shared:
+        ends.append(F.bit_xor(F.xxhash64(*df.columns)).alias("__all"))
+    summary = src.groupBy(*keys, _BLOCK).agg(*ends)
+    if shared:
+        summary = summary.where(F.col("__all").isNotNull())
+    summary = summary.select(*keys, _BLOCK, *carried)
     # A key that fits in one block has nothing to carry, so most summary rows drop out before the join.
     temps = [f"__c_{n}" for n in outs]
     summary = summary.where(reduce(lambda a, b: a | b, [F.col(t).isNotNull() for t in temps]))
