@@ -23,4 +23,4 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def load_all() -> None:
-    from . import calls, spans  # noqa: F401
+    from . import calls, rules, series, spans  # noqa: F401
