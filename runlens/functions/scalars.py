@@ -168,7 +168,7 @@ def is_curation_noise(path: Column | str) -> Column:
 
 def command_name(command: Column | str) -> Column:
     word = F.get(F.split(F.trim(_c(command)), r"\s+"), F.lit(0))
-    base = F.regexp_extract(F.regexp_replace(word, "/+$", ""), "[^/]+$", 0)
+    base = F.regexp_extract(word, "[^/]*$", 0)
     return F.when(F.coalesce(base, F.lit("")) == "", "command").otherwise(base)
 
 
@@ -256,9 +256,13 @@ def run_class(status: Column, attach: Column, exit_code: Column) -> Column:
 
 
 def bytes_text(n: Column) -> Column:
+    """Half-even like the printed form elsewhere: a power-of-two division makes exact ties common."""
     v = n.cast("double")
     mag = F.abs(v)
-    return (F.when(F.coalesce(v, F.lit(0.0)) == 0, "0B").when(mag < 1024, F.format_string("%.0fB", v))
-            .when(mag < 1024 ** 2, F.format_string("%.1fKB", v / 1024))
-            .when(mag < 1024 ** 3, F.format_string("%.1fMB", v / 1024 ** 2))
-            .otherwise(F.format_string("%.1fGB", v / 1024 ** 3)))
+
+    def one(x: Column, unit: str) -> Column:
+        return F.format_string(f"%.1f{unit}", F.bround(x, 1))
+
+    return (F.when(F.coalesce(v, F.lit(0.0)) == 0, "0B").when(mag < 1024, F.format_string("%.0fB", F.bround(v, 0)))
+            .when(mag < 1024 ** 2, one(v / 1024, "KB")).when(mag < 1024 ** 3, one(v / 1024 ** 2, "MB"))
+            .otherwise(one(v / 1024 ** 3, "GB")))

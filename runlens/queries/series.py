@@ -153,7 +153,8 @@ def tree_samples(spark, d):
 @register("tree_io_rate", PROC + """
 , g AS (SELECT run_id, ts_us, rb - coalesce(lag(rb) OVER w, 0) AS r, wb - coalesce(lag(wb) OVER w, 0) AS w FROM proc WINDOW w AS (PARTITION BY run_id, pid ORDER BY ts_us)),
  t AS (SELECT run_id, ts_us, CAST(sum(r) AS BIGINT) AS r, CAST(sum(w) AS BIGINT) AS w FROM g GROUP BY 1, 2)
-SELECT run_id, ts_us, greatest(0.0, r / ((ts_us - lag(ts_us) OVER v) / 1000000.0)) AS io_read_bps,
- greatest(0.0, w / ((ts_us - lag(ts_us) OVER v) / 1000000.0)) AS io_write_bps FROM t WINDOW v AS (PARTITION BY run_id ORDER BY ts_us)""")
+, p AS (SELECT *, lag(ts_us) OVER (PARTITION BY run_id ORDER BY ts_us) AS t0 FROM t)
+SELECT run_id, ts_us, CASE WHEN t0 IS NOT NULL THEN greatest(0.0::DOUBLE, r / ((ts_us - t0) / 1000000.0)) END AS io_read_bps,
+ CASE WHEN t0 IS NOT NULL THEN greatest(0.0::DOUBLE, w / ((ts_us - t0) / 1000000.0)) END AS io_write_bps FROM p""")
 def tree_io_rate(spark, d):
     return ops.io_rate(_proc(spark, d))
