@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.scalars import (is_library_path, is_probe_path, peer_key, retval_int, severity_name, severity_rank,
                                  severity_score)
+from ..plans.rows import fan_out
 from ..plans.scan import ordered_scan, prev
 from ..plans.topk import top_k
 from . import calls, series
@@ -168,10 +169,9 @@ def _tags(t: Thresholds) -> dict[str, tuple[Column, Column]]:
 def matches(events: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
     """Every (event, rule) match with its group; one narrow pass plus the two rules that need an as-of state."""
     ev = events.where(c("event_type") != "libcall").select(*_EVENT_COLS)
-    tags = F.array(*[F.when(cond & key.isNotNull(), F.struct(F.lit(rid).alias("rule_id"), key.alias("grp")))
-                     for rid, (cond, key) in _tags(t).items()])
-    # Generate is a barrier: the conditions are evaluated once per event, not once per output column.
-    plain = ev.withColumn("m", F.explode(tags)).where(c("m").isNotNull()).select(*_EVENT_COLS, "m.rule_id", "m.grp")
+    tags = [F.when(cond & key.isNotNull(), F.struct(F.lit(rid).alias("rule_id"), key.alias("grp")))
+            for rid, (cond, key) in _tags(t).items()]
+    plain = fan_out(ev, _EVENT_COLS, tags, "m").select(*_EVENT_COLS, "m.rule_id", "m.grp")
     dials = calls.slow_dials(ev.withColumn("event_type", F.lit("syscall")), int(t.slow_net_ms * 1000), block).select(
         *_EVENT_COLS, F.lit("slow_network_connect").alias("rule_id"), F.lit("").alias("grp"))
     waits = calls.peer_waits(ev, int(t.downstream_read_min_ms * 1000), block).select(

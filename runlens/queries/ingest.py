@@ -10,6 +10,7 @@ from ..functions import names
 from ..functions.scalars import (container_label, cpu_quota_cores, is_library_path, is_probe_path, memory_limit_bytes, peer_key,
                                  pointer, retval_int, socket_address, unit_ms)
 from ..operators import catalog, latency, profiles
+from ..plans.rows import project_where
 from ..plans.scan import seq_block
 from ..sources import archive, logs, probes
 from ..sources import profiles as profile_files
@@ -22,19 +23,24 @@ def _s(col: Column | str) -> Column:
     return (c(col) if isinstance(col, str) else col).cast("string")
 
 
+def _read(lines: DataFrame) -> DataFrame:
+    """Derived lines as if a file had been read: what made them is not merged into the parser's filters."""
+    return project_where(lines, F.lit(True), c("run_id"), c("seq"), c("line"))
+
+
 EVENT_COLS = ["run_id", "seq", "ts_us", "pid", "event_type", "syscall", "retval", "error", "lat_us", "fd", "path"]
 
 
 @register("log_ingest", with_views("trace_events", sql=f"SELECT {', '.join(EVENT_COLS)} FROM trace_events"))
 def log_ingest(spark, d):
-    return logs.parse_log(view(spark, d, "log_lines"), block=seq_block()).select(*EVENT_COLS)
+    return logs.parse_log(_read(view(spark, d, "log_lines")), block=seq_block()).select(*EVENT_COLS)
 
 
 @register("split_log_ingest", with_views("trace_events", sql=f"""SELECT {', '.join(x for x in EVENT_COLS if x != 'seq')}, CASE WHEN seq % 3 = 0 THEN seq * 2 + 5
  ELSE seq * 2 END AS seq FROM trace_events"""))
 def split_log_ingest(spark, d):
     # Every third call is cut in two, and two other calls come in between.
-    whole = view(spark, d, "log_lines")
+    whole = _read(view(spark, d, "log_lines"))
     line, third = c("line"), c("seq") % 3 == 0
     first = F.concat(F.regexp_replace(line, r"\) = .*$", " <unfinished ...>"))
     rest = F.concat(F.regexp_extract(line, r"^(\S+ \S+) ", 1), F.lit(" <... "), F.regexp_extract(line, r"^\S+ \S+ (\w+)\(", 1),
@@ -43,7 +49,7 @@ def split_log_ingest(spark, d):
                                   F.struct((c("seq") * 2 + 5).alias("seq"), rest.alias("line")))).otherwise(
         F.array(F.struct((c("seq") * 2).alias("seq"), line.alias("line"))))
     cut = whole.select("run_id", F.explode(parts).alias("p")).select("run_id", "p.*")
-    return logs.parse_log(cut, block=seq_block()).select(*EVENT_COLS)
+    return logs.parse_log(_read(cut), block=seq_block()).select(*EVENT_COLS)
 
 
 @register("library_log_ingest", with_views("trace_events", sql="""
@@ -53,7 +59,7 @@ def library_log_ingest(spark, d):
     line = c("line")
     marked = F.when(c("seq") % 2 == 0, F.regexp_replace(line, r"^(\S+ \S+ \w+)\(", "$1@SYS(")).otherwise(line)
     boxed = F.when(c("seq") % 5 == 0, F.regexp_replace(marked, r"^(\d+) ", "[pid $1] ")).otherwise(marked)
-    return logs.parse_log(view(spark, d, "log_lines").withColumn("line", boxed), logs.LIBRARY_LOG, seq_block()).select(*EVENT_COLS)
+    return logs.parse_log(_read(_read(view(spark, d, "log_lines")).withColumn("line", boxed)), logs.LIBRARY_LOG, seq_block()).select(*EVENT_COLS)
 
 
 def _dump_lines(docs: DataFrame) -> DataFrame:
@@ -74,7 +80,7 @@ def _dump_lines(docs: DataFrame) -> DataFrame:
  CASE doc_id % 2 WHEN 0 THEN 'stdout' ELSE 'stderr' END AS stream, text FROM documents WHERE text <> ''""")
 def program_output(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
-    return logs.program_output(_dump_lines(docs), seq_block("seq", 24))
+    return logs.program_output(_read(_dump_lines(docs)), seq_block("seq", 24))
 
 
 # --- probes ----------------------------------------------------------------------------------------------------------
@@ -93,14 +99,14 @@ def _request_lines(spark, d):
 @register("request_ingest", with_views("http_spans", sql="""
 SELECT run_id, tid, start_ns, dur_ns, method, route, status FROM http_spans WHERE span_id % 10 <> 3"""))
 def request_ingest(spark, d):
-    return probes.http_spans(_request_lines(spark, d)).select("run_id", "tid", "start_ns", "dur_ns", "method", "route", "status")
+    return probes.http_spans(_read(_request_lines(spark, d))).select("run_id", "tid", "start_ns", "dur_ns", "method", "route", "status")
 
 
 @register("recent_spans", with_views("http_spans", sql="""
 , n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY span_id DESC) AS back FROM http_spans WHERE span_id % 10 <> 3)
 SELECT run_id, start_ns, dur_ns FROM n WHERE back <= 1200"""))
 def recent_spans(spark, d):
-    return probes.http_spans(_request_lines(spark, d), keep=1200).select("run_id", "start_ns", "dur_ns")
+    return probes.http_spans(_read(_request_lines(spark, d)), keep=1200).select("run_id", "start_ns", "dur_ns")
 
 
 @register("query_ingest", with_views("db_spans", sql="""
@@ -110,7 +116,7 @@ def query_ingest(spark, d):
     stmt = F.concat(F.lit("SELECT  a, 'x y"), _s("l_suppkey"), F.lit("'  FROM t WHERE p = "), _s("l_partkey"), F.lit(" AND s IN (1,"), _s("l_suppkey"), F.lit(")"))
     line = F.concat_ws(" ", F.lit("SQL"), _s("start_ns"), F.lit("9"), _s("tid"), _s("dur_ns"), stmt)
     lines = q.select("run_id", (c("l_orderkey") * 8 + c("l_linenumber")).alias("seq"), line.alias("line"))
-    return probes.db_spans(lines).select("run_id", "tid", "start_ns", "dur_ns", "statement", "name")
+    return probes.db_spans(_read(lines)).select("run_id", "tid", "start_ns", "dur_ns", "statement", "name")
 
 
 @register("interval_ingest", with_views("thread_intervals", sql="""
@@ -123,7 +129,7 @@ def interval_ingest(spark, d):
     line = F.when(c("kind") == "off", F.concat_ws(" ", F.lit("OFF"), _s("tid"), _s("start_ns"), _s("dur_ns"), code)).otherwise(
         F.concat_ws(" ", F.lit("RQ"), _s("tid"), _s("start_ns"), _s("dur_ns")))
     lines = iv.select("run_id", c("start_ns").alias("seq"), line.alias("line"))
-    return probes.thread_intervals(lines).select("run_id", "kind", "tid", "start_ns", "dur_ns", "reason")
+    return probes.thread_intervals(_read(lines)).select("run_id", "kind", "tid", "start_ns", "dur_ns", "reason")
 
 
 BUCKETS = """
@@ -177,7 +183,7 @@ def block_io_ingest(spark, d):
                        _s("l_orderkey"), _s(c("l_suppkey") * 512), ms)
     lines = li.select(run.alias("run_id"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("seq"), line.alias("line"))
     pids = li.where("l_partkey % 2 = 0").select(run.alias("run_id"), c("l_partkey").alias("pid"))
-    s = latency.block_io_stats(probes.block_io(lines, pids))
+    s = latency.block_io_stats(probes.block_io(_read(lines), pids))
     return s.select("run_id", "count", "p50_ms", "p99_ms", "max_ms", "read_count", "write_count", "bytes_total")
 
 
@@ -229,14 +235,14 @@ def text_stack_ingest(spark, d):
         return F.concat(F.lit("\t7ff31dab1d91 "), c(f), F.lit("+0x71 (/usr/lib64/app)"))
 
     lines = _many(_frames(spark, d), F.lit("job 712 22.5: 1249 cycles:"), frame("f2"), frame("f1"), frame("f0"), F.lit(""))
-    return _weights(profile_files.text_stacks(lines, seq_block()))
+    return _weights(profile_files.text_stacks(_read(lines), seq_block()))
 
 
 @register("collapsed_ingest", PARTS + "SELECT run_id, stack, CAST(sum(w) AS BIGINT) AS weight FROM p GROUP BY 1, 2")
 def collapsed_ingest(spark, d):
     f = _frames(spark, d)
     lines = _many(f, F.concat(F.concat_ws(";", "f0", "f1", "f2"), F.lit(" "), _s("weight")), F.lit("broken line x"), F.lit(""))
-    return _weights(profile_files.collapsed_stacks(lines))
+    return _weights(profile_files.collapsed_stacks(_read(lines)))
 
 
 @register("depth_stack_ingest", PARTS + "SELECT run_id, stack, count(*) AS weight FROM p GROUP BY 1, 2")
@@ -244,7 +250,7 @@ def depth_stack_ingest(spark, d):
     f = _frames(spark, d)
     lines = _many(f, F.concat(F.lit("0 "), c("f2"), F.lit(" /app/a.php:3")), F.lit("# note"), F.concat(F.lit("1 "), c("f1"), F.lit(" /app/b.php:9")),
                   F.concat(F.lit("2 "), c("f0"), F.lit(" -1")), F.lit(""))
-    return _weights(profile_files.depth_stacks(lines, seq_block()))
+    return _weights(profile_files.depth_stacks(_read(lines), seq_block()))
 
 
 @register("offcpu_stack_ingest", PARTS + "SELECT run_id, id % 3 AS tid, stack, CAST(sum(greatest(1, w * 700 // 1000)) AS BIGINT) AS weight FROM p GROUP BY 1, 2, 3")
@@ -254,7 +260,7 @@ def offcpu_stack_ingest(spark, d):
 
     lines = _many(_frames(spark, d), F.concat(F.lit("@ostk["), _s(c("id") % 3), F.lit(", ")), F.lit("        perf_trace_sched_switch+20"),
                   F.lit("        __schedule+1131"), frame("f2"), frame("f1"), frame("f0"), F.concat(F.lit("]: "), _s(c("weight") * 700)), F.lit("noise"))
-    return _weights(probes.offcpu_stacks(lines), "tid")
+    return _weights(probes.offcpu_stacks(_read(lines)), "tid")
 
 
 @register("sampled_json_ingest", """SELECT p_brand AS run_id, p_type || ';sz' || CAST(p_size % 5 AS VARCHAR) AS stack, CAST(sum(CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE p_size END) AS BIGINT) AS weight
@@ -300,12 +306,14 @@ def linked_json_ingest(spark, d):
  own AS (SELECT nd.run_id, nd.tid, path, CAST(sum(weight) AS BIGINT) AS value FROM nd JOIN tn USING (run_id, tid) GROUP BY 1, 2, 3, n HAVING sum(weight) >= greatest(1, round_even(n * 0.004::DOUBLE, 0))),
  wh AS (SELECT nd.run_id, path, CAST(sum(weight) AS BIGINT) AS value FROM nd JOIN rn USING (run_id) GROUP BY 1, 2, n HAVING sum(weight) >= greatest(1, round_even(n * 0.004::DOUBLE, 0))),
  sp AS (SELECT run_id, span_id, tid FROM http_spans)
-SELECT span_id, sp.run_id, path, value, false AS tid_unavailable FROM sp JOIN own ON own.run_id = sp.run_id AND own.tid = sp.tid UNION ALL
-SELECT span_id, sp.run_id, path, value, true FROM sp JOIN wh ON wh.run_id = sp.run_id WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.run_id = sp.run_id AND own.tid = sp.tid)"""))
+SELECT span_id, sp.run_id, count(*) AS nodes, CAST(sum(value) AS BIGINT) AS value, min(path) AS first_path, false AS tid_unavailable FROM sp JOIN own ON own.run_id = sp.run_id AND own.tid = sp.tid GROUP BY 1, 2 UNION ALL
+SELECT span_id, sp.run_id, count(*), CAST(sum(value) AS BIGINT), min(path), true FROM sp JOIN wh ON wh.run_id = sp.run_id WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.run_id = sp.run_id AND own.tid = sp.tid) GROUP BY 1, 2"""))
 def thread_drill(spark, d):
     spans = view(spark, d, "http_spans")
     s = view(spark, d, "stacks").select("run_id", (c("weight") % 3).alias("tid"), profiles.frames_of(c("folded")).alias("frames"), "weight")
-    return profiles.thread_flame(spans, s).select("span_id", "run_id", F.array_join("path", ";").alias("path"), "value", "tid_unavailable")
+    f = profiles.thread_flame(spans, s)
+    return f.groupBy("span_id", "run_id", "tid_unavailable").agg(F.count("*").alias("nodes"), F.sum("value").alias("value"),
+                                                                 F.min(F.array_join("path", ";")).alias("first_path"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------
