@@ -66,13 +66,23 @@ _SOURCE = {"trace_events": "events", "metrics": "events", "http_spans": "orders"
            "statements": "customer", "log_lines": "trace_events"}
 
 
+_KEY = {"events": "event_id", "orders": "o_orderkey", "lineitem": "l_orderkey", "part": "p_partkey", "pages": "page_id",
+        "customer": "c_custkey", "documents": "doc_id"}
+
+
+def spread(spark: SparkSession, table: DataFrame, key: str) -> DataFrame:
+    """A table in one small file is one scan task; give the cores after it something to do. Larger tables are left alone."""
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < min(cores, 4) else table
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A model view over the parquet tables of one scale-factor folder."""
     source = _SOURCE[name]
     if source in VIEWS:
         table = view(spark, sf_dir, source)
     else:
-        table = spark.read.parquet(f"{sf_dir}/{source}.parquet")
+        table = spread(spark, spark.read.parquet(f"{sf_dir}/{source}.parquet"), _KEY[source])
     table.createOrReplaceTempView(source)
     return spark.sql(VIEWS[name].replace("{us}", "unix_micros(CAST(ts AS TIMESTAMP))"))
 

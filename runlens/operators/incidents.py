@@ -14,7 +14,7 @@ from . import series
 
 c = F.col
 CONTEXT_US = 30_000_000
-WINDOW_BASE_US = 1 << 24  # context windows are a minute long: about four bins each
+WINDOW_BASE_BITS = 24  # 2**24 us, 17 s: context windows are a minute long: about four bins each
 
 
 @dataclass(frozen=True)
@@ -56,7 +56,7 @@ def collapse(alert_rows: DataFrame) -> DataFrame:
 def context(incidents: DataFrame, metrics: DataFrame, around_us: int = CONTEXT_US) -> DataFrame:
     """Each incident's samples within `around_us` of its time."""
     w = incidents.select("run_id", "incident_id", (c("ts_us") - around_us).alias("w_start"), F.lit(2 * around_us).cast("long").alias("w_len"))
-    return contain_join(metrics, "ts_us", w, "w_start", "w_len", ["run_id"], base=WINDOW_BASE_US).drop("w_start", "w_len")
+    return contain_join(metrics, "ts_us", w, "w_start", "w_len", ["run_id"], base_bits=WINDOW_BASE_BITS).drop("w_start", "w_len")
 
 
 def context_peaks(ctx: DataFrame) -> DataFrame:

@@ -13,8 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.scalars import (is_library_path, is_probe_path, peer_key, retval_int, severity_name, severity_rank,
-                                 severity_score)
+from ..functions.scalars import is_library_path, is_probe_path, peer_key, retval_int, severity_name, severity_rank
 from ..plans.rows import fan_out
 from ..plans.scan import ordered_scan, prev
 from ..plans.topk import top_k
@@ -99,6 +98,15 @@ CATALOG: list[tuple[str, str, str, str, list[str]]] = [
 ]
 SEVERITY = {r[0]: r[2] for r in CATALOG}
 
+
+def _by_rule(values: dict[str, str]) -> str:
+    """SQL text of a lookup by rule id: one expression instead of hundreds of Column calls on the driver."""
+    return "CASE rule_id " + " ".join(f"WHEN '{r}' THEN {v}" for r, v in values.items()) + " END"
+
+
+_SEVERITY_SQL = _by_rule({r: f"'{v}'" for r, v in SEVERITY.items()})
+_BASE_SQL = _by_rule({r: f"{names.SEVERITY_BASE[v]}D" for r, v in SEVERITY.items()})
+
 # Call sets of the rules.
 _OPENISH = names.OPEN_CALLS + ["access", "stat", "newfstatat"]
 _BLOCKING = [
@@ -166,12 +174,12 @@ def _tags(t: Thresholds) -> dict[str, tuple[Column, Column]]:
     }
 
 
-def matches(events: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
+def matches(events: DataFrame, t: Thresholds, block: Column | None = None, tags: dict | None = None) -> DataFrame:
     """Every (event, rule) match with its group; one narrow pass plus the two rules that need an as-of state."""
     ev = events.where(c("event_type") != "libcall").select(*_EVENT_COLS)
-    tags = [F.when(cond & key.isNotNull(), F.struct(F.lit(rid).alias("rule_id"), key.alias("grp")))
-            for rid, (cond, key) in _tags(t).items()]
-    plain = fan_out(ev, _EVENT_COLS, tags, "m").select(*_EVENT_COLS, "m.rule_id", "m.grp")
+    variants = [F.when(cond & key.isNotNull(), F.struct(F.lit(rid).alias("rule_id"), key.alias("grp")))
+                for rid, (cond, key) in (tags or _tags(t)).items()]
+    plain = fan_out(ev, _EVENT_COLS, variants, "m").select(*_EVENT_COLS, "m.rule_id", "m.grp")
     dials = calls.slow_dials(ev.withColumn("event_type", F.lit("syscall")), int(t.slow_net_ms * 1000), block).select(
         *_EVENT_COLS, F.lit("slow_network_connect").alias("rule_id"), F.lit("").alias("grp"))
     waits = calls.peer_waits(ev, int(t.downstream_read_min_ms * 1000), block).select(
@@ -194,9 +202,9 @@ def _worst_groups(m: DataFrame) -> DataFrame:
     return g.groupBy("run_id", "rule_id").agg(best).select("run_id", "rule_id", "b.*")
 
 
-def _names_of(events: DataFrame, t: Thresholds, rule: str, value: str, k: int | None) -> DataFrame:
+def _names_of(events: DataFrame, tags: dict, rule: str, value: str, k: int | None) -> DataFrame:
     """Sorted distinct values of one rule's matches, joined into a text (the first k of them). A narrow scan of its own."""
-    cond = _tags(t)[rule][0]
+    cond = tags[rule][0]
     d = events.where(cond & (F.coalesce(c(value), F.lit("")) != "")).select("run_id", c(value).alias("v")).distinct()
     if k is not None:
         d = top_k(d, ["run_id"], [F.asc("v")], k)
@@ -207,8 +215,8 @@ def _names_of(events: DataFrame, t: Thresholds, rule: str, value: str, k: int |
 def event_findings(events: DataFrame, t: Thresholds, metrics: DataFrame | None = None, runs: DataFrame | None = None,
                    block: Column | None = None) -> DataFrame:
     """R1-R5, R13, R15-R23."""
-    m = matches(events, t, block)
-    w = _worst_groups(m)
+    tags = _tags(t)
+    w = _worst_groups(matches(events, t, block, tags))
     rid, n = c("rule_id"), c("n")
     limit = {
         "repeated_open_same_file": n > t.repeated_open_min_opens, "failed_file_opens": n > t.failed_open_min,
@@ -229,8 +237,8 @@ def event_findings(events: DataFrame, t: Thresholds, metrics: DataFrame | None =
         others = others.unionByName(hit.where(rid == "spin_loop").join(busy_cpu, "run_id", "left_semi"))
     calls_only = events.where(c("event_type") != "libcall")
     # At most five paths, and at most the five network errors, per run.
-    listed = _names_of(calls_only, t, "failed_file_opens", "path", 5).unionByName(
-        _names_of(calls_only, t, "connection_error", "error", None))
+    listed = _names_of(calls_only, tags, "failed_file_opens", "path", 5).unionByName(
+        _names_of(calls_only, tags, "connection_error", "error", None))
     full = others.join(listed, ["run_id", "rule_id"], "left")
 
     s = n.cast("string")
@@ -268,18 +276,14 @@ def event_findings(events: DataFrame, t: Thresholds, metrics: DataFrame | None =
     return found
 
 
-def _case(by_rule: dict[str, Column | str]) -> Column:
-    out = F.lit(None).cast("string")
-    for r, v in by_rule.items():
-        out = F.when(c("rule_id") == r, v if isinstance(v, Column) else F.lit(v)).otherwise(out)
-    return out
-
-
-def _findings(df: DataFrame, title: dict[str, Column], detail: Column, n: Column, first: Column, last: Column) -> DataFrame:
-    sev = _case(SEVERITY)
+def _findings(df: DataFrame, title: dict[str, Column | str], detail: Column, n: Column, first: Column, last: Column) -> DataFrame:
+    head = F.lit(None).cast("string")
+    for r, v in title.items():
+        head = F.when(c("rule_id") == r, v).otherwise(head)
     group = [c("grp")] if "grp" in df.columns else [F.lit("").alias("grp")]
-    return df.select("run_id", "rule_id", sev.alias("severity"), severity_score(sev, n).alias("severity_score"),
-                     _case(title).alias("title"), detail.alias("description"), first.alias("first_seen_us"),
+    score = F.round(F.expr(_BASE_SQL) + F.least(n, F.lit(1000)) / 1000 * 9.99, 3)
+    return df.select("run_id", "rule_id", F.expr(_SEVERITY_SQL).alias("severity"), score.alias("severity_score"),
+                     head.alias("title"), detail.alias("description"), first.alias("first_seen_us"),
                      last.alias("last_seen_us"), n.cast("long").alias("occurrence_count"), *group)
 
 

@@ -27,7 +27,8 @@ def own_queries(http: DataFrame, db: DataFrame, db_key: list[str]) -> DataFrame:
     d = db.select(*THREAD, *db_key, "start_ns", "dur_ns")
     pairs = contain_join(d, "start_ns", h, "owner_start", "owner_dur", THREAD)
     owner = F.max(F.struct("owner_start", "owner_id", "owner_dur")).alias("o")
-    return pairs.groupBy(*THREAD, *db_key, "start_ns", "dur_ns").agg(owner).select(
+    # The query's own key leads: the aggregation sorts, and numbers sort faster than a run's name.
+    return pairs.groupBy(*db_key, "tid", "start_ns", "dur_ns", "run_id").agg(owner).select(
         *THREAD, *db_key, "start_ns", "dur_ns", c("o.owner_id").alias("owner_id"),
         c("o.owner_start").alias("owner_start"), c("o.owner_dur").alias("owner_dur"))
 

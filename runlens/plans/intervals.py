@@ -12,36 +12,37 @@ from pyspark.sql import functions as F
 
 from .scan import MONO_BLOCK_NS, ordered_scan, prev, running, width_block
 
-BASE_NS = 1 << 27   # 134 ms
+BASE_BITS = 27      # 2**27 ns: 134 ms
 _STEP_BITS = 3
 _LEVELS = 12        # the last width is 2**60 ns: longer than any capture
 
 
-def _width(level: Column, base: int) -> Column:
-    return F.call_function("shiftleft", F.lit(base).cast("long"), (level * _STEP_BITS).cast("int"))
+def _bin(at: Column, level: Column, base_bits: int) -> Column:
+    """Bin number on a level. Widths are powers of two: a shift is exact for any BIGINT, a division would not be."""
+    return F.call_function("shiftright", at, (level * _STEP_BITS + base_bits).cast("int"))
 
 
-def _level(dur: Column, base: int) -> Column:
+def _level(dur: Column, base_bits: int) -> Column:
     level = F.lit(0)
     for n in range(1, _LEVELS):
-        level = F.when(dur > F.lit(base << (_STEP_BITS * (n - 1))), n).otherwise(level)
+        level = F.when(dur > F.lit(1 << (base_bits + _STEP_BITS * (n - 1))), n).otherwise(level)
     return level
 
 
-def _levels_in(df: DataFrame, dur: str, base: int) -> Column:
+def _levels_in(df: DataFrame, dur: str, base_bits: int) -> Column:
     """Which levels occur, as a one-row subquery of at most a dozen integers."""
-    return df.select(F.sort_array(F.collect_set(_level(F.col(dur), base))).alias("levels")).scalar()
+    return df.select(F.sort_array(F.collect_set(_level(F.col(dur), base_bits))).alias("levels")).scalar()
 
 
 def contain_join(points: DataFrame, at: str, spans: DataFrame, start: str, dur: str, keys: list[str],
-                 base: int = BASE_NS, how: str = "inner") -> DataFrame:
+                 base_bits: int = BASE_BITS, how: str = "inner") -> DataFrame:
     """Pairs with start <= at <= start + dur on equal keys. Column names must not clash beyond `keys`."""
-    tagged = spans.withColumn("__lv", _level(F.col(dur), base))
-    w = _width(F.col("__lv"), base)
+    tagged = spans.withColumn("__lv", _level(F.col(dur), base_bits))
+    lv = F.col("__lv")
     binned = tagged.withColumn("__bin", F.explode(F.sequence(
-        F.floor(F.col(start) / w).cast("long"), F.floor((F.col(start) + F.col(dur)) / w).cast("long"))))
-    probes = (points.withColumn("__lv", F.explode(_levels_in(spans, dur, base)))
-              .withColumn("__bin", F.floor(F.col(at) / _width(F.col("__lv"), base)).cast("long")))
+        _bin(F.col(start), lv, base_bits), _bin(F.col(start) + F.col(dur), lv, base_bits))))
+    probes = (points.withColumn("__lv", F.explode(_levels_in(spans, dur, base_bits)))
+              .withColumn("__bin", _bin(F.col(at), lv, base_bits)))
     a, b = probes.alias("a"), binned.alias("b")
     cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
     cond += [F.col(at) >= F.col(start), F.col(at) <= F.col(start) + F.col(dur)]
@@ -53,24 +54,24 @@ def contain_join(points: DataFrame, at: str, spans: DataFrame, start: str, dur:
 
 
 def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_start: str, r_dur: str,
-                 keys: list[str], base: int = BASE_NS) -> DataFrame:
+                 keys: list[str], base_bits: int = BASE_BITS) -> DataFrame:
     """Pairs of intervals that share more than a point, each pair once."""
     levels = _levels_in(left.select(F.col(l_dur).alias("__d")).unionByName(right.select(F.col(r_dur).alias("__d"))),
-                        "__d", base)
+                        "__d", base_bits)
 
     def spread(df: DataFrame, start: str, dur: str) -> DataFrame:
-        out = df.withColumn("__own", _level(F.col(dur), base))
+        out = df.withColumn("__own", _level(F.col(dur), base_bits))
         out = out.withColumn("__lv", F.explode(levels)).where(F.col("__lv") >= F.col("__own"))
-        w = _width(F.col("__lv"), base)
+        lv = F.col("__lv")
         return out.withColumn("__bin", F.explode(F.sequence(
-            F.floor(F.col(start) / w).cast("long"), F.floor((F.col(start) + F.col(dur)) / w).cast("long"))))
+            _bin(F.col(start), lv, base_bits), _bin(F.col(start) + F.col(dur), lv, base_bits))))
 
     a, b = spread(left, l_start, l_dur).alias("a"), spread(right, r_start, r_dur).alias("b")
     cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
     first = F.greatest(F.col(l_start), F.col(r_start))
     # One home per pair: the coarser of the two levels, and there the bin of the later start.
     cond += [F.col("a.__lv") == F.greatest(F.col("a.__own"), F.col("b.__own")),
-             F.col("a.__bin") == F.floor(first / _width(F.col("a.__lv"), base)).cast("long"),
+             F.col("a.__bin") == _bin(first, F.col("a.__lv"), base_bits),
              F.least(F.col(l_start) + F.col(l_dur), F.col(r_start) + F.col(r_dur)) > first]
     rest = [c for c in right.columns if c not in keys]
     return a.join(b, _all(cond)).select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in rest])

@@ -10,15 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SPLIT = 8  # each power of two is cut into 2**8 buckets
+_PER_DOUBLING = 256
 
 
 def _bucket(value: Column) -> Column:
-    """Order-preserving bucket of a signed BIGINT: exponent, then the top mantissa bits."""
-    mag = F.abs(value).cast("long")
-    bits = F.when(mag == 0, 0).otherwise(F.length(F.bin(mag)))
-    top = F.when(bits <= _SPLIT, mag).otherwise(F.call_function("shiftright", mag, (bits - _SPLIT).cast("int")))
-    code = (bits * F.lit(1 << _SPLIT) + top).cast("long")
+    """Order-preserving bucket of a signed BIGINT, about 0.3 % wide: the logarithm never decreases, and that is enough."""
+    code = F.floor(F.log2(F.abs(value.cast("double")) + 1.0) * _PER_DOUBLING).cast("int")
     return F.when(value < 0, -code).otherwise(code)
 
 

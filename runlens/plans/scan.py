@@ -26,7 +26,7 @@ def seq_block(col: str = "seq", bits: int = SEQ_BLOCK_BITS) -> Column:
 
 
 def width_block(col: str, width: int) -> Column:
-    return F.floor(F.col(col) / F.lit(width)).cast("long")
+    return F.expr(f"`{col}` div {width}")
 
 
 @dataclass(frozen=True)

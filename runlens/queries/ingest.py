@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..adapters import view, with_views
+from ..adapters import spread, view, with_views
 from ..functions import names
 from ..functions.scalars import (container_label, cpu_quota_cores, is_library_path, is_probe_path, memory_limit_bytes, peer_key,
                                  pointer, retval_int, socket_address, unit_ms)
@@ -65,21 +65,20 @@ def library_log_ingest(spark, d):
 def _dump_lines(docs: DataFrame) -> DataFrame:
     """Each document as an output write and its hex dump, 16 bytes per line."""
     hexes = F.hex(F.encode("text", "UTF-8"))
-    n = F.ceil(F.length("hex") / 32).cast("int")
-    body = docs.select("doc_id", hexes.alias("hex"))
-    lines = body.select("doc_id", "hex", F.explode(F.sequence(F.lit(0), n)).alias("i"))
-    piece = F.rpad(F.rtrim(F.regexp_replace(F.substring(c("hex"), F.greatest(F.lit(1), (c("i") - 1) * 32 + 1), F.lit(32)), "(..)", "$1 ")), 49, " ")
     head = F.concat(F.lit("100 17000"), F.lpad(_s("doc_id"), 5, "0"), F.lit(".000001 write("), _s(c("doc_id") % 2 + 1),
                     F.lit(', "..."..., '), _s((F.length("hex") / 2).cast("long")), F.lit(") = 1 <0.000010>"))
-    dump = F.concat(F.lit(" | "), F.lpad(F.hex((c("i") - 1).cast("long") * 16), 5, "0"), F.lit("  "), piece, F.lit(" ab cd ................ |"))
-    return lines.select(F.concat(F.lit("run-"), _s(c("doc_id") % 5)).alias("run_id"),
-                        (c("doc_id") * (1 << 20) + c("i")).alias("seq"), F.when(c("i") == 0, head).otherwise(dump).alias("line"))
+    body = docs.select("doc_id", hexes.alias("hex"))
+    pieces = body.select("doc_id", F.posexplode(F.concat(F.array(head), F.regexp_extract_all("hex", F.lit("(.{1,32})"), F.lit(1)))).alias("i", "piece"))
+    cols = F.rpad(F.rtrim(F.regexp_replace("piece", "(..)", "$1 ")), 49, " ")
+    dump = F.concat(F.lit(" | "), F.lpad(F.hex((c("i") - 1).cast("long") * 16), 5, "0"), F.lit("  "), cols, F.lit(" ab cd ................ |"))
+    return pieces.select(F.concat(F.lit("run-"), _s(c("doc_id") % 5)).alias("run_id"),
+                         (c("doc_id") * (1 << 20) + c("i")).alias("seq"), F.when(c("i") == 0, c("piece")).otherwise(dump).alias("line"))
 
 
 @register("program_output", """SELECT 'run-' || CAST(doc_id % 5 AS VARCHAR) AS run_id, doc_id * 1048576 AS seq, (1700000000 + doc_id) * 1000000 + 1 AS ts_us,
  CASE doc_id % 2 WHEN 0 THEN 'stdout' ELSE 'stderr' END AS stream, text FROM documents WHERE text <> ''""")
 def program_output(spark, d):
-    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark, spark.read.parquet(f"{d}/documents.parquet"), "doc_id").select("doc_id", "text")
     return logs.program_output(_read(_dump_lines(docs)), seq_block("seq", 24))
 
 

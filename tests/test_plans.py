@@ -69,7 +69,7 @@ def test_contain_join(spark):
     spans, points = _intervals(1, 80, 5000, 4000), _intervals(2, 300, 6000, 2)
     s = spark.createDataFrame(spans, "run string, tid long, sid long, s0 long, sd long")
     p = spark.createDataFrame(points, "run string, tid long, pid long, at long, x long").drop("x")
-    got = sorted((r.pid, r.sid) for r in intervals.contain_join(p, "at", s, "s0", "sd", ["run", "tid"], base=4).collect())
+    got = sorted((r.pid, r.sid) for r in intervals.contain_join(p, "at", s, "s0", "sd", ["run", "tid"], base_bits=2).collect())
     want = sorted((b[2], a[2]) for a in spans for b in points if a[1] == b[1] and a[3] <= b[3] <= a[3] + a[4])
     assert got == want and len(got) > 100
 
@@ -78,7 +78,7 @@ def test_overlap_join_and_coverage(spark):
     left, right = _intervals(3, 90, 5000, 3000), _intervals(4, 200, 5000, 900)
     a = spark.createDataFrame(left, "run string, tid long, aid long, a0 long, ad long")
     b = spark.createDataFrame(right, "run string, tid long, bid long, b0 long, bd long")
-    got = sorted((r.aid, r.bid) for r in intervals.overlap_join(a, "a0", "ad", b, "b0", "bd", ["run", "tid"], base=8).collect())
+    got = sorted((r.aid, r.bid) for r in intervals.overlap_join(a, "a0", "ad", b, "b0", "bd", ["run", "tid"], base_bits=3).collect())
 
     def shared(x, y):
         return max(0, min(x[3] + x[4], y[3] + y[4]) - max(x[3], y[3])) if x[1] == y[1] else 0
