@@ -115,7 +115,8 @@ def patch_by_id(base: DataFrame, patches: DataFrame, key: list[str], order: str)
 
 
 def artifacts(files: DataFrame) -> DataFrame:
-    """A10: binary files -> name, size, digest, and whether a viewer may show them as text."""
+    """A10: binary files -> name, size, digest, and whether a viewer may show them as text. Spark's file source passes over
+    empty files, so those are not listed."""
     name = F.regexp_extract("path", "[^/]+$", 0)
     suffix = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     return files.select("path", name.alias("name"), F.length("content").cast("long").alias("size_bytes"),
