@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.quantile import at_ranks
-from ..plans.scan import TIME_BLOCK_US, last_known_incl, ordered_scan, prev, row_index, running, width_block
+from ..plans.scan import TIME_BLOCK_US, last_known, last_known_incl, ordered_scan, prev, row_index, running, width_block
 from ..plans.topk import top_k
 
 c = F.col
@@ -79,6 +79,11 @@ def alerts_with_rearm(samples: DataFrame, active: Column, quiet: int = 8, block:
     """
     block = block if block is not None else time_block()
     flagged = samples.select("run_id", "ts_us", F.coalesce(active, F.lit(False)).alias("on"))
+    if need == 1:
+        # The misses between two hits are consecutive, so their number alone says whether the latch opened in between.
+        counted = ordered_scan(flagged, RUN, TIME, block, misses=running(F.when(c("on"), 0).otherwise(1).cast("long")))
+        seen = ordered_scan(counted, RUN, TIME, block, shared=True, before=last_known(F.when(c("on"), c("misses"))))
+        return seen.where(c("on") & (c("before").isNull() | (c("misses") - c("before") >= quiet))).select("run_id", "ts_us")
     # Position in the current hot or quiet streak: the run's row number minus that of the streak's start.
     pos = ordered_scan(flagged, RUN, TIME, block, rn=running(F.lit(1).cast("long")),
                        before=prev("on"))

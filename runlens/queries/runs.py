@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import view, with_views
 from ..functions.scalars import bytes_text, command_name, run_class, run_label
 from ..operators import calls, catalog, compare, digest, incidents, profiles, rules, series, timeline
+from ..sources import archive
 from . import register
 from .rules import ALL, LIMITS, all_findings, rated_metrics, run_table
 from .profiles import _stacks
@@ -271,6 +272,33 @@ def live_findings(spark, d):
     return incidents.finding_view(_incidents(spark, d)).select("id", "rule_id", "first_seen_us", "last_seen_us", "occurrence_count")
 
 
+@register("incident_patches", with_views("metrics", sql=ALERTS + """
+, p AS (SELECT i.incident_id, max(a.ts_us) AS last_us, arg_max(a.severity, a.ts_us) FILTER (WHERE a.ts_us % 2 = 0) AS severity FROM inc i JOIN al a ON a.run_id = i.run_id
+  AND a.rule_id = i.rule_id WHERE a.ts_us % 5 <> 0 GROUP BY 1)
+SELECT i.incident_id, coalesce(upper(p.severity), i.severity) AS severity, coalesce(p.last_us, i.first_us) AS last_us FROM inc i LEFT JOIN p USING (incident_id)"""))
+def incident_patches(spark, d):
+    # The stored row is an incident's first firing; later firings patch it, some of them in one field only.
+    first = _incidents(spark, d).select("incident_id", "severity", c("first_us").alias("last_us"))
+    a = _alerts(spark, d)
+    patch = a.where("ts_us % 5 != 0").select(F.concat_ws(":", "run_id", "rule_id").alias("incident_id"),
+                                             F.when(c("ts_us") % 2 == 0, F.upper("severity")).alias("severity"), c("ts_us").alias("last_us"), "ts_us")
+    return catalog.patch_by_id(first, patch, ["incident_id"], "ts_us")
+
+
+@register("run_summaries", with_views("trace_events", "metrics", sql=ALL + """
+, t AS (SELECT run_id, syscall, count(*) AS n, min(seq) AS f FROM trace_events GROUP BY 1, 2),
+ tc AS (SELECT run_id, string_agg(syscall || 'x' || n, ',' ORDER BY n DESC, f) AS top_calls FROM t GROUP BY 1),
+ fl AS (SELECT run_id, string_agg(rule_id, ',' ORDER BY rule_id) AS findings FROM ff GROUP BY 1),
+ m AS (SELECT run_id, count(*) AS samples, max(rss_mb) AS peak_rss_mb FROM metrics GROUP BY 1)
+SELECT run_id, (SELECT count(*) FROM trace_events e WHERE e.run_id = runs.run_id) AS syscall_events, samples, peak_rss_mb, top_calls, findings
+FROM runs JOIN tc USING (run_id) JOIN m USING (run_id) LEFT JOIN fl USING (run_id)"""))
+def run_summaries(spark, d):
+    s = archive.run_summaries(run_table(spark, d), _ev(spark, d), view(spark, d, "metrics"), all_findings(spark, d))
+    top = F.array_join(F.transform("top_calls", lambda x: F.concat(x["syscall"], F.lit("x"), x["count"].cast("string"))), ",")
+    return s.select("run_id", "syscall_events", "samples", "peak_rss_mb", top.alias("top_calls"),
+                    F.array_join(F.transform("findings", lambda x: x["rule_id"]), ",").alias("findings"))
+
+
 @register("incident_digest")
 def incident_digest(spark, d):
     inc = _incidents(spark, d)

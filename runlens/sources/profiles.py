@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .lines import in_order, sections
+from .lines import in_order, read_lines, sections
 
 # One stack frame of a text profile, and names a runtime adds above the real roots.
 _FRAME = r"^\s+([0-9a-fA-F]+)\s+(.+?)(?:\+0x[0-9a-fA-F]+)?\s+\(([^)]*)\)\s*$"
@@ -58,7 +58,7 @@ _SAMPLED = T.StructType([
 ])
 
 
-def documents(spark: SparkSession, path: str) -> DataFrame:
+def documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One JSON document per file -> (run_id, doc)."""
     raw = spark.read.text(path, wholetext=True)
     file = F.col("_metadata.file_path")
@@ -93,7 +93,10 @@ def _walk(batches):
     for batch in batches:
         out = []
         for run_id, text in zip(batch["run_id"], batch["doc"]):
-            doc = json.loads(text)
+            try:
+                doc = json.loads(text)
+            except ValueError:
+                continue  # a capture that was cut off is no profile, and no reason to fail the others
             nodes = {n.get("id"): n for n in doc.get("nodes") or []}
             parent = {c: n.get("id") for n in nodes.values() for c in n.get("children") or []}
             deltas, weight = doc.get("timeDeltas") or [], {}
@@ -115,3 +118,17 @@ def _walk(batches):
 def linked_json(docs: DataFrame) -> DataFrame:
     """Node tree plus leaf ids: stacks come from walking parents. Weight is the *next* sample's time delta, else 1."""
     return docs.select("run_id", "doc").mapInPandas(_walk, "run_id string, frames array<string>, weight long")
+
+
+# The names collectors give their profile layouts.
+LINE_FORMATS = {"perf": text_stacks, "collapsed": collapsed_stacks, "phpspy": depth_stacks}
+DOCUMENT_FORMATS = {"speedscope": sampled_json, "cpuprofile": linked_json}
+
+
+def read_profiles(spark: SparkSession, path: str | list[str], fmt: str) -> DataFrame:
+    """Profiler files of one layout -> stacks. A text profile's unit is samples, microseconds for off-CPU stacks."""
+    if fmt in LINE_FORMATS:
+        return LINE_FORMATS[fmt](read_lines(spark, path))
+    if fmt in DOCUMENT_FORMATS:
+        return DOCUMENT_FORMATS[fmt](documents(spark, path))
+    raise ValueError(f"unknown profile format {fmt!r}: one of {sorted([*LINE_FORMATS, *DOCUMENT_FORMATS])}")

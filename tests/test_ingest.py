@@ -187,5 +187,22 @@ def test_archive_round_trips(spark, tmp_path):
     assert (one(m).ts_us, one(m).cpu_pct, one(m).rss_mb) == (1500, 2.0, None)
 
 
-def test_by_helper(spark):
-    assert set(by(lines(spark, ["a", "b"]), "line")) == {"a", "b"}
+def test_profile_files(spark, tmp_path):
+    (tmp_path / "one.txt").write_text("a;b 3\na;b 4\n")
+    (tmp_path / "two.json").write_text('{"nodes":[{"id":1,"callFrame":{"functionName":"f"}}],"samples":[1,1],"timeDeltas":[0,9]}')
+    (tmp_path / "cut.json").write_text('{"nodes":[{"id":1')
+    got = rows(profiles.read_profiles(spark, str(tmp_path / "one.txt"), "collapsed"), "run_id", "frames", "weight")
+    assert sorted(got) == [("one", ["a", "b"], 3), ("one", ["a", "b"], 4)]
+    assert rows(profiles.read_profiles(spark, str(tmp_path / "*.json"), "cpuprofile"), "run_id", "frames", "weight") == [("two", ["f"], 10)]
+    with pytest.raises(ValueError):
+        profiles.read_profiles(spark, str(tmp_path), "other")
+
+
+def test_summary_documents(spark, tmp_path):
+    ev = events(spark, [dict(syscall="read")], run="a")
+    runs = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    found = spark.createDataFrame([("a", "x", "low", "X")], "run_id string, rule_id string, severity string, title string")
+    m = spark.createDataFrame([("a", 1, 2.0, 3.0)], "run_id string, ts_us long, cpu_pct double, rss_mb double")
+    archive.write_json(archive.run_summaries(runs, ev, m, found), str(tmp_path / "s"))
+    back = by(archive.read_json(spark, str(tmp_path / "s"), archive.run_summaries(runs, ev, m, found).schema), "run_id")
+    assert back["a"].findings[0].rule_id == "x" and back["a"].top_calls[0]["count"] == 1 and back["b"].events is None
