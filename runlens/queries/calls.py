@@ -142,10 +142,12 @@ RATE_CTES = """
 
 
 @register("syscall_rate", with_views("trace_events", "metrics", sql=RATE_CTES.replace(
-    "FROM metrics", "FROM metrics WHERE open_fds % 4 = 1") + "SELECT run_id, ts_us, calls, syscall_rate FROM rate"))
+    "SELECT DISTINCT run_id, ts_us FROM metrics", "SELECT DISTINCT run_id, (ts_us // 3600000000 + 1) * 3600000000 AS ts_us FROM metrics")
+    + "SELECT run_id, ts_us, calls, syscall_rate FROM rate"))
 def syscall_rate(spark, d):
-    # Samples where k % 4 = 3: the whole event table is binned into a coarser clock, so the counts differ.
-    samples = view(spark, d, "metrics").where("open_fds % 4 = 1")
+    # A sample at each full hour after an event: bins of different length that hold different counts.
+    hour = ((F.floor(c("ts_us") / 3_600_000_000) + 1) * 3_600_000_000).cast("long")
+    samples = view(spark, d, "metrics").select("run_id", hour.alias("ts_us"))
     return ops.call_rate(view(spark, d, "trace_events"), samples)
 
 

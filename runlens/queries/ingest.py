@@ -85,24 +85,25 @@ def program_output(spark, d):
 # --- probes ----------------------------------------------------------------------------------------------------------
 
 def _request_lines(spark, d):
+    """Failed requests are never answered, posted ones are answered twice."""
     h = view(spark, d, "http_spans")
     req = F.concat_ws(" ", F.lit("REQ"), _s("start_ns"), F.lit("9"), _s("tid"), c("method"), F.concat(c("route"), F.lit("?x=1")), F.lit("HTTP/1.1"))
     rsp = F.concat_ws(" ", F.lit("RSP"), _s("start_ns"), _s(c("start_ns") + c("dur_ns")), _s("status"))
     base = c("span_id") * 4
     rows = F.array(F.struct(base.alias("seq"), req.alias("line")), F.struct((base + 1).alias("seq"), F.lit("Host: example").alias("line")),
-                   F.struct((base + 2).alias("seq"), F.when(c("span_id") % 10 != 3, rsp).alias("line")),
-                   F.struct((base + 3).alias("seq"), F.when(c("span_id") % 10 == 4, rsp).alias("line")))
+                   F.struct((base + 2).alias("seq"), F.when(c("status") != 500, rsp).alias("line")),
+                   F.struct((base + 3).alias("seq"), F.when((c("status") != 500) & (c("method") == "POST"), rsp).alias("line")))
     return h.select("run_id", F.explode(rows).alias("p")).select("run_id", "p.*").where(c("line").isNotNull())
 
 
 @register("request_ingest", with_views("http_spans", sql="""
-SELECT run_id, tid, start_ns, dur_ns, method, route, status FROM http_spans WHERE span_id % 10 <> 3"""))
+SELECT run_id, tid, start_ns, dur_ns, method, route, status FROM http_spans WHERE status <> 500"""))
 def request_ingest(spark, d):
     return probes.http_spans(_read(_request_lines(spark, d))).select("run_id", "tid", "start_ns", "dur_ns", "method", "route", "status")
 
 
 @register("recent_spans", with_views("http_spans", sql="""
-, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY span_id DESC) AS back FROM http_spans WHERE span_id % 10 <> 3)
+, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY span_id DESC) AS back FROM http_spans WHERE status <> 500)
 SELECT run_id, start_ns, dur_ns FROM n WHERE back <= 1200"""))
 def recent_spans(spark, d):
     return probes.http_spans(_read(_request_lines(spark, d)), keep=1200).select("run_id", "start_ns", "dur_ns")
@@ -169,7 +170,7 @@ def map_histogram_ingest(spark, d):
 
 
 @register("block_io_ingest", """WITH r AS (SELECT 'run-' || CAST(l_orderkey % 5 AS VARCHAR) AS run_id, CAST(round(l_extendedprice * 100) AS BIGINT) AS lat, l_partkey AS pid,
- CASE WHEN l_linenumber % 3 = 0 THEN 'W' ELSE 'R' END AS rw, l_suppkey * 512 AS b FROM lineitem WHERE l_partkey % 2 = 0),
+ CASE WHEN l_linenumber % 3 = 0 THEN 'W' ELSE 'R' END AS rw, l_suppkey * 512 AS b FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size >= 25)),
  n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY lat) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS n FROM r)
 SELECT run_id, count(*) AS "count", max(CASE WHEN i = round_even(0.5 * (n - 1), 0) THEN lat END) / 1000.0 AS p50_ms, max(CASE WHEN i = round_even(0.99 * (n - 1), 0) THEN lat END) / 1000.0 AS p99_ms,
  max(lat) / 1000.0 AS max_ms, count(*) FILTER (WHERE rw = 'R') AS read_count, count(*) FILTER (WHERE rw = 'W') AS write_count, CAST(sum(b) AS BIGINT) AS bytes_total FROM n GROUP BY 1""")
@@ -181,7 +182,8 @@ def block_io_ingest(spark, d):
     line = F.concat_ws(" ", F.lit("1.5"), F.lit("job"), _s("l_partkey"), F.lit("sda"), F.when(c("l_linenumber") % 3 == 0, "W").otherwise("R"),
                        _s("l_orderkey"), _s(c("l_suppkey") * 512), ms)
     lines = li.select(run.alias("run_id"), (c("l_orderkey") * 8 + c("l_linenumber")).alias("seq"), line.alias("line"))
-    pids = li.where("l_partkey % 2 = 0").select(run.alias("run_id"), c("l_partkey").alias("pid"))
+    big = spark.read.parquet(f"{d}/part.parquet").where("p_size >= 25").select(c("p_partkey").alias("l_partkey"))
+    pids = li.join(big, "l_partkey", "left_semi").select(run.alias("run_id"), c("l_partkey").alias("pid"))
     s = latency.block_io_stats(probes.block_io(_read(lines), pids))
     return s.select("run_id", "count", "p50_ms", "p99_ms", "max_ms", "read_count", "write_count", "bytes_total")
 

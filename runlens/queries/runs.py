@@ -158,12 +158,12 @@ def curated_events(spark, d):
   THEN lat_us END DESC NULLS LAST, CASE WHEN m.rule_id = 'slow_downstream_peer' THEN ts_us END, seq) AS rank FROM mt m JOIN ef
   ON ef.run_id = m.run_id AND ef.rule_id = m.rule_id AND ef.grp = m.grp WHERE m.rule_id <> 'no_connection_reuse')
 SELECT ef.run_id, ef.rule_id, coalesce((SELECT string_agg(CAST(seq AS VARCHAR), ',' ORDER BY rank) FROM s WHERE s.run_id = ef.run_id AND s.rule_id = ef.rule_id
- AND rank <= 20 AND seq % 2 = 0), '') AS ids FROM ef"""))
+ AND rank <= 20 AND seq IN (SELECT seq FROM trace_events WHERE error IS NOT NULL)), '') AS ids FROM ef"""))
 def evidence_links(spark, d):
-    # Only events with an even number are stored here, so some evidence stays without an id.
+    # Only failed calls are stored here, so some evidence stays without an id.
     ev = _ev(spark, d)
     found = rules.event_findings(ev, LIMITS, rated_metrics(spark, d), run_table(spark, d))
-    stored = ev.where("seq % 2 = 0").withColumn("event_id", c("seq").cast("string"))
+    stored = ev.where("error IS NOT NULL").withColumn("event_id", c("seq").cast("string"))
     linked = timeline.link_evidence(found, rules.evidence(ev, found, LIMITS), stored)
     return linked.select("run_id", "rule_id", F.array_join("evidence_ids", ",").alias("ids"))
 
@@ -274,13 +274,13 @@ def live_findings(spark, d):
 
 @register("incident_patches", with_views("metrics", sql=ALERTS + """
 , p AS (SELECT i.incident_id, max(a.ts_us) AS last_us, arg_max(a.severity, a.ts_us) FILTER (WHERE a.ts_us % 2 = 0) AS severity FROM inc i JOIN al a ON a.run_id = i.run_id
-  AND a.rule_id = i.rule_id WHERE a.ts_us % 5 <> 0 GROUP BY 1)
+  AND a.rule_id = i.rule_id GROUP BY 1)
 SELECT i.incident_id, coalesce(upper(p.severity), i.severity) AS severity, coalesce(p.last_us, i.first_us) AS last_us FROM inc i LEFT JOIN p USING (incident_id)"""))
 def incident_patches(spark, d):
     # The stored row is an incident's first firing; later firings patch it, some of them in one field only.
     first = _incidents(spark, d).select("incident_id", "severity", c("first_us").alias("last_us"))
     a = _alerts(spark, d)
-    patch = a.where("ts_us % 5 != 0").select(F.concat_ws(":", "run_id", "rule_id").alias("incident_id"),
+    patch = a.select(F.concat_ws(":", "run_id", "rule_id").alias("incident_id"),
                                              F.when(c("ts_us") % 2 == 0, F.upper("severity")).alias("severity"), c("ts_us").alias("last_us"), "ts_us")
     return catalog.patch_by_id(first, patch, ["incident_id"], "ts_us")
 
