@@ -106,3 +106,14 @@ def test_sliding_windows(spark, samples, tmp_path):
     key = ["run_id", "from_us", "points", "peak_rss_mb"]
     newest = got.join(got.groupBy("run_id", "from_us").agg(F.max("batch_id").alias("batch_id")), ["run_id", "from_us", "batch_id"])
     assert sorted(map(tuple, newest.select(*key).collect())) == sorted(map(tuple, twin.select(*key).collect()))
+
+
+def test_rollup_replaces_the_one_before(spark, tmp_path):
+    path, ms = str(tmp_path / "rollup"), 1_000_000
+    cols = "record string, run_id string, span_id long, db_id long, tid long, start_ns long, dur_ns long, method string, route string, status int"
+    first = spark.createDataFrame([("http", "r", 1, None, 1, 0, 300 * ms, "GET", "/users/7", 200), ("db", "r", None, 1, 1, 10 * ms, 150 * ms, None, None, None)], cols)
+    second = first.where("record = 'http'").withColumn("route", F.lit("/other"))
+    for batch_id, batch in enumerate((first, second)):
+        live.rollup_batch(path, ["db_id"])(batch, batch_id)
+        got = [(r.route, r["count"], r.db_ms_share) for r in spark.read.parquet(path).collect()]
+        assert got == [[("/users/{id}", 1, 0.5)], [("/other", 1, 0.0)]][batch_id]
