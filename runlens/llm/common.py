@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +33,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def held(key, make: Callable):
+    """What make() gives, kept in this Python worker for its later tasks (functions sent with a job have no lasting globals)."""
+    store = sys.modules.setdefault("runlens_held", types.ModuleType("runlens_held")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def groups(texts: list, most: int = 128, chars: int = 1 << 19):
+    """Ranges of a batch, bounded in rows and, but for a single long text, in characters."""
+    start, held = 0, 0
+    for i, t in enumerate(texts):
+        if i > start and (i - start >= most or held + len(t) > chars):
+            yield start, i
+            start, held = i, 0
+        held += len(t)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo folds; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))

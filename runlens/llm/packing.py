@@ -9,6 +9,7 @@ fullest bin (the lowest set bit) closes.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -44,7 +45,8 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins over white space, so a text's ids are
     those of its words in turn; a word is encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
 
-    def __init__(self, file: str, remember: int = 400_000):
+    def __init__(self, file: str, remember: int = 150_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer, self.known, self.remember = Tokenizer.from_file(file), {}, remember
         self.between = np.array(self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, "<u4")
@@ -70,25 +72,13 @@ class Encoder:
                 for t, words in zip(texts, cut)]
 
 
-def groups(texts: list, most: int = 256, chars: int = 1 << 21):
-    """Ranges of a batch, bounded in rows and, but for a single long text, in characters."""
-    start, held = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and (i - start >= most or held + len(t) > chars):
-            yield start, i
-            start, held = i, 0
-        held += len(t)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; a null text counts as empty."""
     def run(batches):
-        encode = Encoder(tokenizer)
+        encode = common.held(("encoder", tokenizer), lambda: Encoder(tokenizer))
         for batch in batches:
             texts, ids = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
-            for a, b in groups(texts):
+            for a, b in common.groups(texts):
                 rows = []
                 for doc, data in zip(ids[a:b], encode(texts[a:b])):
                     data += b"\0\0\0\0"
