@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import codecs
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -117,16 +118,27 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 3000
     return {"dictionaries": dictionaries, "calibration": Calibration(x, y, np.array([share.get(int(v), 1.0) for v in y]))}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, difference, score) of every row's whole text. Null and empty texts measure zero throughout, and have the
+def scorer(model: dict):
+    """A function from a column of texts to (difference, score). Null and empty texts measure zero throughout, and have the
     score that calibration gives to that."""
     dictionaries, calibration = model["dictionaries"], model["calibration"]
 
-    def run(batches):
-        for b in batches:
-            x = features(dictionaries, b["text"].tolist())
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "difference": x[:, 0], "score": calibration(x)})
-    return common.texts(docs).mapInPandas(run, "doc_id long, difference double, score double")
+    @F.pandas_udf("difference double, score double")
+    def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            x = features(dictionaries, texts.tolist())
+            yield pd.DataFrame({"difference": x[:, 0], "score": calibration(x)})
+    return quality_score
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, difference, score) of every row's whole text."""
+    return common.texts(docs).select("doc_id", scorer(model)("text").alias("q")).select("doc_id", "q.difference", "q.score")
+
+
+def keep(docs: DataFrame, model: dict, threshold: float = 0.7) -> DataFrame:
+    """The rows, all columns, whose text scores at least the threshold."""
+    return docs.filter(scorer(model)(F.col("text").cast("string"))["score"] >= threshold)
 
 
 def held_out(doc_id: Column) -> Column:

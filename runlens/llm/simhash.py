@@ -13,7 +13,10 @@ bucket cannot be large. No link is lost at any depth and equal fingerprints are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -120,13 +123,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataF
     doc_id is kept and takes part, but is no component's id unless the component has no other. An empty table gives none.
     """
     known = common.cut(fingerprints(docs, shingle))
-    heads = common.cut(known.groupBy("fp").agg(F.min("doc_id").alias("head")))
-    roots = common.components(links(heads, radius)).select(F.col("node").alias("fp"), "root")
-    placed = heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    class_of = _classes(placed)
+    class_of = _classes(_rooted(known.groupBy("fp").agg(F.min("doc_id").alias("head")), radius))
     return known.join(class_of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """The rows, all columns, of one document of each component: that with the smallest doc_id (a null one last), and among
+    repeated ids the text with the smallest hash; of equal rows one stays."""
+    text, mark = F.col("text").cast("string"), "__text_hash"
+    marked = docs.withColumn(mark, F.xxhash64(text))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("mark"))
+
+    @F.pandas_udf("long")
+    def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([signed(fingerprint(t, shingle)) for t in texts], dtype="int64")
+
+    known = marked.select(simhash(text).alias("fp"), first.alias("first")).groupBy("fp").agg(F.min("first").alias("head"))
+    kept = _rooted(known, radius).groupBy("root").agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("__id"), F.col("head.mark").alias("__mark"))
+    return marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))) \
+        .drop("__id", "__mark").dropDuplicates(["doc_id", mark]).drop(mark)
+
+
+def _rooted(heads: DataFrame, radius: int) -> DataFrame:
+    """(fp, head, root) of distinct fingerprints: root names the component."""
+    heads = common.cut(heads)
+    roots = common.components(links(heads, radius)).select(F.col("node").alias("fp"), "root")
+    return heads.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def _classes(placed: DataFrame) -> DataFrame:
     """(fp, component_id) from (fp, head, root)."""
     least = placed.groupBy("root").agg(F.min("head").alias("component_id"))

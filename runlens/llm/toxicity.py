@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -223,14 +224,25 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 6000
     return {"costs": costs, "base": base, "weights": {m: float(w) for m, w in zip(names, coef) if w}}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, score) of every row's whole text; null and empty texts have no words, and the score of none."""
-    def run(batches):
+def scorer(model: dict):
+    """A function from a column of texts to scores; null and empty texts have no words, and the score of none."""
+    @F.pandas_udf("double")
+    def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder, weights, base = Decoder(model["costs"]), model["weights"], model["base"]
-        for b in batches:
-            f = np.array([base + sum(weights[m] for m in marks(decoder.restored(t or "")) & weights.keys()) for t in b["text"]], dtype=float)
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "score": 1 / (1 + np.exp(-np.clip(f, -30, 30)))})
-    return common.texts(docs).mapInPandas(run, "doc_id long, score double")
+        for texts in batches:
+            f = np.array([base + sum(weights[m] for m in marks(decoder.restored(t or "")) & weights.keys()) for t in texts], dtype=float)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
+    return toxicity_score
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, score) of every row's whole text."""
+    return common.texts(docs).select("doc_id", scorer(model)("text").alias("score"))
+
+
+def keep(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose text scores below the threshold."""
+    return docs.filter(scorer(model)(F.col("text").cast("string")) < threshold)
 
 
 def held_out(doc_id: Column) -> Column:
