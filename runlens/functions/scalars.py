@@ -45,6 +45,7 @@ def fd_or_first_arg(fd: Column | str, args: Column | str) -> Column:
     return F.coalesce(_c(fd), group_of(F.coalesce(_c(args), F.lit("")), r"^\s*(-?\d+)").try_cast("int"))
 
 
+# How a call's arguments print a socket address.
 _INET4 = r'inet_addr\("([^"]+)"\)'
 _INET6 = r'inet_pton\(AF_INET6,\s*"([^"]+)"'
 _BARE_ADDR = r'sin6?_addr=[^,}]*?"([0-9a-fA-F:.]+)"'
@@ -74,6 +75,7 @@ def peer_key(args: Column | str) -> Column:
 
 def route_template(route: Column | str) -> Column:
     segments = F.filter(F.split(F.coalesce(_c(route), F.lit("")), "/"), lambda s: s != "")
+    # The parts of a route that stand for an id.
     uuid = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
     named = F.transform(segments, lambda s: F.when(s.rlike("^[0-9]+$"), "{id}").when(s.rlike(uuid), "{uuid}")
                         .when(s.rlike("^[0-9a-fA-F]{16,}$"), "{hex}").otherwise(s))

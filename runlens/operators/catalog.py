@@ -60,9 +60,12 @@ def recent_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return runs.orderBy(F.desc("started_us"), F.desc("run_id")).offset(max(0, offset)).limit(min(max(1, limit), RUN_PAGE_MAX))
 
 
-def runs_by_session(runs: DataFrame, k: int = RUN_PAGE_MAX) -> DataFrame:
-    """Each session with its newest runs (a side bar shows a page of them) and its run count."""
+def runs_by_session(runs: DataFrame, k: int | None = None) -> DataFrame:
+    """Each session with its runs, newest first, and its run count; k keeps a page of them."""
     n = runs.groupBy("session_id").agg(F.count("*").alias("runs"))
+    if k is None:
+        newest_first = F.sort_array(F.collect_list(F.struct("started_us", "run_id")), asc=False)
+        return runs.groupBy("session_id").agg(F.count("*").alias("runs"), F.transform(newest_first, lambda s: s["run_id"]).alias("run_ids"))
     newest = top_k(runs.select("session_id", "run_id", "started_us"), ["session_id"], [F.desc("started_us"), F.desc("run_id")], k,
                    rank="rank")
     ids = newest.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id"))),

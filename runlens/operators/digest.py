@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bytes_text
@@ -66,9 +66,8 @@ def digest_lines(*, totals: DataFrame, peaks: DataFrame, top: DataFrame, traject
     if hotspots is not None:
         parts.append(_lines(hotspots.where(c("rank") <= HOTSPOTS), "hotspots", _text(c("function"), " ", whole("self_pct"), "%"),
                             c("rank")))
-    # Findings are at most one per rule and run, plus the user's own rules.
-    order = [F.desc("severity_score"), F.asc("rule_id")]
-    ranked = top_k(findings, ["run_id"], order, 999, rank="rank")
+    # All findings: at most one per rule and run, plus the user's own rules.
+    ranked = findings.withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("severity_score"), F.asc("rule_id"))))
     parts.append(_lines(ranked, "findings", _text("[", F.upper("severity"), "] ", c("title"), " (x", c("occurrence_count"), ")"),
                         c("rank")))
     return reduce(DataFrame.unionByName, parts)

@@ -13,6 +13,7 @@ from ..plans.topk import top_k
 c = F.col
 MARKS, CURATED, DIGEST_LINES = 800, 3000, 22
 SLOW_US = 100_000
+EXEC_TEXT = 50  # characters of a started program that a printed line shows
 
 
 def marks(events: DataFrame, cap: int = MARKS) -> DataFrame:
@@ -34,7 +35,7 @@ def notable(events: DataFrame) -> DataFrame:
             .when(c("lat_us") > SLOW_US, "slow").when(c("syscall").isin(names.EXEC_CALLS), "exec"))
     extra = (F.when(c("event_type").isin("signal", "exit"), c("retval"))
              .when(~err & ~F.coalesce(c("lat_us") > SLOW_US, F.lit(False)),
-                   F.coalesce(F.nullif(c("path"), F.lit("")), F.substring(c("args"), 1, 50))))
+                   F.coalesce(F.nullif(c("path"), F.lit("")), c("args"))))
     return events.where(c("ts_us").isNotNull()).select(
         "run_id", "seq", "ts_us", kind.alias("kind"), "syscall", "error", "lat_us", extra.alias("extra")).where(
         c("kind").isNotNull())
@@ -77,7 +78,7 @@ def timeline_lines(events: DataFrame, starts: DataFrame, limit: int = DIGEST_LIN
             .when(c("kind") == "error", F.concat(plus, F.lit("s "), call, F.lit(" -> "), c("error")))
             .when(c("kind") == "slow", F.concat(plus, F.lit("s "), call, F.lit(" took "),
                                                 F.floor((c("lat_us") + 500) / 1000).cast("string"), F.lit("ms")))
-            .when(c("kind") == "exec", F.rtrim(F.concat(plus, F.lit("s exec "), F.trim(F.coalesce("extra", F.lit(""))))))
+            .when(c("kind") == "exec", F.rtrim(F.concat(plus, F.lit("s exec "), F.trim(F.substring(F.coalesce("extra", F.lit("")), 1, EXEC_TEXT)))))
             .when(c("kind") == "signal", F.concat(plus, F.lit("s signal "), call))
             .otherwise(F.rtrim(F.concat(plus, F.lit("s exited "), F.coalesce("extra", "error", F.lit(""))))))
     more = F.concat(F.lit("... ("), (c("lines") - (limit - 1)).cast("string"), F.lit(" more)"))

@@ -56,25 +56,30 @@ def contain_join(points: DataFrame, at: str, spans: DataFrame, start: str, dur:
 def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_start: str, r_dur: str,
                  keys: list[str], base_bits: int = BASE_BITS) -> DataFrame:
     """Pairs of intervals that share more than a point, each pair once."""
-    levels = _levels_in(left.select(F.col(l_dur).alias("__d")).unionByName(right.select(F.col(r_dur).alias("__d"))),
-                        "__d", base_bits)
+    levels = {side: _levels_in(df, dur, base_bits) for side, df, dur in (("a", left, l_dur), ("b", right, r_dur))}
+    lv, own = F.col("__lv"), F.col("__own")
 
-    def spread(df: DataFrame, start: str, dur: str) -> DataFrame:
-        out = df.withColumn("__own", _level(F.col(dur), base_bits))
-        out = out.withColumn("__lv", F.explode(levels)).where(F.col("__lv") >= F.col("__own"))
-        lv = F.col("__lv")
+    def binned(df: DataFrame, start: str, dur: str, level: Column, above: Column) -> DataFrame:
+        out = df.withColumn("__own", _level(F.col(dur), base_bits)).withColumn("__lv", level).where(above)
         return out.withColumn("__bin", F.explode(F.sequence(
             _bin(F.col(start), lv, base_bits), _bin(F.col(start) + F.col(dur), lv, base_bits))))
 
-    a, b = spread(left, l_start, l_dur).alias("a"), spread(right, r_start, r_dur).alias("b")
-    cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
-    first = F.greatest(F.col(l_start), F.col(r_start))
-    # One home per pair: the coarser of the two levels, and there the bin of the later start.
-    cond += [F.col("a.__lv") == F.greatest(F.col("a.__own"), F.col("b.__own")),
-             F.col("a.__bin") == _bin(first, F.col("a.__lv"), base_bits),
-             F.least(F.col(l_start) + F.col(l_dur), F.col(r_start) + F.col(r_dur)) > first]
-    rest = [c for c in right.columns if c not in keys]
-    return a.join(b, _all(cond)).select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in rest])
+    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+        a, b = a.alias("a"), b.alias("b")
+        first = F.greatest(F.col(l_start), F.col(r_start))
+        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
+        # One home per pair: the coarser of the two levels, and there the bin of the later start.
+        cond += [F.col("a.__bin") == _bin(first, F.col("a.__lv"), base_bits),
+                 F.least(F.col(l_start) + F.col(l_dur), F.col(r_start) + F.col(r_dur)) > first]
+        rest = [c for c in right.columns if c not in keys]
+        return a.join(b, _all(cond)).select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in rest])
+
+    # One interval of every candidate pair is on its own level, so short ones do not meet in the bins of long ones.
+    own_left = binned(left, l_start, l_dur, own, F.lit(True))
+    own_right = binned(right, r_start, r_dur, own, F.lit(True))
+    at_or_over = binned(left, l_start, l_dur, F.explode(levels["b"]), lv >= own)
+    over = binned(right, r_start, r_dur, F.explode(levels["a"]), lv > own)
+    return pairs(at_or_over, own_right).unionByName(pairs(own_left, over))
 
 
 def _all(conds: list[Column]) -> Column:

@@ -28,16 +28,21 @@ def build(app: str = "runlens", master: str | None = None, **conf: str) -> Spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared checkpoint folder. Only a local session may go without one: it gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     current = spark.sparkContext.getCheckpointDir()
-    return current or tempfile.mkdtemp(prefix="runlens-ckpt-")
+    if current:
+        return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="runlens-ckpt-")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     spark = df.sparkSession
-    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=True)

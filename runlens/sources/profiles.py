@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .lines import in_order, read_lines, sections
 
 # One stack frame of a text profile, and names a runtime adds above the real roots.
@@ -78,46 +76,43 @@ def sampled_json(docs: DataFrame) -> DataFrame:
     return one.select("run_id", frames.alias("frames"), weight.alias("weight")).where(F.size("frames") > 0)
 
 
-def _place(node: dict) -> str:
-    frame = node.get("callFrame") or {}
-    fn, url = frame.get("functionName") or "", frame.get("url") or ""
-    if not fn:
-        return "(anonymous)"
-    if "/" in url and not url.startswith("node:"):
-        return f"{fn} ({url.rsplit('/', 1)[-1]}:{frame.get('lineNumber', 0)})"
-    return fn
-
-
-def _walk(batches):
-    """Leaf ids to root-to-leaf stacks, one document at a time; samples are summed per leaf before they leave."""
-    for batch in batches:
-        out = []
-        for run_id, text in zip(batch["run_id"], batch["doc"]):
-            try:
-                doc = json.loads(text)
-            except ValueError:
-                continue  # a capture that was cut off is no profile, and no reason to fail the others
-            nodes = {n.get("id"): n for n in doc.get("nodes") or []}
-            parent = {c: n.get("id") for n in nodes.values() for c in n.get("children") or []}
-            deltas, weight = doc.get("timeDeltas") or [], {}
-            for i, leaf in enumerate(doc.get("samples") or []):
-                d = deltas[i + 1] if i + 1 < len(deltas) else 1
-                weight[leaf] = weight.get(leaf, 0) + (d if isinstance(d, int) and d > 0 else 1)
-            for leaf, w in weight.items():
-                frames, at, seen = [], leaf, set()
-                while at in nodes and at not in seen:
-                    seen.add(at)
-                    frames.append(_place(nodes[at]))
-                    at = parent.get(at)
-                frames = [f for f in reversed(frames) if f not in _SYNTHETIC]
-                if frames:
-                    out.append((run_id, frames, w))
-        yield pd.DataFrame(out, columns=["run_id", "frames", "weight"])
+# The parts of a parent-linked profile that are read; other fields of the file are not parsed.
+_LINKED = ("nodes array<struct<id:long,callFrame:struct<functionName:string,url:string,lineNumber:long>,children:array<long>>>, "
+           "samples array<long>, timeDeltas array<string>")
 
 
 def linked_json(docs: DataFrame) -> DataFrame:
-    """Node tree plus leaf ids: stacks come from walking parents. Weight is the *next* sample's time delta, else 1."""
-    return docs.select("run_id", "doc").mapInPandas(_walk, "run_id string, frames array<string>, weight long")
+    """Node tree plus leaf ids -> stacks. A sample weighs the time until the next one, else 1.
+
+    Nodes and their children become tables; paths to the root are grown by doubling (a node's path joins the path of where
+    it ends), so a tree of depth d takes log2(d) joins. Nodes without a root above them have no stack.
+    """
+    parsed = docs.select("run_id", F.xxhash64("run_id", "doc").alias("file"), F.from_json("doc", _LINKED).alias("d"))
+    node = parsed.select("file", F.posexplode("d.nodes").alias("at", "n")).select("file", "at", "n.*")
+    name, url = (F.coalesce(F.col(f"callFrame.{k}"), F.lit("")) for k in ("functionName", "url"))
+    source = F.concat(name, F.lit(" ("), F.element_at(F.split(url, "/"), -1), F.lit(":"), F.coalesce("callFrame.lineNumber", F.lit(0)), F.lit(")"))
+    label = F.when(name == "", "(anonymous)").when(url.contains("/") & ~url.startswith("node:"), source).otherwise(name)
+    named = node.groupBy("file", "id").agg(F.max_by(label, "at").alias("frame"))
+    above = node.select("file", "at", F.col("id").alias("up"), F.explode("children").alias("id")).groupBy("file", "id").agg(F.max_by("up", "at").alias("up"))
+    known = named.select("file", F.col("id").alias("up"), F.lit(True).alias("known"))
+    up = above.join(known, ["file", "up"]).select("file", "id", "up")  # a parent that is no node ends a path
+    size = named.groupBy("file").agg(F.count("*").alias("n"))
+    paths = cut(named.join(up, ["file", "id"], "left").join(size, "file").select("file", "id", "up", "n", F.array("frame").alias("frames")))
+    while True:
+        ends = paths.select("file", F.col("id").alias("up"), F.col("up").alias("top"), F.col("frames").alias("more"))
+        if paths.where("up is not null").isEmpty():
+            break
+        grown = paths.where("up is not null").join(ends, ["file", "up"]).select(
+            "file", "id", F.col("top").alias("up"), "n", F.concat("more", "frames").alias("frames"))
+        # A path longer than the file's nodes goes round in a circle and never reaches a root.
+        paths = cut(paths.where("up is null").unionByName(grown.where(F.size("frames") <= F.col("n"))))
+    delta = F.expr("try_cast(x.delta as bigint)")
+    sampled = parsed.select("run_id", "file", F.explode(F.arrays_zip(
+        F.col("d.samples").alias("leaf"), F.expr("slice(coalesce(d.timeDeltas, array()), 2, greatest(size(d.timeDeltas), 1))").alias("delta"))).alias("x"))
+    weight = sampled.where("x.leaf is not null").groupBy("run_id", "file", F.col("x.leaf").alias("id")).agg(
+        F.sum(F.when(delta > 0, delta).otherwise(1)).cast("long").alias("weight"))
+    kept = F.filter("frames", lambda f: ~f.isin(_SYNTHETIC))
+    return weight.join(paths, ["file", "id"]).select("run_id", kept.alias("frames"), "weight").where(F.size("frames") > 0)
 
 
 # The names collectors give their profile layouts.

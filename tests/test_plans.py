@@ -1,6 +1,7 @@
 """The physical patterns against brute force, with blocks and bins small enough to cross many borders."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -92,6 +93,22 @@ def test_overlap_join_and_coverage(spark):
         assert sums[x[2]] == (sum(v for v, i in parts if i % 2 == 0), sum(v for v, _ in parts))
 
 
+def test_overlap_candidates_grow_with_rows(spark):
+    """One long interval on another thread changes neither the result nor how many pairs are looked at."""
+    def candidates(n, long):
+        a = spark.createDataFrame([("r", 1, i, i * 10, 4) for i in range(n)] + [("r", 2, n, 0, 1 << 20)] * long, "run string, tid long, aid long, a0 long, ad long")
+        b = spark.createDataFrame([("r", 1, i, i * 10 + 2, 4) for i in range(n)], "run string, tid long, bid long, b0 long, bd long")
+        out = intervals.overlap_join(a, "a0", "ad", b, "b0", "bd", ["run", "tid"], base_bits=3)
+        t = time.perf_counter()
+        return out.count(), time.perf_counter() - t
+
+    candidates(1000, 1)
+    short, s = candidates(20_000, 1)
+    double, d = candidates(40_000, 1)
+    assert (short, double) == (20_000, 40_000) == (candidates(20_000, 0)[0], candidates(40_000, 0)[0])
+    assert d < 6 * max(s, 1.0)
+
+
 @pytest.mark.parametrize("k", [3, 1500])
 def test_top_k(spark, k):
     df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").alias("v"))
