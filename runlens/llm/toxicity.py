@@ -90,13 +90,14 @@ class Decoder:
 
     def arcs(self, s: str) -> list[list[tuple[int, str, float]]]:
         """From each position: (next position, letters read, cost of the channel)."""
-        out = []
+        out, ends = [], list(range(1, len(s) + 1))  # where the run of each character ends
+        for i in range(len(s) - 2, -1, -1):
+            if s[i] == s[i + 1]:
+                ends[i] = ends[i + 1]
         for i, c in enumerate(s):
             arcs = []
             if c.isalpha() and c not in STANDS_FOR:
-                j = i
-                while j < len(s) and s[j] == c:
-                    j += 1
+                j = ends[i]
                 run = j - i
                 arcs.append((i + 1, c, 0.0))
                 if run >= 3:  # written out by force: once, or twice as many words have it
