@@ -26,6 +26,13 @@ SPACE = "▁"
 _SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
+class _Bytes(dict):
+    """Bytes by id; of an id that has none, none."""
+
+    def __missing__(self, key: int) -> bytes:
+        return b""
+
+
 class Vocabulary:
     """Pieces with ids and scores; what a character without a piece costs; the bytes' ids."""
 
@@ -42,7 +49,7 @@ class Vocabulary:
         self.begins.update(pieces)
         #: Whether a boundary before a space mark stands in every path, as no piece has the mark after another character.
         self.splits = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
-        self.bytes_of = {i: p.replace(SPACE, " ").encode("utf-8") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)}
+        self.bytes_of = _Bytes({i: p.replace(SPACE, " ").encode("utf-8") for p, (i, _) in pieces.items()} | {i: bytes([b]) for b, i in enumerate(byte_ids)})
 
     @classmethod
     def of_model(cls, file: str) -> "Vocabulary":
@@ -152,22 +159,28 @@ class Codec:
         """Little-endian 32-bit ids; the empty text has none. A space mark is put before a text, and spaces become marks."""
         if not text:
             return b""
-        marked = SPACE + text.replace(" ", SPACE)
-        parts = _SEGMENT.findall(marked) if self.v.splits else [marked]
+        words = text.split(" ")
+        if not self.v.splits:
+            parts = [SPACE + text.replace(" ", SPACE)]
+        elif SPACE in text or "" in words:
+            parts = _SEGMENT.findall(SPACE + text.replace(" ", SPACE))
+        else:  # single spaces only: each word is a segment, kept without its mark
+            parts = words
         known = self.known
         if len(known) >= self.remember:
             known.clear()
-        for s in set(parts).difference(known):
-            known[s] = self._ids(s)
+        new = set(parts).difference(known)
+        for s in new:
+            known[s] = self._ids(s if s[0] == SPACE else SPACE + s)
         out = b"".join(map(known.__getitem__, parts))
-        for s in [s for s in set(parts) if len(s) > 64]:
-            del known[s]
+        for s in new:
+            if len(s) > 64:
+                del known[s]
         return out
 
     def decode(self, data: bytes) -> str:
         """The text of ids, without the space put before it."""
-        get = self.v.bytes_of.get
-        text = b"".join([get(i, b"") for i in np.frombuffer(data, "<u4").tolist()])
+        text = b"".join(map(self.v.bytes_of.__getitem__, np.frombuffer(data, "<u4").tolist()))
         return text[1:].decode("utf-8", "surrogatepass")
 
 
