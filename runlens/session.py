@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The live jobs keep lists and timers in state, which only this store can.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # Recording the call site of every Column costs more driver time than planning the larger rule queries.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
 }

@@ -20,41 +20,42 @@ c = F.col
 # How live scans look back.
 SLIDING, MIN_POINTS, LEAK_EVERY = 360, 8, 4
 
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def timed(rows: DataFrame, lateness: str = "1 minute") -> DataFrame:
+    """Rows with `ts`, their event time, and a watermark: what comes later than `lateness` after the newest row is dropped."""
+    return rows.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", lateness)
 
 
 def metric_stream(spark: SparkSession, path: str, *, fmt: str = "parquet", lateness: str = "1 minute",
                   files_per_batch: int = 1000) -> DataFrame:
-    """Samples as they arrive, as files. `ts` is the event time; rows later than `lateness` may be dropped."""
+    """Samples as they arrive, as files, with event time and watermark."""
     raw = spark.readStream.schema(METRICS).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
-    return raw.withColumn("ts", F.timestamp_micros("ts_us")).withWatermark("ts", lateness)
+    return timed(raw, lateness)
 
 
-def _stateful(df: DataFrame, keys: list[str], processor, out) -> DataFrame:
-    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update",
-                                                        timeMode="None")
+def _stateful(rows: DataFrame, keys: list[str], cols: list[str], processor, out) -> DataFrame:
+    """The processor over rows of `timed`; their state needs the RocksDB store that `session.DEFAULTS` names."""
+    grouped = rows.select(*keys, "ts_us", *cols, "ts").groupBy(*keys)
+    return grouped.transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Update", timeMode="EventTime")
 
 
-def alert_stream(metrics: DataFrame, limits: LiveLimits = LiveLimits()) -> DataFrame:
-    """T3."""
-    return _stateful(metrics.select("run_id", "ts_us", "cpu_pct", "rss_mb", "open_fds"), ["run_id"], state.LiveAlerts(limits), state.ALERT)
+def alert_stream(metrics: DataFrame, limits: LiveLimits = LiveLimits(), keep_us: int = state.KEEP_US) -> DataFrame:
+    """T3. An alert comes out once the watermark has passed its sample; a run silent for `keep_us` starts anew."""
+    return _stateful(metrics, ["run_id"], ["cpu_pct", "rss_mb", "open_fds"], state.LiveAlerts(limits, keep_us), state.ALERT)
 
 
-def incident_stream(alerts: DataFrame, limits: LiveLimits = LiveLimits()) -> DataFrame:
-    """T4: incidents and their throttled updates; reads an alert stream that was written as a table."""
-    return _stateful(alerts.select("run_id", "rule_id", "ts_us", "severity", "title"), ["run_id", "rule_id"],
-                     state.IncidentCollapse(limits), state.INCIDENT_UPDATE)
+def incident_stream(alerts: DataFrame, limits: LiveLimits = LiveLimits(), keep_us: int = state.KEEP_US) -> DataFrame:
+    """T4: incidents and their throttled updates, from an alert stream that was written as a table and read with `timed`."""
+    return _stateful(alerts, ["run_id", "rule_id"], ["severity", "title"], state.IncidentCollapse(limits, keep_us), state.INCIDENT_UPDATE)
 
 
-def ring_stream(metrics: DataFrame, size: int = 2400) -> DataFrame:
+def ring_stream(metrics: DataFrame, size: int = 2400, keep_us: int = state.KEEP_US) -> DataFrame:
     """T2."""
-    return _stateful(metrics.select("run_id", "ts_us", "cpu_pct", "rss_mb", "open_fds"), ["run_id"], state.Ring(size), state.RING_ROW)
+    return _stateful(metrics, ["run_id"], ["cpu_pct", "rss_mb", "open_fds"], state.Ring(size, keep_us), state.RING_ROW)
 
 
-def ended_runs(ticks: DataFrame, empties: int = 12) -> DataFrame:
-    """T8."""
-    return _stateful(ticks.select("run_id", "ts_us", "rss_mb"), ["run_id"], state.Liveness(empties), state.ENDED)
+def ended_runs(ticks: DataFrame, empties: int = 12, keep_us: int = state.KEEP_US) -> DataFrame:
+    """T8, from ticks read with `timed`."""
+    return _stateful(ticks, ["run_id"], ["rss_mb"], state.Liveness(empties, keep_us), state.ENDED)
 
 
 def sliding_load(metrics: DataFrame, size: str = "90 seconds", step: str = "20 seconds",
@@ -118,12 +119,14 @@ def scan_batch(metric_path: str, finding_path: str, t: rules.Thresholds = rules.
 
 
 def rollup_batch(path: str, db_key: list[str]) -> Callable[[DataFrame, int], None]:
-    """The endpoint table of the latest snapshot replaces the one before. A batch holds `record` http and db rows."""
+    """The endpoint table of a run's latest snapshot replaces that run's before; runs that the batch has no requests of
+    keep theirs. A batch holds `record` http and db rows, and all of a snapshot."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         http, db = kept.where("record = 'http'"), kept.where("record = 'db'")
         owned = spans.own_queries(http, db, db_key)
-        spans.endpoints(spans.with_db_time(http, owned)).write.mode("overwrite").parquet(path)
+        table = spans.endpoints(spans.with_db_time(http, owned))
+        table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
         kept.unpersist()
     return sink
 

@@ -1,5 +1,6 @@
-"""The stateful streams give what their batch twins give, also when the input comes in many small batches."""
+"""The stateful streams give what their batch twins give, also when the input comes unsorted and in many small batches."""
 
+import json
 import uuid
 
 import pytest
@@ -12,16 +13,26 @@ from runlens.streaming import live
 
 SF = "/root/testdata/sf0.001"
 LIVE = incidents.LiveLimits(fds=100, rss_step_mb=0.9, cpu_pct=40.0, cpu_streak=3, rearm=8, publish_every_us=3_600_000_000)
+DAY = 86_400_000_000
+FOREVER = 10_000 * DAY
+
+
+def as_samples(df):
+    for name in METRICS.names:
+        if name not in df.columns:
+            df = df.withColumn(name, F.lit(None))
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in METRICS])
+
+
+def clock_row(spark, ts_us):
+    """A sample of a run of its own: by its time the watermark passes the rows before it."""
+    return as_samples(spark.createDataFrame([("~clock", ts_us)], "run_id string, ts_us long"))
 
 
 @pytest.fixture(scope="module")
 def samples(spark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("metrics") / "in")
-    m = view(spark, SF, "metrics")
-    for name in METRICS.names:
-        if name not in m.columns:
-            m = m.withColumn(name, F.lit(None))
-    m = m.select(*[F.col(f.name).cast(f.dataType) for f in METRICS])
+    m = as_samples(view(spark, SF, "metrics"))
     # Five files in time order: the file source reads them oldest first.
     lo, hi = m.agg(F.min("ts_us"), F.max("ts_us")).first()
     for i in range(5):
@@ -30,26 +41,44 @@ def samples(spark, tmp_path_factory):
     return path, m
 
 
+@pytest.fixture(scope="module")
+def clocked(spark, samples, tmp_path_factory):
+    """The same files, and one more that closes the stream."""
+    _, m = samples
+    path = str(tmp_path_factory.mktemp("clocked") / "in")
+    lo, hi = m.agg(F.min("ts_us"), F.max("ts_us")).first()
+    for i in range(5):
+        a, z = lo + (hi - lo + 1) * i // 5, lo + (hi - lo + 1) * (i + 1) // 5
+        m.where((F.col("ts_us") >= a) & (F.col("ts_us") < z)).coalesce(1).write.mode("append").parquet(path)
+    clock_row(spark, hi + DAY).coalesce(1).write.mode("append").parquet(path)
+    return path, m
+
+
 def run(spark, writer, name):
     name = f"{name}-{uuid.uuid4().hex[:8]}"
     q = live.start(writer.queryName(name), name, spark)
     q.awaitTermination(300)
     assert q.exception() is None
+    return q
 
 
-def test_alerts_and_incidents(spark, samples, tmp_path):
-    path, m = samples
+def test_alerts_and_incidents(spark, clocked, tmp_path):
+    path, m = clocked
     out = str(tmp_path / "alerts")
-    stream = live.alert_stream(live.metric_stream(spark, path, files_per_batch=1, lateness="40 days"), LIVE)
+    stream = live.alert_stream(live.metric_stream(spark, path, files_per_batch=1), LIVE, keep_us=FOREVER)
     run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "alerts")
     cols = ["run_id", "ts_us", "rule_id", "severity"]
     got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
     want = sorted(map(tuple, incidents.alerts(m, LIVE).select(*cols).collect()))
     assert got == want and len(got) > 10
 
-    feed = str(tmp_path / "incidents")
-    alerts = spark.readStream.schema(spark.read.parquet(out).schema).parquet(out)
-    run(spark, live.incident_stream(alerts, LIVE).writeStream.outputMode("update").foreachBatch(live.write_batch(feed)), "incidents")
+    feed, source = str(tmp_path / "incidents"), str(tmp_path / "feed")
+    written = spark.read.parquet(out).drop("batch_id")
+    written.write.parquet(source)
+    last = written.agg(F.max("ts_us")).first()[0]
+    spark.createDataFrame([("~clock", last + DAY, "tick", "low", "")], written.schema).coalesce(1).write.mode("append").parquet(source)
+    alerts = live.timed(spark.readStream.schema(written.schema).parquet(source))
+    run(spark, live.incident_stream(alerts, LIVE, keep_us=FOREVER).writeStream.outputMode("update").foreachBatch(live.write_batch(feed)), "incidents")
     new = spark.read.parquet(feed).where("is_new")
     assert {r.incident_id for r in new.collect()} == {r.incident_id for r in incidents.collapse(incidents.alerts(m, LIVE)).collect()}
     # Updates of one incident are at least an hour apart here.
@@ -60,6 +89,36 @@ def test_alerts_and_incidents(spark, samples, tmp_path):
         assert all(b[0] - a[0] >= 3_600_000_000 and b[1] > a[1] for a, b in zip(rows, rows[1:]))
 
 
+def test_unsorted_samples_late_rows_and_ended_runs(spark, tmp_path):
+    """30,000 shuffled samples of one run in two files: the alerts of the batch; a late row is dropped; no state stays."""
+    n, step = 30_000, 250_000
+    i = F.col("id")
+    spiky = spark.range(n).select(
+        F.lit("r").alias("run_id"), ((i + 1) * step).alias("ts_us"), (F.pmod(F.xxhash64(i), F.lit(100)) + F.pmod(i, F.lit(30))).cast("double").alias("cpu_pct"),
+        F.pmod(F.xxhash64(i + 1), F.lit(200)).cast("double").alias("rss_mb"), F.pmod(F.floor(i / 40), F.lit(3)).cast("int").alias("open_fds"))
+    m = as_samples(spiky)
+    limits = incidents.LiveLimits(fds=1, rss_step_mb=150.0, cpu_pct=60.0, cpu_streak=4, rearm=8)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    shuffled = m.withColumn("__r", F.xxhash64("ts_us", F.lit(5)))
+    for half in (0, 1):
+        shuffled.where(F.pmod("__r", F.lit(2)) == half).coalesce(1).sortWithinPartitions("__r").drop("__r").write.mode("append").parquet(path)
+    end = (n + 1) * step
+    for day in (1, 2):
+        clock_row(spark, end + day * DAY).coalesce(1).write.mode("append").parquet(path)
+    late = spark.createDataFrame([("r", end - 1, 1.0, 10_000.0, 9)], "run_id string, ts_us long, cpu_pct double, rss_mb double, open_fds int")
+    as_samples(late).unionByName(clock_row(spark, end + 9 * DAY)).coalesce(1).write.mode("append").parquet(path)
+    clock_row(spark, end + 10 * DAY).coalesce(1).write.mode("append").parquet(path)
+    stream = live.alert_stream(live.metric_stream(spark, path, files_per_batch=1, lateness="3 hours"), limits)
+    q = run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "unsorted")
+    cols = ["run_id", "ts_us", "rule_id", "severity"]
+    got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
+    assert got == sorted(map(tuple, incidents.alerts(m, limits).select(*cols).collect())) and len(got) > 300
+    assert sum(op["numRowsDroppedByWatermark"] for p in q.recentProgress for op in json.loads(p.json)["stateOperators"]) == 1
+    folder = f"{live.checkpoint_dir(spark)}/{q.name}"
+    left = spark.read.format("statestore").option("path", folder).option("stateVarName", "state").load()
+    assert "r" not in {r.key.run_id for r in left.collect()}
+
+
 def test_ring(spark, samples, tmp_path):
     path, m = samples
     out = str(tmp_path / "ring")
@@ -78,7 +137,8 @@ def test_liveness(spark, tmp_path):
     src, out = str(tmp_path / "ticks"), str(tmp_path / "ended")
     ticks.where("ts_us < 9").coalesce(1).write.mode("append").parquet(src)
     ticks.where("ts_us >= 9").coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(src)
+    spark.createDataFrame([("~clock", DAY, None)], ticks.schema).coalesce(1).write.mode("append").parquet(src)
+    stream = live.timed(spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(src))
     run(spark, live.ended_runs(stream).writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "ended")
     assert [tuple(r) for r in spark.read.parquet(out).select("run_id", "ended_us").collect()] == [("a", 16)]
     assert [tuple(r) for r in series.exhausted_runs(ticks).collect()] == [("a", 16)]
@@ -117,3 +177,6 @@ def test_rollup_replaces_the_one_before(spark, tmp_path):
         live.rollup_batch(path, ["db_id"])(batch, batch_id)
         got = [(r.route, r["count"], r.db_ms_share) for r in spark.read.parquet(path).collect()]
         assert got == [[("/users/{id}", 1, 0.5)], [("/other", 1, 0.0)]][batch_id]
+    # A snapshot of another run leaves this one's table as it is.
+    live.rollup_batch(path, ["db_id"])(second.withColumn("run_id", F.lit("s")), 2)
+    assert sorted((r.run_id, r.route) for r in spark.read.parquet(path).collect()) == [("r", "/other"), ("s", "/other")]
