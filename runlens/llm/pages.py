@@ -42,18 +42,18 @@ MAIN = set("article main content post entry story body text".split())
 NAME_PART = re.compile("[^a-z0-9]+")
 
 
-def _names(tag: str, attributes: str) -> list[str]:
+def _names(tag: str, attributes: str, labelled: bool) -> list[str]:
     names = [tag]
     for m in ATTRIBUTE.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
         if m[1].lower() == "data-y":
-            names.append(f"y={value}")
+            names += [f"={value}"] if labelled else []  # a layout's label; no tag or class name starts with this sign
         else:
             names += [f".{p}" for v in value.split() for p in {v, *NAME_PART.split(v)} if p]
     return names
 
 
-def blocks(html: str) -> list[tuple[str, list[str], float]]:
+def blocks(html: str, labelled: bool = False) -> list[tuple[str, list[str], float]]:
     """(text, names above it from the outside in, share of its characters in links) of every block with text, in page order."""
     stack: list[tuple[str, list[str]]] = []
     out, held, linked, path, at, size = [], [], 0, None, 0, len(html)
@@ -106,16 +106,16 @@ def blocks(html: str) -> list[tuple[str, list[str], float]]:
         if tag in CLOSES:
             close(CLOSES[tag], HOLDS - CLOSES[tag])
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((tag, _names(tag, m[3])))
+            stack.append((tag, _names(tag, m[3], labelled)))
     flush()
     return [b for b in out if not UNSEEN.intersection(b[1])]
 
 
 def container_label(path: list[str]) -> int:
     """1 for main text, 0 for the rest, by the meaning of the containers' names; -1 where they say nothing."""
-    said = [n for n in path if n.startswith("y=")]
+    said = [n for n in path if n.startswith("=")]
     if said:
-        return int(said[-1][2:])
+        return int(said[-1][1:])
     words = [n.lstrip(".") for n in path]
     if any(w in ASIDE for w in words):
         return 0
@@ -144,7 +144,7 @@ def vectors(page: list[tuple[str, list[str], float]], known: dict) -> np.ndarray
     out = np.zeros((len(page), DIMS), np.float32)
     last = max(1, len(page) - 1)
     for i, (text, path, links) in enumerate(page):
-        names = [n for n in path if not n.startswith("y=")]
+        names = [n for n in path if not n.startswith("=")]
         words = text.lower().split()
         out[i, :PATH_DIMS] = _hashed(names, PATH_DIMS, known)
         out[i, PATH_DIMS:PATH_DIMS + WORD_DIMS] = _hashed(words, WORD_DIMS, known) / (2 * math.sqrt(len(words) + 1))
@@ -300,7 +300,7 @@ def train(htmls: list[str], steps: int = 220, batch: int = 48, seed: int = 10, m
     spare = [t for _, r in texts for t in r] or ["menu"]
     for main, rest in texts:
         if main:
-            made += [blocks(layouts(main[:12], rest or spare[:20], draw)) for _ in range(2)]
+            made += [blocks(layouts(main[:12], rest or spare[:20], draw), labelled=True) for _ in range(2)]
     pages = []
     for page in made:
         if page:

@@ -313,6 +313,20 @@ def test_page_texts(spark):
     assert "Some long main text of an article, with words & many more words." in one.text and "Home" not in one.text and "Nice" not in one.text
 
 
+def test_page_labels_come_from_layouts_only():
+    own = '<y=foo><p data-y="x">hello</p></y=foo><div data-y="1">all</div>'
+    assert [pages.container_label(path) for _, path, _ in pages.blocks(own)] == [-1, -1]
+    assert [pages.container_label(path) for _, path, _ in pages.blocks('<p data-y="1">a</p><p data-y="0">b</p>', labelled=True)] == [1, 0]
+
+
+def test_words_and_their_marks_have_the_same_ids():
+    codec = sentencepieces.Codec(sentencepieces.Vocabulary.of_model(PIECES))
+    for text in ("a single spaced text", " lead", "trail ", "two  spaces", "\n a\tb", "▁mark here", "x" * 200 + " y", "日本 語"):
+        marked = sentencepieces.SPACE + text.replace(" ", sentencepieces.SPACE)
+        for _ in range(2):  # the second time from what is remembered
+            assert np.frombuffer(codec.encode(text), "<u4").tolist() == [x for part in sentencepieces.stream(marked, codec.v) for x in part]
+
+
 def test_lstm_gradients():
     draw = np.random.default_rng(4)
     net = pages.Labeller(hidden=3)
