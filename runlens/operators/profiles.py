@@ -89,14 +89,14 @@ def thread_flame(spans: DataFrame, thread_stacks: DataFrame) -> DataFrame:
     return mine.unionByName(fallback)
 
 
-def hot_function_findings(stacks: DataFrame) -> DataFrame:
-    """The top function by self weight, when it is resolved and takes at least 30 % of the samples."""
+def hot_function_findings(stacks: DataFrame, medium: float = HOT_MEDIUM, high: float = HOT_HIGH) -> DataFrame:
+    """The top function by self weight, when it is resolved and takes at least `medium` percent of the samples."""
     # The first resolved row is judged; rows before it that are unresolved are passed over.
     first = top_k(all_hotspots(stacks).where(c("function") != "[unknown]"), ["run_id"],
                   [F.desc("self"), F.desc("total"), F.asc("function")], 1)
-    severe = F.round(c("self_pct"), 2) >= HOT_HIGH
+    severe = F.round(c("self_pct"), 2) >= high
     pct = F.format_string("%.0f", "self_pct")
-    return first.where(F.round("self_pct", 2) >= HOT_MEDIUM).select(
+    return first.where(F.round("self_pct", 2) >= medium).select(
         "run_id", F.lit("hot_function").alias("rule_id"), F.when(severe, "high").otherwise("medium").alias("severity"),
         F.when(severe, 0.6).otherwise(0.45).alias("severity_score"),
         F.concat(F.lit("Hot function: "), c("function"), F.lit(" is "), pct, F.lit("% of the samples")).alias("title"),

@@ -70,9 +70,8 @@ FROM hp JOIN n USING (run_id) WHERE rank = 1 AND self * 100.0 / samples >= 20"""
 def hot_function(spark, d):
     # Leaves only, and the medium limit lowered to 20 %: five leaf names share the weight.
     s = _stacks(spark, d).withColumn("frames", F.slice("frames", 3, 1))
-    top = profiles.hotspots(s, k=1).where("self_pct >= 20")
-    return top.select("run_id", F.lit("hot_function").alias("rule_id"),
-                      F.when(c("self_pct") >= profiles.HOT_HIGH, "high").otherwise("medium").alias("severity"), "function")
+    found = profiles.hot_function_findings(s, medium=20.0)
+    return found.select("run_id", "rule_id", "severity", F.regexp_extract("description", "^(.*) takes ", 1).alias("function"))
 
 
 ORDER = ["seq", "seq2", "seq3"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import view, with_views
-from ..operators import custom, rules, series
+from ..operators import catalog, custom, rules, series
 from . import register
 
 c = F.col
@@ -119,6 +119,18 @@ def metric_rule_findings(spark, d):
     return rules.metric_findings(rated_metrics(spark, d), run_table(spark, d), LIMITS).select(*SHOWN)
 
 
+@register("stored_findings", with_views("trace_events", "metrics", sql=ALL + f"SELECT {', '.join(SHOWN)} FROM ff WHERE run_id = 'run-2'"))
+def stored_findings(spark, d):
+    return catalog.read_findings(all_findings(spark, d), "run-2").select(*SHOWN)
+
+
+@register("finding_labels", with_views("trace_events", "metrics", sql=ALL + """
+SELECT run_id, rule_id, upper(rule_id[1]) || replace(rule_id[2:], '_', ' ') AS label, severity FROM ff"""))
+def finding_labels(spark, d):
+    found = all_findings(spark, d).select("run_id", "rule_id")
+    return found.join(rules.metadata(spark), "rule_id").select("run_id", "rule_id", "label", "severity")
+
+
 @register("rule_evidence", with_views("trace_events", "metrics", sql=RUNS + EVENT_RULES.lstrip() + """
 , s AS (SELECT m.run_id, m.rule_id, m.seq, CAST(row_number() OVER (PARTITION BY m.run_id, m.rule_id ORDER BY CASE WHEN m.rule_id IN ('slow_syscall', 'slow_file_io')
   THEN lat_us END DESC NULLS LAST, CASE WHEN m.rule_id = 'slow_downstream_peer' THEN ts_us END, seq) AS INT) AS rank FROM mt m JOIN ef

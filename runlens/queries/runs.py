@@ -377,9 +377,8 @@ def reconciled_runs(spark, d):
 def stale_runs(spark, d):
     r = _runs(spark, d)
     seen = spark.read.parquet(f"{d}/lineitem.parquet").select(c("l_orderkey").cast("string").alias("run_id"))
-    now = r.select(F.max("started_us")).scalar()
-    old = r.where((c("status") == "running") & (c("started_us") < now - 86_400_000_000))
-    return old.join(seen.distinct(), "run_id", "left_anti").select("run_id")
+    now = r.agg(F.max("started_us")).first()[0]
+    return catalog.stale_runs(r, seen, now, 86_400_000_000).select("run_id")
 
 
 @register("finalised_runs", RUNS + """
@@ -420,6 +419,13 @@ def stored_events(spark, d):
     return catalog.read_events(_ev(spark, d), "run-2").select("run_id", "seq", "ts_us", "syscall")
 
 
+@register("stored_metrics", with_views("metrics", sql="""
+, n AS (SELECT run_id, ts_us, cpu_pct, row_number() OVER (ORDER BY ts_us) - 1 AS i, count(*) OVER () AS n FROM metrics WHERE run_id = 'run-2')
+SELECT run_id, ts_us, cpu_pct FROM n WHERE i % CAST(ceil(n / 300.0) AS BIGINT) = 0"""))
+def stored_metrics(spark, d):
+    return catalog.read_metrics(view(spark, d, "metrics"), "run-2", 300).select("run_id", "ts_us", "cpu_pct")
+
+
 @register("stored_spans", with_views("http_spans", sql="""
 SELECT run_id, span_id, start_ns // 1000 AS ts_us FROM http_spans WHERE run_id = 'run-1' AND start_ns // 1000 BETWEEN 1000000 AND 90000000 ORDER BY ts_us DESC, span_id DESC LIMIT 500"""))
 def stored_spans(spark, d):
