@@ -2,8 +2,8 @@
 apart, letters repeated), then the restored text is scored by its words.
 
 Each disguised stretch becomes a lattice: every character may stand for itself, for the letters it resembles, or, between
-letters, for nothing; a run of one letter may be that letter once or twice. Viterbi finds the cheapest reading under a
-character trigram model counted over the whole corpus plus the cost of each disguise. Text without disguise has one reading
+letters, for nothing; a run of one letter may be that letter once or twice (of two, where words hardly have that letter twice). Viterbi finds the cheapest reading under a
+character trigram model counted over the whole corpus plus the cost of each disguise; no reading is cut. Text without disguise has one reading
 and is not decoded.
 """
 
@@ -31,11 +31,16 @@ APART = " .-_'~,/"
 SIGNS = re.compile("[" + re.escape("".join(STANDS_FOR)) + "]")
 JOINED = re.compile("[^\\W\\d_][._*'~\\-/,]+[^\\W\\d_]")
 RUN = re.compile("([^\\W\\d_])\\1\\1")
-SPACED = re.compile("(?<!\\S)(?:[^\\W_]|[@$!])(?:[ ._*-](?:[^\\W_]|[@$!])){2,}(?!\\S)")
+PAIR = re.compile("([^\\W\\d_])\\1")
+#: Single letters set apart by any gaps; the first does not follow an apostrophe within a word.
+SPACED = re.compile("(?<![^\\W_]['’])(?<![^\\W_])(?:[^\\W_]|[@$!])(?:[\\s._*-]+(?:[^\\W_]|[@$!])){2,}(?![^\\W_])")
+LOOKALIKE = re.compile("[" + "".join(c for c in STANDS_FOR if c.isalpha()) + "]")
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…*#%&$|~^=+-_/\\"
 
 #: Costs of the channel, in nats.
 LITERAL, SIGN, DROP, ONCE = 9.0, 0.7, 0.7, 0.3
+#: Nats from which a letter twice in a row, and a whole short word, is rare.
+RARE_PAIR, RARE_PIECE = 4.5, 6.5
 
 
 def _codes() -> bytes:
@@ -85,12 +90,12 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 class Decoder:
     """Cheapest readings of disguised stretches; results are remembered up to a bound."""
 
-    def __init__(self, costs: np.ndarray, remember: int = 100_000, width: int = 24):
-        self.costs, self.remember, self.width, self.known = costs.tolist(), remember, width, {}
+    def __init__(self, costs: np.ndarray, remember: int = 100_000):
+        self.costs, self.remember, self.known, self.pieces = costs.tolist(), remember, {}, {}
 
     def arcs(self, s: str) -> list[list[tuple[int, str, float]]]:
         """From each position: (next position, letters read, cost of the channel)."""
-        out, ends = [], list(range(1, len(s) + 1))  # where the run of each character ends
+        out, ends, doubled = [], list(range(1, len(s) + 1)), self.doubled(s)  # where the run of each character ends
         for i in range(len(s) - 2, -1, -1):
             if s[i] == s[i + 1]:
                 ends[i] = ends[i + 1]
@@ -102,6 +107,8 @@ class Decoder:
                 arcs.append((i + 1, c, 0.0))
                 if run >= 3:  # written out by force: once, or twice as many words have it
                     arcs = [(j, c, ONCE), (j, c + c, ONCE)]
+                elif run == 2 and doubled:
+                    arcs.append((j, c, SIGN))
             else:
                 arcs += [(i + 1, letter, SIGN) for letter in STANDS_FOR.get(c, "")]
                 if c in APART:
@@ -110,6 +117,42 @@ class Decoder:
             out.append(arcs)
         return out
 
+    def doubled(self, s: str) -> bool:
+        """Whether a letter comes twice where words hardly have it twice, or oftener than words have any."""
+        for m in PAIR.finditer(s):
+            k, at = code(m[1]), m.start()
+            if k and self.costs[code(s[at - 1]) if at else 0][k][k] > RARE_PAIR:
+                return True
+        return RUN.search(s) is not None
+
+    def piece(self, w: str) -> tuple[str, bool, bool] | None:
+        """A word of at most three letters that is hardly one, by its cost from edge to edge, and whether signs stand before
+        and after it."""
+        core = w.strip(EDGES)
+        if not 0 < len(core) < 4 or not core.isalpha():
+            return None
+        p, q, total = 0, 0, 0.0
+        for k in [*map(code, core), 0]:
+            total += self.costs[p][q][k]
+            p, q = q, k
+        return (core, not w.startswith(core), not w.endswith(core)) if total > RARE_PIECE else None
+
+    def set_apart(self, words: list[str]) -> list[str]:
+        """Neighbouring rare pieces of at most three letters, spaces between: a word may have been cut into them."""
+        out, last, pieces = [[]], -2, self.pieces
+        for i, w in enumerate(words):
+            if w not in pieces:
+                if len(pieces) >= self.remember:
+                    pieces.clear()
+                pieces[w] = self.piece(w)
+            found = pieces[w]
+            if found:
+                if last != i - 1 or found[1]:
+                    out.append([])
+                out[-1].append(found[0])
+                last = -2 if found[2] else i
+        return [" ".join(x) for x in out if len(x) > 1]
+
     def read(self, s: str) -> str:
         """The stretch as restored words, spaces between."""
         if s in self.known:
@@ -118,8 +161,6 @@ class Decoder:
         layers[0] = {(0, 0): (0.0, None, "")}
         for i, arcs in enumerate(self.arcs(s)):
             states = layers[i]
-            if len(states) > self.width:
-                states = dict(sorted(states.items(), key=lambda x: x[1][0])[:self.width])
             for (a, b), (cost, _, _) in states.items():
                 for j, letters, more in arcs:
                     p, q, total = a, b, cost + more
@@ -143,23 +184,32 @@ class Decoder:
         self.known[s] = text
         return text
 
+    @staticmethod
+    def mixed(w: str) -> bool:
+        """Whether a word has letters of other scripts that look like a-z beside such letters."""
+        return LOOKALIKE.search(w) is not None and any("a" <= c <= "z" for c in w)
+
     def restored(self, text: str) -> set[str]:
         """Words of the restored text, in lower case."""
         low = text.lower()
         out = set()
-        for w in set(low.split()):
-            if w.isalpha() and not RUN.search(w):
+        words = low.split()
+        for w in set(words):
+            twice = PAIR.search(w) and self.doubled(w)
+            if w.isalpha() and not twice and (w.isascii() or not self.mixed(w)):
                 out.add(w)
                 continue
             core = w.strip(EDGES)
             if core.isalpha() and not RUN.search(core):
                 out.add(core)
-            if SIGNS.search(w) or JOINED.search(w) or RUN.search(w):
+            if SIGNS.search(w) or JOINED.search(w) or twice:
                 if re.search("[^\\W\\d_]", w):
                     for form in {core, w.strip(".,;:?\"'()[]{}")}:
                         out.update(self.read(form).split())
         for m in SPACED.finditer(low):
-            out.update(self.read(m[0]).split())
+            out.update(self.read(" ".join(m[0].split())).split())
+        for stretch in self.set_apart(words):
+            out.update(self.read(stretch).split())
         return out
 
 
