@@ -27,6 +27,7 @@ ATTRIBUTE = re.compile("(class|id|role|data-y)\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)'
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 UNSEEN = set("script style noscript template svg math title iframe object canvas audio video head select option datalist".split())
 RAW = set("script style noscript template svg math title iframe object canvas audio video textarea select".split())
+IN_HEAD = set("html head title base link meta style script noscript template".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup "
              "time tt u var wbr br img".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -82,6 +83,8 @@ def blocks(html: str, labelled: bool = False) -> list[tuple[str, list[str], floa
         if m[2] is None:
             if piece[:2] in ("<!", "<?") and len(piece) > 1:
                 continue
+            if stack and stack[-1][0] == "head" and not piece.isspace():
+                stack.pop()
             if path is None and not piece.isspace():
                 path = [n for _, names in stack for n in names]
             held.append(piece)
@@ -97,6 +100,10 @@ def blocks(html: str, labelled: bool = False) -> list[tuple[str, list[str], floa
             if any(t == tag for t, _ in stack):
                 close({tag}, set())
             continue
+        if tag not in IN_HEAD:  # </head> may be left out
+            close({"head"}, set())
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(html, at)
             at = end.end() if end else size
