@@ -75,7 +75,9 @@ RULES = [
     ("Unlicense", ["Unlicense"]),
 ]
 HINT = "licen[cs]e|permission|redistribut|warrant|copyright|public domain|in no event|as is"
-END = "[.!?]+[ \\t\\r\\n]+|[.!?]+$|\\n[ \\t\\r]*\\n|\\n"
+#: Signs of a comment before a line; the end of a sentence, which a version's "v." is not and a line's end is not either.
+PREFIX = "(?m)^[ \\t]*(?://+|#+|/?\\*+/?|--+|;+|>+|%+)[ \\t]*"
+END = "(?<![vV])[.!?]+[ \\t\\r\\n]+|[.!?]+$|\\n[ \\t\\r]*\\n"
 
 
 def normalised(sentence: Column) -> Column:
@@ -88,10 +90,16 @@ def identifier(sentence: Column) -> Column:
 
 
 def identifiers(docs: DataFrame) -> DataFrame:
-    """(doc_id, ids): the identifiers of each text's known sentences in order. A line's end ends a sentence."""
-    rows = common.texts(docs)
-    found = F.when(F.lower("text").rlike(HINT), F.filter(F.transform(
-        F.filter(F.split(F.regexp_replace("text", END, "\n"), "\n"), lambda s: F.lower(s).rlike(HINT)), lambda s: identifier(normalised(s))), lambda k: k.isNotNull()))
+    """(doc_id, ids): the identifiers of each text's known sentences in order. A sentence may go over several lines of a
+    paragraph; where single lines of it are known, as one-line notices are, they count instead."""
+    rows, hint = common.texts(docs), HINT + "|cc0"
+    sentences = F.split(F.regexp_replace(F.regexp_replace("text", PREFIX, ""), END, "\u0001"), "\u0001")
+
+    def known(sentence: Column) -> Column:
+        one = lambda s: F.filter(F.transform(s, lambda x: identifier(normalised(x))), lambda k: k.isNotNull())
+        lines = one(F.filter(F.split(sentence, "\n"), lambda x: F.lower(x).rlike(hint)))
+        return F.when(F.size(lines) > 0, lines).otherwise(one(F.array(sentence)))
+    found = F.when(F.lower("text").rlike(hint), F.flatten(F.transform(F.filter(sentences, lambda s: F.lower(s).rlike(hint)), known)))
     return project_where(rows, F.lit(True), F.col("doc_id"), F.coalesce(found, F.array().cast("array<string>")).alias("ids"))
 
 
