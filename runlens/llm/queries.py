@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters: QUERIES, and ORACLES where SQL can say the same."""
+"""The operators over their whole tables, with production parameters: QUERIES, and ORACLES where SQL can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compression, language, licences, neighbours, packing, pages, sentencepieces, simhash, toxicity, weak_rules
+from . import bytepairs, common, compression, language, licences, manifest, neighbours, packing, pages, periodic, sentencepieces, simhash, toxicity, weak_rules
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,18 @@ ORACLES["op2_licence_scan"] = licences.oracle()
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.detect(periodic.replanted(table(spark, sf_dir, "documents")), least=12))
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(table(spark, sf_dir, "documents"), common.fold(F.col("doc_id"), 7) == 0)
