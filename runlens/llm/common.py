@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from functools import reduce
+from itertools import filterfalse
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,58 @@ def held(key, make: Callable):
     return store[key]
 
 
+def held_latest(name: str, key, make: Callable):
+    """As held(), but a worker keeps only the latest key's value of a name."""
+    slot = held(("latest", name), lambda: [None, None])
+    if slot[0] != key:
+        slot[:] = None, None
+        slot[:] = key, make()
+    return slot[1]
+
+
+class Remembered(dict):
+    """What make gives for each short text, the newest and those asked for since: two halves, of which the older goes when the
+    newer is full."""
+
+    def __init__(self, make: Callable, remember: int, longest: int):
+        super().__init__()
+        self.make, self.half, self.longest, self.older = make, max(1, remember // 2), longest, {}
+
+    def __missing__(self, text: str):
+        made = self.older.get(text, self)
+        if made is self:
+            made = self.make(text)
+        if len(text) <= self.longest:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[text] = made
+        return made
+
+
+class Memory:
+    """Remembers what make() gives for short texts, the newest and those wanted since: two halves, of which the older goes when the
+    newer is full. The newer holds all that the last fill() asked for."""
+
+    def __init__(self, make, remember: int, longest: int):
+        self.make, self.half, self.longest, self.now, self.older, self.long = make, max(1, remember // 2), longest, {}, {}, []
+
+    def fill(self, wanted: Iterable[str]):
+        """A function from each of the wanted texts to what is remembered of it."""
+        for text in self.long:
+            del self.now[text]
+        if len(self.now) >= self.half:
+            self.now, self.older = {}, self.now
+        missing = set(filterfalse(self.now.__contains__, wanted))
+        known = list(filter(self.older.__contains__, missing))
+        self.now.update(zip(known, map(self.older.__getitem__, known)))
+        new = list(filterfalse(self.older.__contains__, missing)) if known else list(missing)
+        self.long = [text for text in new if len(text) > self.longest]
+        if new:
+            self.now.update(zip(new, self.make(new)))
+        return self.now.__getitem__
+
+
 def groups(texts: list, most: int = 128, chars: int = 1 << 19):
     """Ranges of a batch, bounded in rows and, but for a single long text, in characters."""
     start, held = 0, 0
