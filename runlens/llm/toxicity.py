@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,9 @@ RUN = re.compile("([^\\W\\d_])\\1\\1")
 PAIR = re.compile("([^\\W\\d_])\\1")
 #: Single letters set apart by any gaps; the first does not follow an apostrophe within a word.
 SPACED = re.compile("(?<![^\\W_]['’])(?<![^\\W_])(?:[^\\W_]|[@$!])(?:[\\s._*-]+(?:[^\\W_]|[@$!])){2,}(?![^\\W_])")
+#: A letter that stands alone, as all of the above do, or a gap without any letter.
+LOOSE = re.compile("(?<![^\\W_])(?:[^\\W_]|[@$!])(?![^\\W_])|^[._*-]+$")
+LETTER = re.compile("[^\\W\\d_]")
 LOOKALIKE = re.compile("[" + "".join(c for c in STANDS_FOR if c.isalpha()) + "]")
 EDGES = ".,;:!?\"'()[]{}<>«»„“”…*#%&$|~^=+-_/\\"
 
@@ -55,8 +59,11 @@ def _codes() -> bytes:
 CODES = _codes()
 
 
+CODE = {chr(i): c for i, c in enumerate(CODES)}
+
+
 def code(c: str) -> int:
-    return CODES[ord(c)] if ord(c) < 256 else 0
+    return CODE.get(c, 0)
 
 
 def trigrams(docs: DataFrame) -> np.ndarray:
@@ -88,21 +95,24 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Cheapest readings of disguised stretches; results are remembered up to a bound."""
+    """Cheapest readings of disguised stretches. What a word gives is decided once and remembered, up to a bound.
+
+    make turns the restored words of one place into what is collected from a text (by default themselves)."""
 
-    def __init__(self, costs: np.ndarray, remember: int = 100_000):
-        self.costs, self.remember, self.known, self.pieces = costs.tolist(), remember, {}, {}
+    def __init__(self, costs: np.ndarray, make: Callable[[set[str]], set[str]] = set, remember: int = 200_000, longest: int = 200):
+        self.costs, self.make = costs.tolist(), make
+        self.known = common.Remembered(self._read, remember // 2, longest)
+        self.words = common.Remembered(self._word, remember, longest)
 
-    def arcs(self, s: str) -> list[list[tuple[int, str, float]]]:
+    def arcs(self, s: str, start: int = 0) -> Iterator[list[tuple[int, str, float]]]:
         """From each position: (next position, letters read, cost of the channel)."""
-        out, ends, doubled = [], list(range(1, len(s) + 1)), self.doubled(s)  # where the run of each character ends
-        for i in range(len(s) - 2, -1, -1):
-            if s[i] == s[i + 1]:
-                ends[i] = ends[i + 1]
-        for i, c in enumerate(s):
-            arcs = []
+        j, doubled = 0, self.doubled(s)
+        for i in range(start, len(s)):
+            c, arcs = s[i], []
             if c.isalpha() and c not in STANDS_FOR:
-                j = ends[i]
+                j = max(j, i + 1)  # where the run of this letter ends
+                while j < len(s) and s[j] == c:
+                    j += 1
                 run = j - i
                 arcs.append((i + 1, c, 0.0))
                 if run >= 3:  # written out by force: once, or twice as many words have it
@@ -114,8 +124,7 @@ class Decoder:
                 if c in APART:
                     arcs.append((i + 1, "", DROP))
                 arcs.append((i + 1, " ", LITERAL if c != " " else 2.0))
-            out.append(arcs)
-        return out
+            yield arcs
 
     def doubled(self, s: str) -> bool:
         """Whether a letter comes twice where words hardly have it twice, or oftener than words have any."""
@@ -137,79 +146,123 @@ class Decoder:
             p, q = q, k
         return (core, not w.startswith(core), not w.endswith(core)) if total > RARE_PIECE else None
 
-    def set_apart(self, words: list[str]) -> list[str]:
-        """Neighbouring rare pieces of at most three letters, spaces between: a word may have been cut into them."""
-        out, last, pieces = [[]], -2, self.pieces
-        for i, w in enumerate(words):
-            if w not in pieces:
-                if len(pieces) >= self.remember:
-                    pieces.clear()
-                pieces[w] = self.piece(w)
-            found = pieces[w]
-            if found:
-                if last != i - 1 or found[1]:
-                    out.append([])
-                out[-1].append(found[0])
-                last = -2 if found[2] else i
-        return [" ".join(x) for x in out if len(x) > 1]
-
     def read(self, s: str) -> str:
         """The stretch as restored words, spaces between."""
-        if s in self.known:
-            return self.known[s]
-        costs, layers = self.costs, [{} for _ in range(len(s) + 1)]
-        layers[0] = {(0, 0): (0.0, None, "")}
-        for i, arcs in enumerate(self.arcs(s)):
-            states = layers[i]
+        return self.known[s]
+
+    def _read(self, s: str, every: int = 256) -> str:
+        """Viterbi over the lattice. Every few characters the paths that are left are followed back to where they meet; what lies
+        before is settled, and its cells are let go, so that a long stretch takes no more memory than a short one."""
+        costs, start, p, q, total, get = self.costs, 0, 0, 0, 0.0, CODE.get
+        for c, follows in zip(s, s[1:] + " "):  # the plain letters that it begins with have one reading
+            if c == follows or c in STANDS_FOR or not c.isalpha():
+                break
+            k = get(c, 0)
+            if k or q:
+                total += costs[p][q][k]
+                p, q = q, k
+            start += 1
+        layers, out = {start: {(p, q): (total, None, "")}}, [s[:start]]
+        for i, arcs in enumerate(self.arcs(s, start) if start < len(s) else (), start):
+            states = layers.get(i)
+            if states is None:
+                continue
             for (a, b), (cost, _, _) in states.items():
                 for j, letters, more in arcs:
                     p, q, total = a, b, cost + more
                     for x in letters:
-                        k = code(x)
+                        k = get(x, 0)
                         if k or q:
                             total += costs[p][q][k]
                             p, q = q, k
-                    old = layers[j].get((p, q))
+                    layer = layers.get(j)
+                    if layer is None:
+                        layer = layers[j] = {}
+                    old = layer.get((p, q))
                     if old is None or total < old[0]:
-                        layers[j][(p, q)] = (total, (i, a, b), letters)
-        end = min(layers[-1].items(), key=lambda x: x[1][0] + (costs[x[0][0]][x[0][1]][0] if x[0][1] else 0.0))
-        out, cell = [], end[1]
-        while cell[1] is not None:
-            out.append(cell[2])
-            i, a, b = cell[1]
-            cell = layers[i][(a, b)]
-        text = " ".join("".join(reversed(out)).split())
-        if len(self.known) >= self.remember:
-            self.known.clear()
-        self.known[s] = text
-        return text
+                        layer[p, q] = (total, (i, a, b), letters)
+            if i % every == every - 1:
+                self._settle(layers, i, out)
+        end = min(layers[len(s)].items(), key=lambda x: x[1][0] + (costs[x[0][0]][x[0][1]][0] if x[0][1] else 0.0))
+        out.append(self._back(layers, (len(s), *end[0])))
+        return " ".join("".join(out).split())
+
+    @staticmethod
+    def _back(layers: dict, cell: tuple[int, int, int]) -> str:
+        """Letters read from the first cell that is kept up to this one."""
+        out = []
+        while True:
+            _, back, letters = layers[cell[0]][cell[1:]]
+            if back is None:
+                return "".join(reversed(out))
+            out.append(letters)
+            cell = back
+
+    def _settle(self, layers: dict, i: int, out: list[str]) -> None:
+        """Where all paths into places after i meet, what is read up to there goes to out, and earlier places are let go."""
+        cells = {(j, *state) for j, layer in layers.items() if j > i for state in layer}
+        while len(cells) > 1:
+            last = max(c[0] for c in cells)
+            here = {c for c in cells if c[0] == last}
+            backs = {layers[last][c[1:]][1] for c in here}
+            if None in backs:
+                return
+            cells = cells - here | backs
+        meet = cells.pop()
+        if meet[0] > i:
+            return
+        out.append(self._back(layers, meet))
+        cost = layers[meet[0]][meet[1:]][0]
+        for j in [j for j in layers if j <= meet[0]]:
+            del layers[j]
+        layers[meet[0]] = {meet[1:]: (cost, None, "")}
 
     @staticmethod
     def mixed(w: str) -> bool:
         """Whether a word has letters of other scripts that look like a-z beside such letters."""
         return LOOKALIKE.search(w) is not None and any("a" <= c <= "z" for c in w)
 
+    def forms(self, w: str) -> set[str]:
+        """What a word in lower case may be: itself, if it is plain, and its reading, if it seems disguised."""
+        twice = PAIR.search(w) and self.doubled(w)
+        if w.isalpha() and not twice and (w.isascii() or not self.mixed(w)):
+            return {w}
+        core, out = w.strip(EDGES), set()
+        if core.isalpha() and not RUN.search(core):
+            out.add(core)
+        if (SIGNS.search(w) or JOINED.search(w) or twice) and LETTER.search(w):
+            for form in {core, w.strip(".,;:?\"'()[]{}")}:
+                out.update(self.read(form).split())
+        return out
+
+    def _word(self, w: str) -> tuple[set[str], bool, tuple[str, bool, bool] | None] | None:
+        """(what it gives, whether letters set apart may go on in it, its piece()); None if all are empty."""
+        gives, loose, piece = self.make(self.forms(w)), LOOSE.search(w) is not None, self.piece(w)
+        return (gives, loose, piece) if gives or loose or piece else None
+
     def restored(self, text: str) -> set[str]:
-        """Words of the restored text, in lower case."""
-        low = text.lower()
-        out = set()
-        words = low.split()
-        for w in set(words):
-            twice = PAIR.search(w) and self.doubled(w)
-            if w.isalpha() and not twice and (w.isascii() or not self.mixed(w)):
-                out.add(w)
-                continue
-            core = w.strip(EDGES)
-            if core.isalpha() and not RUN.search(core):
-                out.add(core)
-            if SIGNS.search(w) or JOINED.search(w) or twice:
-                if re.search("[^\\W\\d_]", w):
-                    for form in {core, w.strip(".,;:?\"'()[]{}")}:
-                        out.update(self.read(form).split())
-        for m in SPACED.finditer(low):
-            out.update(self.read(" ".join(m[0].split())).split())
-        for stretch in self.set_apart(words):
-            out.update(self.read(stretch).split())
+        """What the words of the restored text give, in lower case."""
+        words = text.lower().split()
+        found, out, apart, spaced = list(map(self.words.__getitem__, words)), set(), [], []
+        last_piece = last_loose = -2
+        for i, (gives, loose, piece) in [(i, x) for i, x in enumerate(found) if x is not None]:
+            out |= gives
+            if loose:  # single letters, any gaps between
+                if last_loose != i - 1:
+                    spaced.append([])
+                spaced[-1].append(words[i])
+                last_loose = i
+            if piece:  # neighbouring rare pieces of at most three letters: a word may have been cut into them
+                if last_piece != i - 1 or piece[1]:
+                    apart.append([])
+                apart[-1].append(piece[0])
+                last_piece = -2 if piece[2] else i
+        read = [" ".join(x) for x in apart if len(x) > 1]
+        for stretch in map(" ".join, spaced):
+            if len(stretch) > 4:  # three letters, two gaps
+                read += [" ".join(m[0].split()) for m in SPACED.finditer(stretch)]
+        if read:
+            out |= self.make({w for s in read for w in self.read(s).split()})
         return out
 
 
@@ -252,14 +305,14 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 6000
     sample = common.labelled_sample(docs, labels, "toxic", train, per_label)
 
     def run(batches):
-        decoder = Decoder(costs)
+        decoder = Decoder(costs, marks)
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "y": b["y"], "marks": [sorted(marks(decoder.restored(t))) for t in b["text"]]})
+            yield pd.DataFrame({"h": b["h"], "y": b["y"], "marks": [sorted(decoder.restored(t)) for t in b["text"]]})
 
     marked = common.cut(sample.select("h", "y", "text").mapInPandas(run, "h long, y int, marks array<string>"))
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1):
-        return {"costs": costs, "base": -3.0, "weights": {}}
+        return {"key": uuid.uuid4().hex, "costs": costs, "base": -3.0, "weights": {}}
     each = marked.select("h", "y", F.explode("marks").alias("mark"))
     lift = (F.col("pos") / sizes[1]) / ((F.col("n") - F.col("pos") + 0.5) / (sizes.get(0, 0) + 1))
     best = each.groupBy("mark").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).filter((F.col("pos") >= 3) & (lift > 4)) \
@@ -272,16 +325,17 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 6000
     all_ = {r["y"]: r["n"] for r in labels.filter(train & F.col("toxic").isNotNull()).groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).limit(10).collect()}
     weight = np.array([all_[int(v)] / sum(all_.values()) * len(y) / max(1, (y == v).sum()) for v in y])
     base, coef = boost(np.array([row[h] for h in at["h"]], dtype=int), np.array([index[m] for m in at["mark"]], dtype=int), y, weight, len(names))
-    return {"costs": costs, "base": base, "weights": {m: float(w) for m, w in zip(names, coef) if w}}
+    return {"key": uuid.uuid4().hex, "costs": costs, "base": base, "weights": {m: float(w) for m, w in zip(names, coef) if w}}
 
 
 def scorer(model: dict):
     """A function from a column of texts to scores; null and empty texts have no words, and the score of none."""
     @F.pandas_udf("double")
     def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        decoder, weights, base = Decoder(model["costs"]), model["weights"], model["base"]
+        weights, base = model["weights"], model["base"]
+        decoder = common.held_latest("toxicity", model["key"], lambda: Decoder(model["costs"], lambda words: marks(words) & weights.keys()))
         for texts in batches:
-            f = np.array([base + sum(weights[m] for m in marks(decoder.restored(t or "")) & weights.keys()) for t in texts], dtype=float)
+            f = np.array([base + sum(weights[m] for m in decoder.restored(t or "")) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
     return toxicity_score
 

@@ -22,7 +22,7 @@ def test_disguised(decoder, text, word):
 def test_no_reading_is_cut(decoder):
     """A reading whose beginning is dear among more than 24 states: against a decoder of plain recursion."""
     s = "*#%*ot"
-    arcs = decoder.arcs(s)
+    arcs = list(decoder.arcs(s))
 
     def least(i, p, q):
         if i == len(s):

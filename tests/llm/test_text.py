@@ -4,6 +4,7 @@ import collections
 import html
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -194,7 +195,7 @@ def test_toxic_words_behind_disguise():
 def test_viterbi_is_the_cheapest_reading():
     draw = np.random.default_rng(1)
     costs = toxicity.language_model(draw.integers(0, 9, (27, 27, 27)).astype(float))
-    decoder = toxicity.Decoder(costs, width=10_000)
+    decoder = toxicity.Decoder(costs)
 
     def readings(i, arcs, n):
         if i == n:
@@ -213,10 +214,23 @@ def test_viterbi_is_the_cheapest_reading():
                 a, b = b, k
         return total + (costs[a][b][0] if b else 0.0)
 
-    for s in ["1d10t", "l.0-5er", "aaab4", "x y z1"]:
-        best = min(cost + price(text) for text, cost in readings(0, decoder.arcs(s), len(s)))
+    for s in ["1d10t", "l.0-5er", "aaab4", "x y z1", "plain", "pl00n", "aabb1a"]:
+        best = min(cost + price(text) for text, cost in readings(0, list(decoder.arcs(s)), len(s)))
         found = decoder.read(s)
-        assert any(abs(cost + price(text) - best) < 1e-9 and " ".join(text.split()) == found for text, cost in readings(0, decoder.arcs(s), len(s)))
+        assert any(abs(cost + price(text) - best) < 1e-9 and " ".join(text.split()) == found for text, cost in readings(0, list(decoder.arcs(s)), len(s)))
+
+
+def test_long_stretches_are_settled_on_the_way():
+    """Readings do not depend on where paths are let go, and a stretch of signs takes little memory."""
+    draw = np.random.default_rng(2)
+    decoder = toxicity.Decoder(toxicity.language_model(draw.integers(0, 9, (27, 27, 27)).astype(float)))
+    for _ in range(40):
+        s = "".join(draw.choice(list("abst10$ .-!*aaa"), draw.integers(1, 60)))
+        assert decoder._read(s, every=1) == decoder._read(s, every=3) == decoder._read(s, every=10 ** 9), s
+    tracemalloc.start()
+    assert len(decoder._read("1d10t.!" * 30_000)) > 30_000
+    assert tracemalloc.get_traced_memory()[1] < 60e6
+    tracemalloc.stop()
 
 
 def test_held_out_accuracy(spark):
