@@ -29,6 +29,7 @@ _ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa0-įı-ɏ]")
 _PLAIN = bytes([*b"\t\n\x0b\x0c\r", *range(0x20, 0x7F), *range(0xA0, 0x100)])
 #: Stands between words that are encoded together. Its UTF-8 bytes begin as none of a word's can.
 _BETWEEN = "\ue000"
+_STOPS = ".,;:!?"
 
 
 def plain(text: str) -> bool:
@@ -41,34 +42,87 @@ def plain(text: str) -> bool:
         return not _ODD.search(text)
 
 
+class Memory(dict):
+    """Remembers the ids of short texts in two halves, of which the older goes when the newer is full. One look-up a word: a new
+    word stands for itself until all new words of a call are encoded together."""
+
+    def __init__(self, make, remember: int, longest: int):
+        super().__init__()
+        self.make, self.half, self.longest, self.older, self.new, self.long = make, max(1, remember // 2), longest, {}, [], []
+
+    def __missing__(self, text: str):
+        made = self.older.get(text)
+        if made is None:
+            self.new.append(text)
+            made = text
+        self[text] = made
+        return made
+
+    def encoded(self, rows: list[list[str]]) -> list[list[bytes]]:
+        for text in self.long:
+            del self[text]
+        if len(self) >= self.half:
+            self.older = dict(self)
+            self.clear()
+        get = self.__getitem__
+        found = [list(map(get, row)) for row in rows]
+        new, self.new = self.new, []
+        self.long = [text for text in new if len(text) > self.longest]
+        if new:
+            self.update(zip(new, self.make(new)))
+            found = [[get(x) if x.__class__ is str else x for x in row] for row in found]
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins over white space, so a text's ids are
     those of its words in turn; a word is encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
 
-    def __init__(self, file: str, remember: int = 150_000):
+    def __init__(self, file: str, remember: int = 600_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer, self.known, self.remember = Tokenizer.from_file(file), {}, remember
+        self.tokenizer = Tokenizer.from_file(file)
+        self.words = Memory(self._words, remember, longest)
+        self.parts = Memory(self._parts, remember, longest)
+        self.parts.older[""] = b""
         self.between = np.array(self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, "<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
-    def _learn(self, new: list[str], together: int = 100) -> None:
-        lines = [new[i:i + together] for i in range(0, len(new), together)]
-        joined = [f" {_BETWEEN} ".join(line) for line in lines]
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+    def _marked(self, lines: list[list[str]]) -> list[bytes]:
+        out = []
+        for e in self.tokenizer.encode_batch_fast([f" {_BETWEEN} ".join(line) for line in lines], add_special_tokens=False):
             ids = np.array(e.ids, "<u4")
             at, data, gap = np.flatnonzero(ids == self.between[0]) * 4, ids.tobytes(), 4 * len(self.between)
-            self.known.update(zip(line, [data[a:b] for a, b in zip([0, *(at + gap).tolist()], [*at.tolist(), len(data)])]))
+            out += [data[a:b] for a, b in zip([0, *(at + gap).tolist()], [*at.tolist(), len(data)])]
+        return out
+
+    def _parts(self, new: list[str], together: int = 100) -> list[bytes]:
+        """A part of letters only is one pre-token, and its last id is one that ends words; others are told apart by a mark."""
+        letters = [w for w in new if w.isalpha()]
+        lines = [letters[i:i + together] for i in range(0, len(letters), together)]
+        out = {}
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            data, at = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            out.update(zip(line, [data[a:b] for a, b in zip([0, *at], at)] if len(at) == len(line) else self._marked([line])))
+        rest = [w for w in new if w not in out]
+        out.update(zip(rest, self._marked([rest[i:i + together] for i in range(0, len(rest), together)])))
+        return [out[w] for w in new]
+
+    def _words(self, new: list[str]) -> list[bytes]:
+        """The tokenizer always cuts between a letter or digit and the stops that end a word."""
+        cores = [w.rstrip(_STOPS) for w in new]
+        cores = [c if c and c[-1].isalnum() else w for c, w in zip(cores, new)]
+        ends = [w[len(c):] for c, w in zip(cores, new)]
+        cores, ends = self.parts.encoded([cores, ends])
+        return list(map(bytes.__add__, cores, ends))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [t.lower().split() if plain(t) else None for t in texts]
-        new = set().union(*[w for w in cut if w]).difference(self.known)
-        if len(self.known) > self.remember:
-            self.known.clear()
-            new = set().union(*[w for w in cut if w])
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(map(get, words))
+        found = iter(self.words.encoded([w for w in cut if w is not None]))
+        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(next(found))
                 for t, words in zip(texts, cut)]
 
 
