@@ -48,7 +48,7 @@ def held(key, make: Callable):
 
 
 def held_latest(name: str, key, make: Callable):
-    """As held(), but a worker keeps only the latest key's value of a name."""
+    """As held(), but a worker keeps only the latest key's value of a name: what stages remember of words does not add up."""
     slot = held(("latest", name), lambda: [None, None])
     if slot[0] != key:
         slot[:] = None, None

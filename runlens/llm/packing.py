@@ -78,7 +78,7 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins over white space, so a text's ids are
     those of its words in turn; a word is encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
 
-    def __init__(self, file: str, remember: int = 600_000, longest: int = 200):
+    def __init__(self, file: str, remember: int = 400_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
@@ -129,17 +129,20 @@ class Encoder:
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every row; a null text counts as empty."""
     def run(batches):
-        encode = common.held(("encoder", tokenizer), lambda: Encoder(tokenizer))
+        encode = common.held_latest("words", ("packing", tokenizer), lambda: Encoder(tokenizer))
         for batch in batches:
-            texts, ids = batch["text"].fillna("").tolist(), batch["doc_id"].tolist()
+            texts, ids, rows = batch["text"].fillna("").tolist(), batch["doc_id"].tolist(), []
             for a, b in common.groups(texts):
-                rows = []
                 for doc, data in zip(ids[a:b], encode(texts[a:b])):
                     data += b"\0\0\0\0"
-                    rows += [(doc, k, at // 4, min(size, (len(data) - at) // 4), zlib.crc32(data[at:at + 4 * size]))
-                             for k, at in enumerate(range(0, len(data), 4 * size))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.astype({"doc_id": "Int64"})
+                    n = len(data) // 4
+                    if n <= size:
+                        rows.append((doc, 0, 0, n, zlib.crc32(data)))
+                    else:
+                        data = memoryview(data)
+                        rows += [(doc, k, at, min(size, n - at), zlib.crc32(data[4 * at:4 * (at + size)])) for k, at in enumerate(range(0, n, size))]
+            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+            yield out.astype({"doc_id": "Int64"})
     return common.texts(docs).mapInPandas(run, PIECES)
 
 

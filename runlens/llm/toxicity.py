@@ -94,12 +94,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(rates(counts, two, 20.0))
 
 
+_NOTHING: frozenset[str] = frozenset()
+
+
 class Decoder:
     """Cheapest readings of disguised stretches. What a word gives is decided once and remembered, up to a bound.
 
     make turns the restored words of one place into what is collected from a text (by default themselves)."""
 
-    def __init__(self, costs: np.ndarray, make: Callable[[set[str]], set[str]] = set, remember: int = 200_000, longest: int = 200):
+    def __init__(self, costs: np.ndarray, make: Callable[[set[str]], set[str]] = set, remember: int = 160_000, longest: int = 200):
         self.costs, self.make = costs.tolist(), make
         self.known = common.Remembered(self._read, remember // 2, longest)
         self.words = common.Remembered(self._word, remember, longest)
@@ -237,7 +240,7 @@ class Decoder:
 
     def _word(self, w: str) -> tuple[set[str], bool, tuple[str, bool, bool] | None] | None:
         """(what it gives, whether letters set apart may go on in it, its piece()); None if all are empty."""
-        gives, loose, piece = self.make(self.forms(w)), LOOSE.search(w) is not None, self.piece(w)
+        gives, loose, piece = self.make(self.forms(w)) or _NOTHING, LOOSE.search(w) is not None, self.piece(w)
         return (gives, loose, piece) if gives or loose or piece else None
 
     def restored(self, text: str) -> set[str]:
@@ -333,7 +336,7 @@ def scorer(model: dict):
     @F.pandas_udf("double")
     def toxicity_score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         weights, base = model["weights"], model["base"]
-        decoder = common.held_latest("toxicity", model["key"], lambda: Decoder(model["costs"], lambda words: marks(words) & weights.keys()))
+        decoder = common.held_latest("words", ("toxicity", model["key"]), lambda: Decoder(model["costs"], lambda words: marks(words) & weights.keys()))
         for texts in batches:
             f = np.array([base + sum(weights[m] for m in decoder.restored(t or "")) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(f, -30, 30))))
