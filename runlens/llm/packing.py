@@ -78,7 +78,7 @@ class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins over white space, so a text's ids are
     those of its words in turn; a word is encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
 
-    def __init__(self, file: str, remember: int = 400_000, longest: int = 200):
+    def __init__(self, file: str, remember: int = 320_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(file)
