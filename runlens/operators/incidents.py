@@ -118,6 +118,22 @@ def merge_live(live: DataFrame, stored: DataFrame, keep: int | None = None) -> D
     return out if keep is None else top_k(out, ["run_id"], [F.desc("activity_us"), F.asc("incident_id")], keep)
 
 
+def with_hot(incidents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """T4, back-fill: incidents (run_id, incident_id, first_us, ...) with hot_us, hot_functions, hot_stack and hot_samples of the
+    profile snapshot (run_id, ts_us, functions, stack, samples) that stood when the incident began: the latest until then or, for
+    one that began before any, the first after it. Without a snapshot in its run they are null.
+
+    A run has few incidents (one for each live rule); they meet its snapshots by time alone, and the one chosen is then fetched."""
+    shots = snapshots.groupBy("run_id", "ts_us").agg(F.max(F.struct("functions", "stack", "samples")).alias("hot")).withColumnRenamed("ts_us", "hot_us")
+    before = c("hot_us") <= c("first_us")
+    met = incidents.select("run_id", "incident_id", "first_us").join(shots.select("run_id", "hot_us"), "run_id")
+    chosen = met.groupBy("run_id", "incident_id").agg(
+        F.coalesce(F.max(F.when(before, c("hot_us"))), F.min(F.when(~before, c("hot_us")))).alias("hot_us"))
+    hot = chosen.join(shots, ["run_id", "hot_us"]).select(
+        "run_id", "incident_id", "hot_us", c("hot.functions").alias("hot_functions"), c("hot.stack").alias("hot_stack"), c("hot.samples").alias("hot_samples"))
+    return incidents.join(hot, ["run_id", "incident_id"], "left")
+
+
 def finding_view(incidents: DataFrame) -> DataFrame:
     """Incidents in the shape of findings, for a run that is still live."""
     return incidents.select("run_id", c("incident_id").alias("id"), "rule_id", "severity", "title",

@@ -218,6 +218,21 @@ def incident_collapse(spark, d):
 WIDE = 36_000_000_000
 
 
+@register("incident_hot_context", with_views("metrics", "trace_events", sql=ALERTS + """
+, ev AS (SELECT run_id, (ts_us // 86400000000 + 1) * 86400000000 AS at_us, syscall AS fn, count(*) AS n FROM trace_events WHERE syscall IS NOT NULL GROUP BY 1, 2, 3),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY run_id, at_us ORDER BY n DESC, fn) AS r FROM ev),
+ sh AS (SELECT run_id, at_us, string_agg(fn, ',' ORDER BY r) FILTER (WHERE r <= 5) AS functions, max(fn) FILTER (WHERE r = 1) AS stack, CAST(sum(n) AS BIGINT) AS samples FROM rk GROUP BY 1, 2),
+ ch AS (SELECT i.incident_id, coalesce(max(at_us) FILTER (WHERE at_us <= first_us), min(at_us) FILTER (WHERE at_us > first_us)) AS at_us FROM inc i JOIN sh USING (run_id) GROUP BY 1)
+SELECT i.run_id, i.incident_id, i.first_us, ch.at_us AS hot_us, sh.functions, sh.stack, sh.samples FROM inc i LEFT JOIN ch USING (incident_id) LEFT JOIN sh ON sh.run_id = i.run_id AND sh.at_us = ch.at_us"""))
+def incident_hot_context(spark, d):
+    """A snapshot at each day's end; the calls of that day stand for its stacks."""
+    day = 86_400_000_000
+    calls = _ev(spark, d).where("syscall IS NOT NULL").groupBy("run_id", ((F.floor(c("ts_us") / day) + 1) * day).alias("ts_us"), "syscall").agg(F.count("*").alias("weight"))
+    shots = profiles.hot_context(calls.select("run_id", "ts_us", F.array("syscall").alias("frames"), "weight"), ["run_id", "ts_us"])
+    return incidents.with_hot(_incidents(spark, d), shots).select(
+        "run_id", "incident_id", "first_us", "hot_us", F.array_join("hot_functions", ",").alias("functions"), F.array_join("hot_stack", ";").alias("stack"), c("hot_samples").alias("samples"))
+
+
 @register("incident_context", with_views("metrics", sql=ALERTS + "SELECT * FROM ctx"))
 def incident_context(spark, d):
     return incidents.context(_incidents(spark, d), view(spark, d, "metrics"), WIDE).select(

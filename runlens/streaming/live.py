@@ -48,6 +48,20 @@ def incident_stream(alerts: DataFrame, limits: LiveLimits = LiveLimits(), keep_u
     return _stateful(alerts, ["run_id", "rule_id"], ["severity", "title"], state.IncidentCollapse(limits, keep_us), state.INCIDENT_UPDATE)
 
 
+def hot_incident_stream(alerts: DataFrame, snapshots: DataFrame, limits: LiveLimits = LiveLimits(), keep_us: int = state.KEEP_US) -> DataFrame:
+    """T4 with the "where": incident_stream's updates with functions, stack and samples of a profile snapshot, from alerts and from
+    snapshots (run_id, ts_us, functions, stack, samples), both read with `timed`. The first row of an incident has the snapshot that
+    stands by then; if there is none, the incident comes again with the next one. An incident keeps its snapshot; throttled updates say
+    nothing of it (null)."""
+    none = F.lit(None).cast("string")
+    shots = snapshots.select("run_id", "ts_us", none.alias("rule_id"), none.alias("severity"), none.alias("title"),
+                             F.to_json(F.struct("functions", "stack", "samples")).alias("hot"), "ts")
+    both = alerts.select("run_id", "ts_us", "rule_id", "severity", "title", none.alias("hot"), "ts").unionByName(shots)
+    told = _stateful(both, ["run_id"], ["rule_id", "severity", "title", "hot"], state.HotIncidents(limits, keep_us), state.HOT_UPDATE)
+    hot = F.from_json("hot", "functions array<string>, stack array<string>, samples long")
+    return told.withColumn("hot", hot).select(*[f.name for f in state.INCIDENT_UPDATE], "hot.functions", "hot.stack", "hot.samples")
+
+
 def ring_stream(metrics: DataFrame, size: int = 2400, keep_us: int = state.KEEP_US) -> DataFrame:
     """T2."""
     return _stateful(metrics, ["run_id"], ["cpu_pct", "rss_mb", "open_fds"], state.Ring(size, keep_us), state.RING_ROW)

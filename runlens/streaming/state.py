@@ -7,6 +7,7 @@ says what its batch twin says, for all rows within the allowed lateness.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,6 +25,7 @@ _L, _D, _S, _I, _B = T.LongType(), T.DoubleType(), T.StringType(), T.IntegerType
 
 ALERT = _schema(run_id=_S, ts_us=_L, rule_id=_S, severity=_S, title=_S)
 INCIDENT_UPDATE = _schema(incident_id=_S, run_id=_S, rule_id=_S, severity=_S, title=_S, first_us=_L, last_us=_L, count=_L, is_new=_B)
+HOT_UPDATE = _schema(**{f.name: f.dataType for f in INCIDENT_UPDATE}, hot=_S)
 RING_ROW = _schema(run_id=_S, ts_us=_L, cpu_pct=_D, rss_mb=_D, open_fds=_I)
 ENDED = _schema(run_id=_S, ended_us=_L)
 
@@ -193,6 +195,45 @@ class IncidentCollapse(InOrder):
         return tuple(now), out
 
 
+class HotIncidents(InOrder):
+    """T4 with its back-fill: alerts and profile snapshots of a run in one state. An incident takes the snapshot that stands when
+    it begins; one that begins before any waits, and comes out again with the next snapshot. A snapshot goes before an alert of
+    the same time. State holds the latest snapshot and one entry for each rule that fired."""
+
+    ROW = _schema(ts_us=_L, rule_id=_S, severity=_S, title=_S, hot=_S)
+    STATE = _schema(hot=_S, incidents=_S)
+    OUT, START = HOT_UPDATE, (None, "{}")
+
+    def __init__(self, limits: LiveLimits = LiveLimits(), keep_us: int = KEEP_US):
+        super().__init__(keep_us)
+        self.limits = limits
+
+    def step(self, key: tuple, state: tuple, rows: list[tuple]) -> tuple[tuple, list[tuple]]:
+        run, (hot, known), out = key[0], state, []
+        incidents = json.loads(known)
+
+        def tell(rule: str, new: bool, context: str | None) -> None:
+            i = incidents[rule]
+            out.append((f"{run}:{rule}", run, rule, i["severity"], i["title"], i["first"], i["last"], i["count"], new, context))
+
+        for ts, rule, severity, title, shot in sorted(rows, key=lambda r: (r[0], r[4] is None)):
+            if shot is not None:
+                hot = shot
+                for waiting in [r for r, i in incidents.items() if not i["hot"]]:
+                    incidents[waiting]["hot"] = True
+                    tell(waiting, False, hot)
+            elif rule not in incidents:
+                incidents[rule] = {"first": ts, "last": ts, "count": 1, "told": ts, "severity": severity, "title": title, "hot": hot is not None}
+                tell(rule, True, hot)
+            else:
+                i = incidents[rule]
+                i["last"], i["count"] = ts, i["count"] + 1
+                if ts - i["told"] >= self.limits.publish_every_us:
+                    i["told"] = ts
+                    tell(rule, False, None)
+        return (hot, json.dumps(incidents)), out
+
+
 class Liveness(InOrder):
     """A run that was alive and then shows no process for `empties` ticks in a row has ended."""
 

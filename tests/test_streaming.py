@@ -54,7 +54,7 @@ def clocked(spark, samples, tmp_path_factory):
     return path, m
 
 
-def run(spark, writer, name):
+def run_stream(spark, writer, name):
     name = f"{name}-{uuid.uuid4().hex[:8]}"
     q = live.start(writer.queryName(name), name, spark)
     q.awaitTermination(300)
@@ -66,7 +66,7 @@ def test_alerts_and_incidents(spark, clocked, tmp_path):
     path, m = clocked
     out = str(tmp_path / "alerts")
     stream = live.alert_stream(live.metric_stream(spark, path, files_per_batch=1), LIVE, keep_us=FOREVER)
-    run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "alerts")
+    run_stream(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "alerts")
     cols = ["run_id", "ts_us", "rule_id", "severity"]
     got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
     want = sorted(map(tuple, incidents.alerts(m, LIVE).select(*cols).collect()))
@@ -78,7 +78,7 @@ def test_alerts_and_incidents(spark, clocked, tmp_path):
     last = written.agg(F.max("ts_us")).first()[0]
     spark.createDataFrame([("~clock", last + DAY, "tick", "low", "")], written.schema).coalesce(1).write.mode("append").parquet(source)
     alerts = live.timed(spark.readStream.schema(written.schema).parquet(source))
-    run(spark, live.incident_stream(alerts, LIVE, keep_us=FOREVER).writeStream.outputMode("update").foreachBatch(live.write_batch(feed)), "incidents")
+    run_stream(spark, live.incident_stream(alerts, LIVE, keep_us=FOREVER).writeStream.outputMode("update").foreachBatch(live.write_batch(feed)), "incidents")
     new = spark.read.parquet(feed).where("is_new")
     assert {r.incident_id for r in new.collect()} == {r.incident_id for r in incidents.collapse(incidents.alerts(m, LIVE)).collect()}
     # Updates of one incident are at least an hour apart here.
@@ -89,6 +89,40 @@ def test_alerts_and_incidents(spark, clocked, tmp_path):
         assert all(b[0] - a[0] >= 3_600_000_000 and b[1] > a[1] for a, b in zip(rows, rows[1:]))
 
 
+def test_hot_context_is_filled_in(spark, tmp_path):
+    """Shuffled alerts and snapshots of 40 runs: every incident gets the snapshot that the batch form gives it."""
+    sec = 1_000_000
+    i = F.col("id")
+    run = F.concat(F.lit("r"), F.pmod(F.xxhash64(i), F.lit(40)))
+    alerts = spark.range(2000).select(run.alias("run_id"), ((F.pmod(F.xxhash64(i, F.lit(1)), F.lit(3000)) + 1) * sec).alias("ts_us"),
+                                      F.concat(F.lit("rule"), F.pmod(F.xxhash64(i, F.lit(2)), F.lit(5))).alias("rule_id"), F.lit("high").alias("severity"), F.lit("t").alias("title"))
+    alerts = alerts.dropDuplicates(["run_id", "rule_id", "ts_us"])
+    shots = spark.range(160).select(run.alias("run_id"), ((F.pmod(F.xxhash64(i, F.lit(3)), F.lit(900)) + 1) * sec).alias("ts_us"), F.array(F.concat(F.lit("f"), i)).alias("functions"),
+                                    F.array(F.lit("main"), F.concat(F.lit("f"), i)).alias("stack"), i.alias("samples")).dropDuplicates(["run_id", "ts_us"]).where("run_id <> 'r7'")
+    sources = {}
+    for name, rows in (("alerts", alerts), ("shots", shots)):
+        sources[name] = str(tmp_path / name)
+        clock = spark.createDataFrame([("~clock", DAY)], "run_id string, ts_us long").select(
+            *[F.col(n) if n in ("run_id", "ts_us") else F.lit(None).cast(t).alias(n) for n, t in rows.dtypes])
+        for part in (0, 1):
+            rows.where(F.pmod(F.xxhash64("ts_us"), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(sources[name])
+        clock.coalesce(1).write.mode("append").parquet(sources[name])
+    limits = incidents.LiveLimits(publish_every_us=600 * sec)
+    read = {n: live.timed(spark.readStream.option("maxFilesPerTrigger", 1).schema(spark.read.parquet(p).schema).parquet(p), "2 hours") for n, p in sources.items()}
+    out = str(tmp_path / "out")
+    run_stream(spark, live.hot_incident_stream(read["alerts"], read["shots"], limits, keep_us=FOREVER).writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "hot")
+    told = spark.read.parquet(out).where("run_id <> '~clock'")
+    got = {r.incident_id: r for r in told.groupBy("incident_id").agg(F.min("first_us").alias("first"), F.count_if("is_new").alias("new"),
+                                                                     F.collect_set(F.array_join("functions", ",")).alias("hot"), F.count_if(F.col("functions").isNull() & F.col("is_new")).alias("bare")).collect()}
+    first = alerts.groupBy("run_id", "rule_id").agg(F.min("ts_us").alias("first_us")).withColumn("incident_id", F.concat_ws(":", "run_id", "rule_id"))
+    want = {r.incident_id: r for r in incidents.with_hot(first, shots).collect()}
+    assert got.keys() == want.keys() and all(g.new == 1 and g.first == want[k].first_us for k, g in got.items())
+    assert {k: list(g.hot) for k, g in got.items()} == {k: [",".join(w.hot_functions)] if w.hot_functions else [] for k, w in want.items()}
+    filled = [k for k, g in got.items() if g.bare and want[k].hot_functions]
+    assert len(filled) > 20 and all(want[k].hot_us > want[k].first_us for k in filled)
+    assert all(not g.hot for k, g in got.items() if k.startswith("r7:"))
+
+
 def test_unsorted_samples_late_rows_and_ended_runs(spark, tmp_path):
     """30,000 shuffled samples of one run in two files: the alerts of the batch; a late row is dropped; no state stays."""
     n, step = 30_000, 250_000
@@ -109,7 +143,7 @@ def test_unsorted_samples_late_rows_and_ended_runs(spark, tmp_path):
     as_samples(late).unionByName(clock_row(spark, end + 9 * DAY)).coalesce(1).write.mode("append").parquet(path)
     clock_row(spark, end + 10 * DAY).coalesce(1).write.mode("append").parquet(path)
     stream = live.alert_stream(live.metric_stream(spark, path, files_per_batch=1, lateness="3 hours"), limits)
-    q = run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "unsorted")
+    q = run_stream(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "unsorted")
     cols = ["run_id", "ts_us", "rule_id", "severity"]
     got = sorted(map(tuple, spark.read.parquet(out).select(*cols).collect()))
     assert got == sorted(map(tuple, incidents.alerts(m, limits).select(*cols).collect())) and len(got) > 300
@@ -123,7 +157,7 @@ def test_ring(spark, samples, tmp_path):
     path, m = samples
     out = str(tmp_path / "ring")
     stream = live.ring_stream(live.metric_stream(spark, path, files_per_batch=1, lateness="40 days"), 50)
-    run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "ring")
+    run_stream(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "ring")
     rows = spark.read.parquet(out)
     last = rows.join(rows.groupBy("run_id").agg(F.max("batch_id").alias("batch_id")), ["run_id", "batch_id"])
     got = sorted(map(tuple, last.select("run_id", "ts_us", "cpu_pct").collect()))
@@ -139,7 +173,7 @@ def test_liveness(spark, tmp_path):
     ticks.where("ts_us >= 9").coalesce(1).write.mode("append").parquet(src)
     spark.createDataFrame([("~clock", DAY, None)], ticks.schema).coalesce(1).write.mode("append").parquet(src)
     stream = live.timed(spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(src))
-    run(spark, live.ended_runs(stream).writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "ended")
+    run_stream(spark, live.ended_runs(stream).writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "ended")
     assert [tuple(r) for r in spark.read.parquet(out).select("run_id", "ended_us").collect()] == [("a", 16)]
     assert [tuple(r) for r in series.exhausted_runs(ticks).collect()] == [("a", 16)]
 
@@ -149,7 +183,7 @@ def test_scan_and_store(spark, samples, tmp_path):
     table, found = str(tmp_path / "m"), str(tmp_path / "f")
     t = rules.Thresholds.with_overrides({"mem_growth_ratio": 1.01, "mem_growth_min_mb": 1, "memory_spike_mb": 0.9, "cpu_bound_pct": 40})
     stream = live.metric_stream(spark, path, files_per_batch=1, lateness="40 days")
-    run(spark, stream.writeStream.foreachBatch(live.scan_batch(table, found, t, leak_every=5)), "scan")
+    run_stream(spark, stream.writeStream.foreachBatch(live.scan_batch(table, found, t, leak_every=5)), "scan")
     assert live.stored_metrics(spark, table).count() == m.count()
     last = {(r.run_id, r.rule_id) for r in spark.read.parquet(found).where("batch_id = 4").collect()}
     want = {(r.run_id, r.rule_id) for r in live.sliding_findings(m, t=t).collect()}
@@ -160,7 +194,7 @@ def test_sliding_windows(spark, samples, tmp_path):
     path, m = samples
     out = str(tmp_path / "load")
     stream = live.sliding_load(live.metric_stream(spark, path, lateness="1 minute"), "90 minutes", "30 minutes")
-    run(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "load")
+    run_stream(spark, stream.writeStream.outputMode("update").foreachBatch(live.write_batch(out)), "load")
     got = spark.read.parquet(out)
     twin = live.sliding_load(m.withColumn("ts", F.timestamp_micros("ts_us")), "90 minutes", "30 minutes")
     key = ["run_id", "from_us", "points", "peak_rss_mb"]
