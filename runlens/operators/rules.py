@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import names
@@ -436,6 +436,11 @@ def by_score(findings: DataFrame) -> DataFrame:
     return findings.orderBy("run_id", F.desc("severity_score"), "rule_id")
 
 
+def placed(findings: DataFrame) -> DataFrame:
+    """K12 as a column: each finding's place in by_score's order within its run, equal ones sharing it."""
+    return findings.withColumn("place", F.rank().over(Window.partitionBy("run_id").orderBy(F.desc("severity_score"), "rule_id")))
+
+
 def max_severity(findings: DataFrame, runs: DataFrame) -> DataFrame:
     """The worst severity of each run, `clean` where nothing was found."""
     worst = findings.groupBy("run_id").agg(F.min(severity_rank(c("severity"))).alias("r"))

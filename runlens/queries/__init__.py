@@ -24,3 +24,4 @@ def register(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from . import calls, ingest, profiles, rules, runs, series, spans  # noqa: F401
+    from . import findings  # noqa: F401  puts its SQL together from theirs

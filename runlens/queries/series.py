@@ -116,14 +116,6 @@ def metric_ring(spark, d):
     return ops.ring(_m(spark, d), 1500).select("run_id", "ts_us", "cpu_pct")
 
 
-@register("time_domain", with_views("trace_events", "metrics", sql="""
-SELECT run_id, min(ts_us) AS first_us, max(ts_us) AS last_us FROM (SELECT run_id, ts_us FROM metrics WHERE rss_mb > 200 UNION ALL
- SELECT run_id, ts_us FROM trace_events WHERE error IS NOT NULL) GROUP BY 1"""))
-def time_domain(spark, d):
-    return ops.time_domain((_m(spark, d).where("rss_mb > 200"), "ts_us", "ts_us"),
-                           (view(spark, d, "trace_events").where("error IS NOT NULL"), "ts_us", "ts_us"))
-
-
 def _proc(spark, d):
     """Per-process counters at hourly ticks: the events of one user in one hour, counters summed over time."""
     e = spark.read.parquet(f"{d}/events.parquet")

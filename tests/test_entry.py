@@ -8,7 +8,8 @@ from runlens import queries as registry
 from . import oracle
 
 SF = "/root/testdata/sf0.01"  # from here on the order keys of all views are unique
-SOME = ["syscall_stats", "io_stats", "endpoint_red", "request_breakdown", "malloc_profile", "split_log_ingest", "live_alerts", "block_io_ingest"]
+SOME = ["syscall_stats", "io_stats", "endpoint_red", "request_breakdown", "malloc_profile", "split_log_ingest", "live_alerts", "block_io_ingest",
+        "slow_memory_leaks", "incident_hot_context", "finding_union", "time_domain"]
 
 
 def test_contract(spark):
