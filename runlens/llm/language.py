@@ -12,26 +12,34 @@ import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-WORDS = re.compile("[^\\W\\d_]+")
+LONGEST = 48
+WORDS = re.compile(f"[^\\W\\d_]{{1,{LONGEST}}}")
+LETTERS = regex.compile(r"\p{L}+")
 CHAIN = 96
 SPACE = 1 << 16
-LONGEST = 48
+
+
+def words_in(line: str) -> list[str]:
+    """The runs of letters of a line; one over LONGEST letters is several consecutive words. Number signs such as a half or a
+    superscript two are no letters."""
+    found = WORDS.findall(line)
+    return found if all(map(str.isalpha, found)) else [x for w in found for x in LETTERS.findall(w)]
 
 
 def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(hashed feature ids, 1 where used) of each word. Of a word over LONGEST letters the inner n-grams of both ends count."""
-    cut = [w if len(w) <= LONGEST else w[:LONGEST // 2] + w[-LONGEST // 2:] for w in words]
-    size = np.array([len(w) for w in cut], dtype=np.int64)
+    """(hashed feature ids, 1 where used) of each word."""
+    size = np.array([len(w) for w in words], dtype=np.int64)
     width = int(size.max(initial=1))
-    letters = np.array(cut, dtype=f"U{width}").view(np.uint32).reshape(len(cut), width).astype(np.int64)
-    x = np.zeros((len(cut), width + 2), np.int64)  # 1 marks both edges
+    letters = np.array(words, dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.int64)
+    x = np.zeros((len(words), width + 2), np.int64)  # 1 marks both edges
     x[:, 0], x[:, 1:-1] = 1, letters
-    x[np.arange(len(cut)), size + 1] = 1
+    x[np.arange(len(words)), size + 1] = 1
     ids, used = [], []
 
     def add(h: np.ndarray, kind: int, on: np.ndarray) -> None:
@@ -46,17 +54,17 @@ def word_features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             pos = pos[:, :-1] * 1_000_003 + x[:, n - 1:]
         start = at[:pos.shape[1]]
         add(pos, n, (start[None, :] + n <= size[:, None] + 2))
-    row = np.arange(len(cut))
-    head, tail = np.zeros(len(cut), np.int64), np.zeros(len(cut), np.int64)
+    row = np.arange(len(words))
+    head, tail = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
     for k in range(1, 5):
         head = head * 1_000_003 + np.where(k <= size, x[:, min(k, width + 1)], 0)
         tail = tail * 1_000_003 + np.where(k <= size, x[row, np.maximum(size + 1 - k, 0)], 0)
         add(head[:, None], 10 + k, (k <= size)[:, None])
         add(tail[:, None], 20 + k, (k <= size)[:, None])
-    whole = np.zeros(len(cut), np.int64)
+    whole = np.zeros(len(words), np.int64)
     for k in range(width):
         whole = np.where(k < size, whole * 1_000_003 + letters[:, k], whole)
-    add(whole[:, None], 30, np.ones((len(cut), 1), bool))
+    add(whole[:, None], 30, np.ones((len(words), 1), bool))
     return np.concatenate(ids, axis=1), np.concatenate(used, axis=1)
 
 
@@ -124,7 +132,7 @@ def train(texts: list[str], langs: list[str], rounds: int = 60, seed: int = 9, w
     index: dict[str, int] = {}
     pieces, counts = [], {}
     for t, lang in zip(texts, langs):
-        words, y = WORDS.findall(t.lower()), names.index(lang)
+        words, y = words_in(t.lower()), names.index(lang)
         at = int(draw.integers(0, max(1, len(words) - words_each + 1)))
         for w in words:
             counts.setdefault(w, [0] * len(names))[y] += 1
@@ -183,7 +191,7 @@ def label_words(model: Model, texts: list) -> list[tuple[list[str], np.ndarray]]
     for n, t in enumerate(texts):
         mine = []
         for line in (t or "").lower().split("\n"):
-            words = WORDS.findall(line)
+            words = words_in(line)
             if words:
                 at = np.array([index.setdefault(w, len(index)) for w in words])
                 parts = np.array_split(at, -(-len(at) // CHAIN))

@@ -255,6 +255,13 @@ def test_forward_backward_against_all_labellings():
     assert np.allclose(p[0, :4], want / total) and not p[0, 4].any() and np.isclose(pair.sum(), 3)
 
 
+def test_words_are_letters_and_long_runs_are_pieces():
+    assert language.words_in("½ ² Ⅷ 12 _") == [] and language.words_in("a½b x²") == ["a", "b", "x"]
+    run = "".join(chr(97 + i % 26) for i in range(131))
+    pieces = language.words_in(run)
+    assert "".join(pieces) == run and [len(x) for x in pieces] == [48, 48, 35]
+
+
 def test_words_keep_their_language(spark):
     de, en = ("der hund und die katze sind nicht hier gewesen", "the dog and a cat were never seen around there")
     model = language.train([de, en] * 30, ["de", "en"] * 30, rounds=40)
