@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.scalars import connect_result, fd_or_first_arg, peer_key, retval_int, socket_address
 from ..plans.quantile import interpolated
-from ..plans.scan import (TIME_BLOCK_US, following, last_known, ordered_scan, prev, running, seq_block,
-                          width_block)
+from ..plans.scan import TIME_UNITS_US, even_blocks, following, last_known, ordered_scan, prev, running, seq_block
 from ..plans.topk import top_k
 
 c = F.col
@@ -192,8 +191,8 @@ def call_rate(events: DataFrame, metrics: DataFrame, block: Column | None = None
     """Calls per second in (previous sample, sample]; the first bin is 250 ms wide.
 
     The count up to each sample is a running sum over events and samples together; a bin is the difference of two.
+    Blocks are hours, cut finer where an hour of a run is dense.
     """
-    block = block if block is not None else width_block("ts_us", TIME_BLOCK_US)
     zero = F.lit(0).cast("long")
     calls = (events.where(~c("event_type").isin("signal", "exit", "libcall")).groupBy("run_id", "ts_us")
              .agg(F.count("*").alias("n")).withColumn("kind", F.lit(0)))
@@ -201,9 +200,11 @@ def call_rate(events: DataFrame, metrics: DataFrame, block: Column | None = None
     ticks = metrics.select("run_id", "ts_us").distinct().join(live, "run_id", "left_semi")
     starts = ticks.groupBy("run_id").agg((F.min("ts_us") - FIRST_BIN_US).alias("ts_us"))
     marks = (ticks.withColumn("kind", F.lit(2)).unionByName(starts.withColumn("kind", F.lit(1))).withColumn("n", zero))
-    line = ordered_scan(calls.unionByName(marks), ["run_id"], ["ts_us", "kind"], block, upto=running(c("n")))
-    bins = ordered_scan(line.where("kind > 0").select("run_id", "ts_us", "kind", "upto"), ["run_id"], ["ts_us", "kind"],
-                        block, last=prev("ts_us", "upto"))
+    both, order = calls.unionByName(marks), ["ts_us", "kind"]
+    both = both.withColumn("at", block) if block is not None else even_blocks(both, ["run_id"], "ts_us", "at", TIME_UNITS_US)
+    line = ordered_scan(both, ["run_id"], order, c("at"), upto=running(c("n")))
+    bins = ordered_scan(line.where("kind > 0").select("run_id", *order, "at", "upto"), ["run_id"], order, c("at"),
+                        last=prev("ts_us", "upto"))
     gap = c("ts_us") - c("last.ts_us")
     return bins.where((c("kind") == 2) & (gap > 0)).select(
         "run_id", "ts_us", (c("upto") - c("last.upto")).alias("calls"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.scalars import is_curation_noise, timeline_kind
-from ..plans.scan import TIME_BLOCK_US, ordered_scan, prev, running, width_block
+from ..plans.scan import TIME_UNITS_US, even_blocks, ordered_scan, prev, running
 from ..plans.topk import top_k
 
 c = F.col
@@ -42,15 +42,16 @@ def notable(events: DataFrame) -> DataFrame:
 
 
 def collapsed_errors(events: DataFrame, block: Column | None = None) -> DataFrame:
-    """Consecutive errors of the same call and code become one row with a count and a time range."""
-    block = block if block is not None else width_block("ts_us", TIME_BLOCK_US)
-    order = ["ts_us", "seq"]
+    """Consecutive errors of the same call and code become one row with a count and a time range. Blocks are hours, cut finer
+    where an hour of a run is dense."""
+    order, at = ["ts_us", "seq"], c("block_at")
     rows = notable(events)
-    seen = ordered_scan(rows, ["run_id"], order, block, before=prev("kind", "syscall", "error"))
+    rows = rows.withColumn("block_at", block) if block is not None else even_blocks(rows, ["run_id"], "ts_us", "block_at", TIME_UNITS_US)
+    seen = ordered_scan(rows, ["run_id"], order, at, before=prev("kind", "syscall", "error"))
     same = ((c("kind") == "error") & (c("before.kind") == "error") & c("before.syscall").eqNullSafe(c("syscall"))
             & (c("before.error") == c("error")))
     flat = seen.select(*rows.columns, F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("long").alias("opens"))
-    cut = ordered_scan(flat, ["run_id"], order, block, shared=True, island=running(c("opens")))
+    cut = ordered_scan(flat, ["run_id"], order, at, shared=True, island=running(c("opens")))
     first = F.min_by(F.struct("kind", "syscall", "error", "lat_us", "extra"), F.struct(*order))
     return cut.groupBy("run_id", "island").agg(
         first.alias("f"), F.min(F.struct(*order)).alias("at"), F.max("ts_us").alias("last_us"), F.count("*").alias("n"),
@@ -108,7 +109,8 @@ def link_evidence(findings: DataFrame, evidence: DataFrame, stored: DataFrame) -
 
 def inside_windows(points: DataFrame, windows: DataFrame, start: str, end: str, at: str = "ts_us",
                    block: Column | None = None) -> DataFrame:
-    """The points that lie in at least one closed window of their run. A sweep: windows open and close, points look."""
+    """The points that lie in at least one closed window of their run. A sweep: windows open and close, points look;
+    blocks are hours, cut finer where an hour of a run is dense."""
     opened = windows.where(c(start).isNotNull() & c(end).isNotNull())
     edges = opened.select("run_id", F.explode(F.array(
         F.struct(c(start).alias("at"), F.lit(0).alias("kind"), F.lit(1).cast("long").alias("step")),
@@ -117,6 +119,6 @@ def inside_windows(points: DataFrame, windows: DataFrame, start: str, end: str,
     row = F.struct(*[c(n) for n in points.columns])
     looks = points.select("run_id", c(at).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"), row.alias("p"))
     line = looks.unionByName(edges, allowMissingColumns=True)
-    swept = ordered_scan(line, ["run_id"], ["at", "kind"], block if block is not None else width_block("at", TIME_BLOCK_US),
-                         open=running(c("step")))
+    line = line.withColumn("block_at", block) if block is not None else even_blocks(line, ["run_id"], "at", "block_at", TIME_UNITS_US)
+    swept = ordered_scan(line, ["run_id"], ["at", "kind"], c("block_at"), open=running(c("step")))
     return swept.where((c("kind") == 1) & (c("open") > 0)).select("p.*")

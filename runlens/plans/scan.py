@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SEQ_BLOCK_BITS = 20            # about a million log lines per block
 TIME_BLOCK_US = 3_600_000_000  # one hour of 4 Hz samples: 14,400 rows per block and run
 MONO_BLOCK_NS = 60_000_000_000
+TIME_UNITS_US = (TIME_BLOCK_US, 1_000_000, 1_000)  # an hour, a second, a millisecond
+BLOCK_ROWS = 1 << 20           # rows from which a block of time is cut finer
 
 _BLOCK = "__block"
 
@@ -29,6 +31,27 @@ def width_block(col: str, width: int) -> Column:
     return F.expr(f"`{col}` div {width}")
 
 
+def even_blocks(df: DataFrame, keys: list[str], col: str, name: str, units: tuple[int, int, int], most: int = BLOCK_ROWS) -> DataFrame:
+    """`df` with a block `name` along `col`: the row's coarse unit, in a coarse unit of over `most` rows its middle unit, and in a
+    middle unit of over `most` rows its fine unit; `units` has their widths, each a multiple of the next.
+
+    A block is named by where it begins, so blocks of mixed width ascend along `col`. Rows are counted by middle unit with
+    map-side combining, and only the middle units of dense coarse ones are joined back, on keys that hold few rows each. Where
+    there are none, which the counts tell before the join runs, the rows keep their coarse units.
+    """
+    coarse, middle, fine = units
+    if coarse % middle or middle % fine:
+        raise ValueError("each width must be a multiple of the next")
+    at, big = F.col("__mid"), F.expr(f"__mid div {coarse // middle}")
+    each = df.where(F.col(col).isNotNull()).groupBy(*keys, F.expr(f"`{col}` div {middle}").alias("__mid")).agg(F.count("*").alias("__n"))
+    dense = each.groupBy(*keys, big.alias("__big")).agg(F.sum("__n").alias("__all")).where(F.col("__all") > most).drop("__all")
+    opened = each.withColumn("__big", big).join(dense, [*keys, "__big"], "left_semi").select(*keys, "__mid", (F.col("__n") > most).alias("__open"))
+    rows = df.withColumn("__mid", F.expr(f"`{col}` div {middle}")).join(opened, [*keys, "__mid"], "left")
+    begins = (F.when(F.col("__open"), F.expr(f"`{col}` div {fine} * {fine}"))
+              .when(F.col("__open").isNotNull(), at * middle).otherwise(big * coarse))
+    return rows.select(*df.columns, begins.alias(name))
+
+
 @dataclass(frozen=True)
 class Carry:
     kind: str

@@ -37,6 +37,30 @@ def test_ordered_scan_equals_plain_windows(walk, width, shared):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
 
 
+def test_a_dense_unit_of_time_is_cut(spark):
+    rng = random.Random(9)
+    at = [rng.randrange(-20_000, 90_000) for _ in range(400)]                    # sparse coarse units
+    at += [200_000 + rng.randrange(10_000) for _ in range(3_000)]                # a dense one, its middle units just full enough
+    at += [400_000 + rng.randrange(100) for _ in range(2_000)] + [None, None]    # one dense middle unit
+    df = spark.createDataFrame([("hot", i, t) for i, t in enumerate(at)] + [("cold", i, 200_000 + i) for i in range(50)], "k string, seq long, ts long")
+    cut = scan.even_blocks(df, ["k"], "ts", "b", (10_000, 100, 1), most=60)
+    got = cut.collect()
+    assert sorted((r.k, r.seq) for r in got) == sorted((r.k, r.seq) for r in df.collect())
+    assert all(r.b is None for r in got if r.ts is None)
+    hot = sorted((r.ts, r.b) for r in got if r.k == "hot" and r.ts is not None)
+    assert [b for _, b in hot] == sorted(b for _, b in hot)                       # blocks ascend with time
+    sizes = {b: sum(1 for _, x in hot if x == b) for _, b in hot}
+    dense = {b: n for b, n in sizes.items() if b >= 200_000}
+    assert max(dense.values()) <= 60 and len({r.b for r in got if r.k == "cold"}) == 1
+    w = Window.partitionBy("k").orderBy("ts", "seq")
+    known = cut.where("ts IS NOT NULL")
+    scanned = scan.ordered_scan(known, ["k"], ["ts", "seq"], F.col("b"), p=scan.prev("seq"), total=scan.running(F.col("seq")))
+    want = known.select("*", F.lag(F.struct("seq")).over(w).alias("p"), F.sum("seq").over(w).alias("total"))
+    assert sorted(map(repr, scanned.collect())) == sorted(map(repr, want.select(*scanned.columns).collect()))
+    with pytest.raises(ValueError):
+        scan.even_blocks(df, ["k"], "ts", "b", (1_000, 300, 1))
+
+
 def test_row_index(walk):
     got = scan.row_index(walk, ["k"], ["seq"], block(13)).collect()
     seen = {}
