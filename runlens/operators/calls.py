@@ -202,7 +202,7 @@ def call_rate(events: DataFrame, metrics: DataFrame, block: Column | None = None
     marks = (ticks.withColumn("kind", F.lit(2)).unionByName(starts.withColumn("kind", F.lit(1))).withColumn("n", zero))
     both, order = calls.unionByName(marks), ["ts_us", "kind"]
     both = both.withColumn("at", block) if block is not None else even_blocks(both, ["run_id"], "ts_us", "at", TIME_UNITS_US)
-    line = ordered_scan(both, ["run_id"], order, c("at"), upto=running(c("n")))
+    line = ordered_scan(both, ["run_id"], order, c("at"), shared=True, upto=running(c("n")))
     bins = ordered_scan(line.where("kind > 0").select("run_id", *order, "at", "upto"), ["run_id"], order, c("at"),
                         last=prev("ts_us", "upto"))
     gap = c("ts_us") - c("last.ts_us")

@@ -47,7 +47,7 @@ def collapsed_errors(events: DataFrame, block: Column | None = None) -> DataFram
     order, at = ["ts_us", "seq"], c("block_at")
     rows = notable(events)
     rows = rows.withColumn("block_at", block) if block is not None else even_blocks(rows, ["run_id"], "ts_us", "block_at", TIME_UNITS_US)
-    seen = ordered_scan(rows, ["run_id"], order, at, before=prev("kind", "syscall", "error"))
+    seen = ordered_scan(rows, ["run_id"], order, at, shared=True, before=prev("kind", "syscall", "error"))
     same = ((c("kind") == "error") & (c("before.kind") == "error") & c("before.syscall").eqNullSafe(c("syscall"))
             & (c("before.error") == c("error")))
     flat = seen.select(*rows.columns, F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1).cast("long").alias("opens"))
@@ -120,5 +120,5 @@ def inside_windows(points: DataFrame, windows: DataFrame, start: str, end: str,
     looks = points.select("run_id", c(at).alias("at"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("step"), row.alias("p"))
     line = looks.unionByName(edges, allowMissingColumns=True)
     line = line.withColumn("block_at", block) if block is not None else even_blocks(line, ["run_id"], "at", "block_at", TIME_UNITS_US)
-    swept = ordered_scan(line, ["run_id"], ["at", "kind"], c("block_at"), open=running(c("step")))
+    swept = ordered_scan(line, ["run_id"], ["at", "kind"], c("block_at"), shared=True, open=running(c("step")))
     return swept.where((c("kind") == 1) & (c("open") > 0)).select("p.*")
