@@ -216,9 +216,10 @@ def tree_samples(proc: DataFrame) -> DataFrame:
 
 
 def io_rate(proc: DataFrame, block: Column | None = None) -> DataFrame:
-    """Bytes per second of a whole tree. A process that ended keeps its last counters, so totals never fall.
+    """Bytes per second of a whole tree, from the sum of every process's last counters; one that ended keeps its last.
 
-    Per process the counter's increase (its running maximum's step) is what the tree gains at that tick.
+    Per process the plain step from its counter before is what the tree gains at that tick. A counter that falls, as when a
+    process id is used again, lowers that tick's sum; a tree's rate is never below 0, and the next step starts from the fallen value.
     """
     block = block if block is not None else time_block()
     rows = proc.where(c("read_bytes").isNotNull() & c("write_bytes").isNotNull()).select(

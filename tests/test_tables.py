@@ -137,6 +137,15 @@ def test_tree_io(spark):
     assert sorted(rows(series.tree_samples(df), "ts_us", "rss_mb", "open_fds")) == [(0, 2.0, 6), (1_000_000, 1.0, 3), (2_000_000, 2.0, 6)]
 
 
+@pytest.mark.parametrize("width", [1, 2_500_000])
+def test_tree_io_of_a_falling_counter(spark, width):
+    p = [("r", 0, 1, 900, 0), ("r", 0, 2, 100, 0), ("r", 1_000_000, 1, 400, 0), ("r", 1_000_000, 2, 700, 5),
+         ("r", 2_000_000, 1, 100, 0), ("r", 3_000_000, 1, 250, 0)]
+    df = spark.createDataFrame(p, "run_id string, ts_us long, pid long, read_bytes long, write_bytes long")
+    got = sorted(rows(series.io_rate(df, block(width, "ts_us")), "ts_us", "io_read_bps", "io_write_bps"))
+    assert got == [(0, None, None), (1_000_000, 100.0, 5.0), (2_000_000, 0.0, 0.0), (3_000_000, 150.0, 0.0)]
+
+
 def test_comparison(spark):
     pairs = spark.createDataFrame([("a", "b")], "run_a string, run_b string")
     stats = spark.createDataFrame([("a", "read", 5, 1.0), ("b", "read", 9, 2.0), ("b", "poll", 1, 3.0)], "run_id string, syscall string, count long, avg_ms double")
