@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.scalars import connect_result, fd_or_first_arg, peer_key, retval_int, socket_address
 from ..plans.quantile import interpolated
+from ..plans.rows import fan_out
 from ..plans.scan import TIME_UNITS_US, even_blocks, following, last_known, ordered_scan, prev, running, seq_block
 from ..plans.topk import top_k
 
@@ -138,14 +139,6 @@ def connection_summary(conns: DataFrame) -> DataFrame:
                                        F.count_if(failed).alias("failures"))
 
 
-def slow_dials(events: DataFrame, slow_us: int, block: Column | None = None) -> DataFrame:
-    """R3 rows: connects that were slow themselves, or whose next poll was (the connect is the evidence)."""
-    dial = _dials(events, block if block is not None else seq_block())
-    own = c("lat_us") > slow_us
-    wait = c("error").isin(names.IN_PROGRESS) & c("nxt.is_poll") & (c("nxt.lat_us") > slow_us)
-    return dial.where(F.coalesce(own, F.lit(False)) | F.coalesce(wait, F.lit(False))).drop("nxt", "is_poll")
-
-
 # Reads that wait for the other side of a socket.
 SOCKET_READS = ["read", "recv", "recvfrom", "recvmsg", "readv"]
 
@@ -162,6 +155,30 @@ def peer_waits(events: DataFrame, min_us: int, block: Column | None = None) -> D
     return seen.where(call.isin(SOCKET_READS) & (F.coalesce("peer", F.lit("")) != "")).drop("held_fd")
 
 
+def network_waits(events: DataFrame, cols: list[str], dial_us: int, read_us: int, block: Column | None = None) -> DataFrame:
+    """R3 and R4 rows (`cols` and `peer`) by one scan: slow connects, whose peer is null, and long reads with their peer.
+
+    A connect is slow by itself, or non-blocking with a slow poll right after it among its process's connects and polls.
+    Each row takes its place on the lane of its process's dials, of its descriptor, or on both; a lane is a key of the scan.
+    """
+    call = c("syscall")
+    poll, read = call.isin(names.POLL_CALLS), call.isin(SOCKET_READS) & (c("lat_us") > read_us)
+    held = fd_or_first_arg("fd", "args")
+    connects = call == "connect"
+    lanes = [F.when(connects | poll, F.struct(F.lit("dial").alias("kind"), F.lit(0).alias("of"))),
+             F.when((connects | (call == "close") | read) & held.isNotNull(), F.struct(F.lit("held").alias("kind"), held.alias("of")))]
+    rows = fan_out(events.where(c("pid").isNotNull() & (connects | poll | (call == "close") | read)), cols, lanes, "lane")
+    rows = rows.select(*cols, c("lane.kind").alias("lane"), c("lane.of").alias("lane_of"))
+    dial = c("lane") == "dial"
+    state = F.when(call == "connect", peer_key("args")).when(call == "close", "")
+    seen = ordered_scan(rows, ["run_id", "pid", "lane", "lane_of"], ["seq"], block if block is not None else seq_block(), shared=True,
+                        nxt=following("syscall", "lat_us"), peer=last_known(F.when(~dial, state)))
+    waited = c("error").isin(names.IN_PROGRESS) & c("nxt.syscall").isin(names.POLL_CALLS) & (c("nxt.lat_us") > dial_us)
+    slow = dial & (call == "connect") & (F.coalesce(c("lat_us") > dial_us, F.lit(False)) | F.coalesce(waited, F.lit(False)))
+    answered = ~dial & call.isin(SOCKET_READS) & (F.coalesce("peer", F.lit("")) != "")
+    return seen.where(slow | answered).select(*cols, F.when(~dial, c("peer")).alias("peer"))
+
+
 def library_calls(events: DataFrame, limit: int = 50) -> DataFrame:
     """The most expensive library functions; the average is over all calls, timed or not."""
     rows = (events.where((c("event_type") == "libcall") & _filled("syscall")).groupBy("run_id", c("syscall").alias("function"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import names
 from ..functions.scalars import is_library_path, is_probe_path, peer_key, retval_int, severity_name, severity_rank
 from ..plans.rows import fan_out
-from ..plans.scan import ordered_scan, prev
+from ..plans.scan import ordered_scan, prev, remaining
 from ..plans.topk import top_k
 from . import calls, series
 
@@ -175,16 +175,16 @@ def _tags(t: Thresholds) -> dict[str, tuple[Column, Column]]:
 
 
 def matches(events: DataFrame, t: Thresholds, block: Column | None = None, tags: dict | None = None) -> DataFrame:
-    """Every (event, rule) match with its group; one narrow pass plus the two rules that need an as-of state."""
+    """Every (event, rule) match with its group: one narrow pass, and one scan for the two rules that need an as-of state."""
     ev = events.where(c("event_type") != "libcall").select(*_EVENT_COLS)
     variants = [F.when(cond & key.isNotNull(), F.struct(F.lit(rid).alias("rule_id"), key.alias("grp")))
                 for rid, (cond, key) in (tags or _tags(t)).items()]
     plain = fan_out(ev, _EVENT_COLS, variants, "m").select(*_EVENT_COLS, "m.rule_id", "m.grp")
-    dials = calls.slow_dials(ev.withColumn("event_type", F.lit("syscall")), int(t.slow_net_ms * 1000), block).select(
-        *_EVENT_COLS, F.lit("slow_network_connect").alias("rule_id"), F.lit("").alias("grp"))
-    waits = calls.peer_waits(ev, int(t.downstream_read_min_ms * 1000), block).select(
-        *_EVENT_COLS, F.lit("slow_downstream_peer").alias("rule_id"), c("peer").alias("grp"))
-    return plain.unionByName(dials).unionByName(waits)
+    peer = c("peer")
+    waits = calls.network_waits(ev, _EVENT_COLS, int(t.slow_net_ms * 1000), int(t.downstream_read_min_ms * 1000), block).select(
+        *_EVENT_COLS, F.when(peer.isNull(), "slow_network_connect").otherwise("slow_downstream_peer").alias("rule_id"),
+        F.coalesce(peer, F.lit("")).alias("grp"))
+    return plain.unionByName(waits)
 
 
 def _worst_groups(m: DataFrame) -> DataFrame:
@@ -195,19 +195,19 @@ def _worst_groups(m: DataFrame) -> DataFrame:
         F.min_by("ts_us", "seq").alias("first_us"), F.max_by("ts_us", "seq").alias("last_us"),
         F.min("ts_us").alias("min_us"), F.max("ts_us").alias("max_us"),
         F.max_by(F.struct("syscall", "path", "lat_us"), lat_at).alias("slowest"), F.max("fd").alias("fd"),
-        F.max("syscall").alias("call"))
+        F.max("syscall").alias("call"),
+        F.collect_set(F.when(c("rule_id") == "connection_error", c("error"))).alias("errors"))  # five at most
     measure = F.when(c("rule_id") == "slow_downstream_peer", c("lat_sum")).otherwise(c("n"))
     everything = F.struct(*[x for x in g.columns if x not in ("run_id", "rule_id")])
     best = F.max_by(everything, F.struct(measure, (-c("first_seq")).alias("s"))).alias("b")
     return g.groupBy("run_id", "rule_id").agg(best).select("run_id", "rule_id", "b.*")
 
 
-def _names_of(events: DataFrame, tags: dict, rule: str, value: str, k: int | None) -> DataFrame:
-    """Sorted distinct values of one rule's matches, joined into a text (the first k of them). A narrow scan of its own."""
+def _first_names(events: DataFrame, tags: dict, rule: str, value: str, k: int) -> DataFrame:
+    """The first k distinct values of one rule's matches, sorted and joined into a text. A narrow scan of its own."""
     cond = tags[rule][0]
     d = events.where(cond & (F.coalesce(c(value), F.lit("")) != "")).select("run_id", c(value).alias("v")).distinct()
-    if k is not None:
-        d = top_k(d, ["run_id"], [F.asc("v")], k)
+    d = top_k(d, ["run_id"], [F.asc("v")], k)
     return d.groupBy("run_id").agg(F.array_join(F.array_sort(F.collect_list("v")), ", ").alias("listed")).withColumn(
         "rule_id", F.lit(rule))
 
@@ -236,10 +236,9 @@ def event_findings(events: DataFrame, t: Thresholds, metrics: DataFrame | None =
     if busy_cpu is not None:
         others = others.unionByName(hit.where(rid == "spin_loop").join(busy_cpu, "run_id", "left_semi"))
     calls_only = events.where(c("event_type") != "libcall")
-    # At most five paths, and at most the five network errors, per run.
-    listed = _names_of(calls_only, tags, "failed_file_opens", "path", 5).unionByName(
-        _names_of(calls_only, tags, "connection_error", "error", None))
-    full = others.join(listed, ["run_id", "rule_id"], "left")
+    listed = _first_names(calls_only, tags, "failed_file_opens", "path", 5)
+    full = others.join(listed, ["run_id", "rule_id"], "left").withColumn(
+        "listed", F.when(rid == "connection_error", F.array_join(F.array_sort("errors"), ", ")).otherwise(c("listed")))
 
     s = n.cast("string")
     slow = F.concat(c("slowest.syscall"), F.lit("() took "), F.format_string("%.2f", c("slowest.lat_us") / 1e6), F.lit(" s"))
@@ -314,31 +313,56 @@ def evidence(events: DataFrame, findings: DataFrame, t: Thresholds, k: int = EVI
 
 def metric_findings(metrics: DataFrame, runs: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
     """R6-R12, R14."""
-    return (growth_findings(metrics, runs, t, block).unionByName(load_findings(metrics, runs, t))
-            .unionByName(spike_findings(metrics, t, block)))
-
-
-def growth_findings(metrics: DataFrame, runs: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
-    """Both trends in one pass, the series being part of the key."""
-    parts = [series.trend_series(metrics, col, runs, max_ms=t.trend_max_duration_ms).withColumn("rule_id", F.lit(rid))
-             for col, rid in (("rss_mb", "monotonic_memory_growth"), ("open_fds", "fd_count_growing"))]
-    s = parts[0].unionByName(parts[1])
-    fell = F.when(c("rule_id") == "fd_count_growing", 0.0).otherwise(0.5)
-    stepped = ordered_scan(s, ["run_id", "rule_id"], ["ts_us"], block if block is not None else series.time_block(),
-                           before=prev("v"))
-    g = stepped.groupBy("run_id", "rule_id").agg(
-        F.count("*").alias("points"), F.min_by("v", "ts_us").alias("first"), F.max_by("v", "ts_us").alias("last"),
-        F.max("v").alias("peak"), F.count_if(c("v") < c("before.v") - fell).alias("decreases"),
-        F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"))
-    rise = c("last") - c("first")
-    mem = (rise > t.mem_growth_min_mb) & (c("last") > c("first") * t.mem_growth_ratio) & (c("decreases") < c("points") * 0.25)
-    fds = (rise >= t.fd_growth_min) & (c("decreases") <= c("points") * 0.25)
-    hit = g.where((c("points") >= 8) & F.when(c("rule_id") == "fd_count_growing", fds).otherwise(mem))
-    span = F.concat(F.format_string("%.0f", "first"), F.lit(" to "), F.format_string("%.0f", "last"))
-    return _findings(hit, {"monotonic_memory_growth": F.concat(F.lit("Memory grew from "), span, F.lit(" MB")),
-                           "fd_count_growing": F.concat(F.lit("Open descriptors grew from "), span)},
-                     F.concat(F.lit("peak "), F.format_string("%.0f", "peak"), F.lit(", rarely fell")),
-                     F.floor(rise).cast("long"), c("first_us"), c("last_us"))
+    return series_findings(metrics, runs, t, block).unionByName(load_findings(metrics, runs, t))
+
+
+def series_findings(metrics: DataFrame, runs: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
+    """Both trends and the jumps by one scan, the series being part of the key.
+
+    A run that lasted longer than `trend_max_duration_ms` is judged by its newest points, and how long it lasted is joined to
+    the counts, not to the samples: each series is summed up whole and from its tail.
+    """
+    grows, fds = "monotonic_memory_growth", "fd_count_growing"
+    points = fan_out(metrics.select("run_id", "ts_us", "rss_mb", "open_fds"), ["run_id", "ts_us"], [
+        F.when(c(col).isNotNull(), F.struct(F.lit(rid).alias("rule_id"), c(col).cast("double").alias("v")))
+        for col, rid in (("rss_mb", grows), ("open_fds", fds))], "p").select("run_id", "ts_us", "p.rule_id", "p.v")
+    s = ordered_scan(points, ["run_id", "rule_id"], ["ts_us"], block if block is not None else series.time_block(), shared=True,
+                     before=prev("v"), left=remaining(F.lit(1).cast("long")))
+    step = c("v") - c("before.v")
+    fell = c("v") < c("before.v") - F.when(c("rule_id") == fds, 0.0).otherwise(0.5)
+    jump = step > t.memory_spike_mb
+
+    def summed(within: Column, judged: Column) -> Column:
+        at = F.when(within, c("ts_us"))
+        return F.struct(F.count_if(within).alias("points"), F.min_by("v", at).alias("first"), F.max_by("v", at).alias("last"),
+                        F.max(F.when(within, c("v"))).alias("peak"), F.count_if(fell & judged).alias("decreases"),
+                        F.min(at).alias("a"), F.max(at).alias("z"))
+
+    tail = c("left") <= series.TREND_TAIL
+    g = s.groupBy("run_id", "rule_id").agg(
+        summed(F.lit(True), F.lit(True)).alias("whole"), summed(tail, c("left") < series.TREND_TAIL).alias("tail"),
+        F.count_if(jump).alias("jumps"), F.max(F.when(jump, step)).alias("biggest"), F.min(F.when(jump, c("ts_us"))).alias("jump_a"),
+        F.max(F.when(jump, c("ts_us"))).alias("jump_z"))
+    long_run = F.coalesce(c("duration_ms") > t.trend_max_duration_ms, F.lit(False))
+    g = g.join(runs.select("run_id", "duration_ms"), "run_id", "left").withColumn(
+        "g", F.when(long_run, c("tail")).otherwise(c("whole")))
+    rise, few = c("g.last") - c("g.first"), c("g.points") * 0.25
+    mem = (rise > t.mem_growth_min_mb) & (c("g.last") > c("g.first") * t.mem_growth_ratio) & (c("g.decreases") < few)
+    held = (rise >= t.fd_growth_min) & (c("g.decreases") <= few)
+    climbs = (c("g.points") >= 8) & F.when(c("rule_id") == fds, held).otherwise(mem)
+    shape = ["rule_id", "n", "low", "high", "peak", "a", "z"]
+    rows = [F.when(climbs, F.struct(*[v.alias(k) for k, v in zip(shape, (
+                c("rule_id"), F.floor(rise).cast("long"), c("g.first"), c("g.last"), c("g.peak"), c("g.a"), c("g.z")))])),
+            F.when((c("rule_id") == grows) & (c("jumps") > 0), F.struct(*[v.alias(k) for k, v in zip(shape, (
+                F.lit("memory_spike"), c("jumps"), F.lit(0.0), F.lit(0.0), c("biggest"), c("jump_a"), c("jump_z")))]))]
+    hit = g.select("run_id", F.explode(F.array_compact(F.array(*rows))).alias("f")).select("run_id", "f.*")
+    span = F.concat(F.format_string("%.0f", "low"), F.lit(" to "), F.format_string("%.0f", "high"))
+    peak = F.format_string("%.0f", "peak")
+    return _findings(hit, {grows: F.concat(F.lit("Memory grew from "), span, F.lit(" MB")),
+                           fds: F.concat(F.lit("Open descriptors grew from "), span),
+                           "memory_spike": F.concat(F.lit("Memory jumped by "), peak, F.lit(" MB"))},
+                     F.when(c("rule_id") == "memory_spike", F.concat(c("n").cast("string"), F.lit(" jumps")))
+                     .otherwise(F.concat(F.lit("peak "), peak, F.lit(", rarely fell"))), c("n"), c("a"), c("z"))
 
 
 def load_findings(metrics: DataFrame, runs: DataFrame, t: Thresholds) -> DataFrame:
@@ -396,16 +420,6 @@ def load_findings(metrics: DataFrame, runs: DataFrame, t: Thresholds) -> DataFra
         .otherwise(F.concat(s, F.lit(" samples"))), n, c("a"), c("z"))
 
 
-def spike_findings(metrics: DataFrame, t: Thresholds, block: Column | None = None) -> DataFrame:
-    """R14."""
-    steps = series.steps_over(series.series(metrics, "rss_mb"), t.memory_spike_mb, block)
-    g = steps.groupBy("run_id").agg(F.count("*").alias("n"), F.max("step").alias("biggest"), F.min("ts_us").alias("a"),
-                                    F.max("ts_us").alias("z")).withColumn("rule_id", F.lit("memory_spike"))
-    big = F.format_string("%.0f", "biggest")
-    return _findings(g, {"memory_spike": F.concat(F.lit("Memory jumped by "), big, F.lit(" MB"))},
-                     F.concat(c("n").cast("string"), F.lit(" jumps")), c("n"), c("a"), c("z"))
-
-
 def slow_leak_findings(metrics: DataFrame, block: Column | None = None) -> DataFrame:
     """A creep too slow for the short windows. 20 points, 180 s, 50 MB, 0.5 MB/min, 70 % non-falling."""
     g = series.slow_growth(series.series(metrics, "rss_mb"), block=block)

@@ -88,6 +88,11 @@ def running(value: Column) -> Carry:
     return Carry("sum", value)
 
 
+def remaining(value: Column) -> Carry:
+    """Inclusive running sum from the key's end: what this row and the rows after it add up to."""
+    return Carry("sum_back", value)
+
+
 def running_max(value: Column) -> Carry:
     """Inclusive running maximum."""
     return Carry("max", value)
@@ -148,6 +153,11 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], block: Column
             ends.append(F.sum(v).alias(tmp))
             carried.append(F.sum(tmp).over(blocks_before).alias(tmp))
             merged[name] = F.coalesce(F.col(name) + F.col(tmp), name, tmp)
+        elif carry.kind == "sum_back":
+            local[name] = F.sum(v).over(back)
+            ends.append(F.sum(v).alias(tmp))
+            carried.append(F.sum(tmp).over(blocks_after).alias(tmp))
+            merged[name] = F.coalesce(F.col(name) + F.col(tmp), name, tmp)
         elif carry.kind == "max":
             local[name] = F.max(v).over(upto)
             ends.append(F.max(v).alias(tmp))

@@ -29,11 +29,12 @@ def test_ordered_scan_equals_plain_windows(walk, width, shared):
     v = F.col("v")
     got = scan.ordered_scan(walk, ["k"], ["seq"], block(width), shared=shared, p=scan.prev("seq", "v"), n=scan.following("seq"),
                             last=scan.last_known(v), incl=scan.last_known_incl(v), nxt=scan.next_known(v), total=scan.running(v),
-                            top=scan.running_max(v))
+                            top=scan.running_max(v), rest=scan.remaining(v))
     want = walk.select("*", F.lag(F.struct("seq", "v")).over(w).alias("p"), F.lead(F.struct("seq")).over(w).alias("n"),
                        F.last_value("v", True).over(before).alias("last"), F.last_value("v", True).over(upto).alias("incl"),
                        F.first_value("v", True).over(w.rowsBetween(0, Window.unboundedFollowing)).alias("nxt"),
-                       F.sum("v").over(upto).alias("total"), F.max("v").over(upto).alias("top"))
+                       F.sum("v").over(upto).alias("total"), F.max("v").over(upto).alias("top"),
+                       F.sum("v").over(w.rowsBetween(0, Window.unboundedFollowing)).alias("rest"))
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
 
 
