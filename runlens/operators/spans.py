@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..functions.scalars import overlap, route_template
-from ..plans.intervals import contain_join, coverage, overlap_join
+from ..plans.intervals import coverage, latest_open, overlap_join
 from ..plans.quantile import interpolated
 from ..plans.topk import top_k
 
@@ -25,8 +25,8 @@ def own_queries(http: DataFrame, db: DataFrame, db_key: list[str]) -> DataFrame:
     h = http.select(*THREAD, c("span_id").alias("owner_id"), c("start_ns").alias("owner_start"),
                     c("dur_ns").alias("owner_dur"))
     d = db.select(*THREAD, *db_key, "start_ns", "dur_ns")
-    pairs = contain_join(d, "start_ns", h, "owner_start", "owner_dur", THREAD)
-    owner = F.max(F.struct("owner_start", "owner_id", "owner_dur")).alias("o")
+    pairs = latest_open(d, "start_ns", h, "owner_start", "owner_dur", THREAD, ["owner_start", "owner_id", "owner_dur"])
+    owner = F.max("o").alias("o")
     # The query's own key leads: the aggregation sorts, and numbers sort faster than a run's name.
     return pairs.groupBy(*db_key, "tid", "start_ns", "dur_ns", "run_id").agg(owner).select(
         *THREAD, *db_key, "start_ns", "dur_ns", c("o.owner_id").alias("owner_id"),

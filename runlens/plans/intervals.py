@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .scan import MONO_BLOCK_NS, ordered_scan, prev, running, width_block
 
 BASE_BITS = 27      # 2**27 ns: 134 ms
+CELL_BITS = 24      # 2**24 ns: 17 milliseconds
+_CELL_STEP = 4
+_CELL_LEVELS = 9
 _STEP_BITS = 3
 _LEVELS = 12        # the last width is 2**60 ns: longer than any capture
 
@@ -53,6 +56,58 @@ def contain_join(points: DataFrame, at: str, spans: DataFrame, start: str, dur:
     return joined.select(*[F.col(f"a.{c}") for c in points.columns], *[F.col(f"b.{c}") for c in rest])
 
 
+def latest_open(points: DataFrame, at: str, spans: DataFrame, start: str, dur: str, keys: list[str], best: list[str],
+                base_bits: int = CELL_BITS) -> DataFrame:
+    """Each point with candidates for the greatest `best` (a struct, column `o`) of the spans with start <= at <= start + dur.
+
+    The greatest candidate of a point is the greatest of all spans open there, but there is no row for each open span: time
+    is a tree of cells, each sixteen times as wide as those below it. A span is written to the few widest cells it covers
+    whole, where only the greatest span matters, and by itself to the one or two smallest cells in which it begins or ends.
+    A point meets one row on each level and the spans that begin or end in its own smallest cell (17 milliseconds). Spans that
+    are all open together, as on the one thread of an event loop, so cost a few rows each, however deep they are nested.
+    """
+    t = F.col
+    s, e = t("__s"), t("__e")
+    top = F.lit(-1)
+    for n in range(_CELL_LEVELS):
+        top = F.when(e - s + 1 >= F.lit(1 << (base_bits + _CELL_STEP * n)), n).otherwise(top)
+    own = spans.select(*keys, F.struct(*best).alias("o"), t(start).alias("__s"), (t(start) + t(dur)).alias("__e"))
+
+    def down(x: Column, bits: Column) -> Column:
+        return F.call_function("shiftright", x, bits)
+
+    def between(a: Column, b: Column) -> Column:
+        return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
+
+    def cells(k: Column) -> Column:
+        """Cells of level k that the span covers and that lie in no covered cell of the next level."""
+        bits, above = (k * _CELL_STEP + base_bits).cast("int"), ((k + 1) * _CELL_STEP + base_bits).cast("int")
+        one = F.lit(1).cast("long")
+        first, last = down(s + F.call_function("shiftleft", one, bits) - 1, bits), down(e + 1, bits)
+        inner = down(s + F.call_function("shiftleft", one, above) - 1, above) * (1 << _CELL_STEP)
+        outer = down(e + 1, above) * (1 << _CELL_STEP)
+        # Without a covered cell above, `inner` lies at or beyond `outer`, and the two stretches meet or the second is empty.
+        found = F.concat(between(first, F.least(last, inner)), between(F.greatest(inner, outer), last))
+        return F.transform(F.when(first < last, found).otherwise(F.array().cast("array<bigint>")),
+                           lambda i: F.struct(k.cast("int").alias("lv"), i.alias("bin")))
+
+    covered = F.when(top >= 0, F.flatten(F.transform(F.sequence(F.lit(0), top), cells)))
+    # The outer form, as the plain one would have the cells computed once more to filter empty lists.
+    whole = (own.select(*keys, "o", F.explode_outer(covered).alias("cell")).where(t("cell").isNotNull())
+             .groupBy(*keys, t("cell.lv").alias("__lv"), t("cell.bin").alias("__bin")).agg(F.max("o").alias("o"))
+             .withColumns({"__s": F.lit(None).cast("long"), "__e": F.lit(None).cast("long")}))
+    bits = F.lit(base_bits)
+    edges = own.select(*keys, F.lit(-1).alias("__lv"), F.explode(F.array_distinct(F.array(down(s, bits), down(e, bits)))).alias("__bin"),
+                       "o", "__s", "__e")
+    highest = own.select(F.max(top)).scalar()
+    probes = points.withColumn("__lv", F.explode(F.sequence(F.lit(-1), highest))).withColumn(
+        "__bin", down(t(at), (F.greatest(t("__lv"), F.lit(0)) * _CELL_STEP + base_bits).cast("int")))
+    a, b = probes.alias("a"), whole.unionByName(edges).alias("b")
+    same = [t(f"a.{k}") == t(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
+    inside = t("b.__s").isNull() | ((t(at) >= t("b.__s")) & (t(at) <= t("b.__e")))
+    return a.join(b, _all([*same, inside])).select(*[t(f"a.{x}") for x in points.columns], t("b.o"))
+
+
 def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_start: str, r_dur: str,
                  keys: list[str], base_bits: int = BASE_BITS) -> DataFrame:
     """Pairs of intervals that share more than a point, each pair once."""

@@ -100,6 +100,37 @@ def test_contain_join(spark):
     assert got == want and len(got) > 100
 
 
+@pytest.mark.parametrize("bits", [0, 2, 5, 20])
+def test_latest_open(spark, bits):
+    rng = random.Random(bits)
+    spans, points = _intervals(5, 200, 5000, 4000), _intervals(6, 400, 6000, 2)
+    spans += [("r", rng.randrange(3), 1000 + i, -600 + 8 * i, rng.choice([0, 7, 8, 15, 64, 511, 512, 600])) for i in range(60)]
+    spans += [("r", 0, 2000 + i, 3000, 512 * i) for i in range(5)]               # equal starts: the greater id wins
+    points += [("r", rng.randrange(3), 1000 + i, x, 0) for i, x in enumerate([-601, -600, -1, 0, 7, 8, 63, 64, 3000, 3512, 10**18])]
+    s = spark.createDataFrame(spans, "run string, tid long, sid long, s0 long, sd long")
+    p = spark.createDataFrame(points, "run string, tid long, pid long, at long, x long").drop("x")
+    found = intervals.latest_open(p, "at", s, "s0", "sd", ["run", "tid"], ["s0", "sid"], base_bits=bits)
+    got = {r.pid: (r.o.s0, r.o.sid) for r in found.groupBy("pid").agg(F.max("o").alias("o")).collect()}
+    want = {}
+    for _, tid, pid, at, _ in points:
+        open_then = [(x[3], x[2]) for x in spans if x[1] == tid and x[3] <= at <= x[3] + x[4]]
+        if open_then:
+            want[pid] = max(open_then)
+    assert got == want and 200 < len(got) < len(points)
+    assert intervals.latest_open(p, "at", s.limit(0), "s0", "sd", ["run", "tid"], ["s0", "sid"]).count() == 0
+
+
+def test_nested_spans_make_few_rows_a_point(spark):
+    """2,000 requests open at once on one thread: a point meets a row a level and those that begin or end in its cell."""
+    n, step = 2_000, 1 << intervals.CELL_BITS
+    s = spark.range(n).select(F.lit("r").alias("run"), F.lit(1).alias("tid"), F.col("id").alias("sid"), (F.col("id") * step).alias("s0"),
+                              (3 * n * step - F.col("id") * 2 * step).alias("sd"))
+    p = spark.range(n).select(F.lit("r").alias("run"), F.lit(1).alias("tid"), F.col("id").alias("pid"), (F.col("id") * step + 7).alias("at"))
+    found = intervals.latest_open(p, "at", s, "s0", "sd", ["run", "tid"], ["s0", "sid"])
+    assert found.count() < 8 * n
+    assert found.groupBy("pid").agg(F.max("o.sid").alias("o")).where("o <> pid").count() == 0
+
+
 def test_overlap_join_and_coverage(spark):
     left, right = _intervals(3, 90, 5000, 3000), _intervals(4, 200, 5000, 900)
     a = spark.createDataFrame(left, "run string, tid long, aid long, a0 long, ad long")
