@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import run_class, run_label
+from ..plans.scan import TIME_BLOCK_US, ordered_scan, remaining, running, width_block
 from ..plans.topk import top_k
 from .series import stride
 
@@ -60,12 +61,23 @@ def recent_runs(runs: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
     return runs.orderBy(F.desc("started_us"), F.desc("run_id")).offset(max(0, offset)).limit(min(max(1, limit), RUN_PAGE_MAX))
 
 
-def runs_by_session(runs: DataFrame, k: int | None = None) -> DataFrame:
-    """Each session with its runs, newest first, and its run count; k keeps a page of them."""
+def run_places(runs: DataFrame, block: Column | None = None) -> DataFrame:
+    """Every run with its place among its session's runs, newest first, and their count; no session is one row or one task.
+
+    Runs without a start are the oldest ones; runs without a session count as one session.
+    """
+    none = c("session_id").isNull()
+    at = block if block is not None else width_block("started_us", TIME_BLOCK_US)
+    rows = runs.select(F.coalesce("session_id", F.lit("")).alias("__s"), none.alias("__none"), "started_us", "run_id")
+    one = F.lit(1).cast("long")
+    ranked = ordered_scan(rows, ["__s", "__none"], ["started_us", "run_id"], F.coalesce(at, F.lit(-(1 << 62))), shared=True,
+                          rank=remaining(one), older=running(one))
+    return ranked.select(F.when(~c("__none"), c("__s")).alias("session_id"), "run_id", "rank", (c("rank") + c("older") - 1).alias("runs"))
+
+
+def runs_by_session(runs: DataFrame, k: int) -> DataFrame:
+    """A page per session - its k newest runs as a list, and its run count."""
     n = runs.groupBy("session_id").agg(F.count("*").alias("runs"))
-    if k is None:
-        newest_first = F.sort_array(F.collect_list(F.struct("started_us", "run_id")), asc=False)
-        return runs.groupBy("session_id").agg(F.count("*").alias("runs"), F.transform(newest_first, lambda s: s["run_id"]).alias("run_ids"))
     newest = top_k(runs.select("session_id", "run_id", "started_us"), ["session_id"], [F.desc("started_us"), F.desc("run_id")], k,
                    rank="rank")
     ids = newest.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "run_id"))),

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 SEQ_BLOCK_BITS = 20            # about a million log lines per block
 TIME_BLOCK_US = 3_600_000_000  # one hour of 4 Hz samples: 14,400 rows per block and run
-MONO_BLOCK_NS = 60_000_000_000
+MONO_BLOCK_NS = 1_000_000_000  # one second of one thread: calls take a microsecond at least, so a million rows or so
 TIME_UNITS_US = (TIME_BLOCK_US, 1_000_000, 1_000)  # an hour, a second, a millisecond
 BLOCK_ROWS = 1 << 20           # rows from which a block of time is cut finer
 

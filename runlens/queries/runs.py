@@ -377,9 +377,10 @@ def recent_runs(spark, d):
     return catalog.recent_runs(_runs(spark, d), 200, 40).select("run_id", "session_id", "started_us")
 
 
-@register("runs_by_session", RUNS + """SELECT session_id, count(*) AS runs, string_agg(run_id, ',' ORDER BY started_us DESC, run_id DESC) AS run_ids FROM runs GROUP BY 1""")
+@register("runs_by_session", RUNS + """SELECT session_id, run_id, row_number() OVER (PARTITION BY session_id ORDER BY started_us DESC, run_id DESC) AS rank,
+ count(*) OVER (PARTITION BY session_id) AS runs FROM runs""")
 def runs_by_session(spark, d):
-    return catalog.runs_by_session(_runs(spark, d)).select("session_id", "runs", F.array_join("run_ids", ",").alias("run_ids"))
+    return catalog.run_places(_runs(spark, d))
 
 
 @register("reconciled_runs", RUNS + "SELECT run_id, CASE WHEN status = 'completed' THEN status ELSE 'error' END AS status FROM runs")

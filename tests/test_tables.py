@@ -191,7 +191,12 @@ def test_catalog(spark):
                                  "run_id string, session_id string, started_us long, ended_us long, duration_ms long, status string, exit_code int, exit_signal string")
     assert [r.run_id for r in catalog.session_runs(runs, "s").collect()] == ["2", "1"]
     assert [r.run_id for r in catalog.recent_runs(runs, 0, 1).collect()] == ["3"]
-    assert {r.session_id: r.run_ids for r in catalog.runs_by_session(runs).collect()} == {"s": ["2", "1"], "t": ["3"]}
+    assert {r.session_id: r.run_ids for r in catalog.runs_by_session(runs, 2).collect()} == {"s": ["2", "1"], "t": ["3"]}
+    assert {r.session_id: (r.runs, r.run_ids) for r in catalog.runs_by_session(runs, 1).collect()} == {"s": (2, ["2"]), "t": (1, ["3"])}
+    more = runs.select("run_id", "session_id", "started_us").union(spark.createDataFrame(
+        [("4", "s", None), ("5", "s", 30), ("6", None, 1), ("7", None, 9)], "run_id string, session_id string, started_us long"))
+    want = {("s", "5", 1, 4), ("s", "2", 2, 4), ("s", "1", 3, 4), ("s", "4", 4, 4), ("t", "3", 1, 1), (None, "7", 1, 2), (None, "6", 2, 2)}
+    assert set(rows(catalog.run_places(more))) == set(rows(catalog.run_places(more, block(7, "started_us")))) == want
     assert {r.status for r in catalog.reconcile(runs).collect()} == {"error", "completed"}
     ends = spark.createDataFrame([("1", 5_000, 1, "SIGKILL")], "run_id string, ended_us long, exit_code int, exit_signal string")
     done = by(catalog.finalise(runs, ends, spark.createDataFrame([("1", "high")], "run_id string, max_severity string")), "run_id")
