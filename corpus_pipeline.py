@@ -30,7 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; near copies have a Jaccard
-    similarity of five-word shingles of 0.8 or more. SimHash of 64 bits misses most of those, so the stage takes min-hashes."""
+    similarity of five-word shingles of 0.8 or more. Fingerprints within op5's two bits give the first pairs; those of copies
+    edited further come from min-hashes and a prefix filter. Every pair is measured on whole texts."""
     return near_copies.one_of_each(docs, size=5, least=0.8)
 
 

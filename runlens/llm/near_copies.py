@@ -1,7 +1,9 @@
 """Near copies by resemblance: two texts are linked if their sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Candidates come from min-hashes in bands; every candidate is then measured on its whole text. With 32 bands of six, a pair at
-exactly 0.8 shares no band, and is missed, with probability 0.738 ** 32, about 6 in 100,000; a pair at 0.9 never in practice.
+SimHash comes first: each set has a fingerprint, fingerprints within two bits are found through simhash's pivot distance tables,
+and the texts behind them are measured whole. Edited copies differ in more bits than a search of 64 bits can reach, so further
+candidates, of texts that no link holds together yet, come from min-hashes in bands and are measured too. With 32 bands of six, a
+pair at exactly 0.8 shares no band, and is missed, with probability 0.738 ** 32, about 6 in 100,000; a pair at 0.9 never in practice.
 
 A large bucket never makes all its pairs. Its members are first measured against one of them, its head, and
 texts already linked need no further measuring. Texts of buckets that are still in parts go through an exact filter instead: their
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
@@ -31,6 +33,11 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     return np.unique(np.array([digest(b" ".join(words[i:i + size]), 42) for i in range(len(words) - size + 1)], dtype=np.uint64))
 
 
+def name(found: np.ndarray) -> int:
+    """What a set of shingles is called by."""
+    return int(np.array(xxhash.xxh64_intdigest(found.tobytes(), 42), dtype=np.uint64).view(np.int64))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both)
@@ -46,18 +53,20 @@ def min_hashes(found: np.ndarray, count: int) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, size: int, bands: int, deep: int) -> DataFrame:
-    """(set, n, bands, no_id, doc_id, mark) of rows (doc_id, text, mark): a name of the shingle set, its size, a hash for each band."""
+    """(set, n, fp, bands, doc_id, mark) of rows (doc_id, text, mark): a name of the shingle set, its size, its SimHash, a hash for
+    each band."""
     def run(batches):
         for batch in batches:
-            names, sizes, keys = [], [], []
+            names, sizes, fps, keys = [], [], [], []
             for t in batch["text"]:
                 found = shingles(t, size)
-                names.append(xxhash.xxh64_intdigest(found.tobytes(), 42))
+                names.append(name(found))
                 sizes.append(len(found))
+                fps.append(simhash.signed(simhash.majority(found)))
                 hashes = min_hashes(found, bands * deep).reshape(bands, deep)
                 keys.append(np.array([xxhash.xxh64_intdigest(h.tobytes(), i) for i, h in enumerate(hashes)], dtype=np.uint64).view(np.int64))
-            yield pd.DataFrame({"set": np.array(names, dtype=np.uint64).view(np.int64), "n": sizes, "bands": keys, "doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"]})
-    return rows.mapInPandas(run, "set long, n int, bands array<long>, doc_id long, mark long")
+            yield pd.DataFrame({"set": np.array(names, dtype=np.int64), "n": sizes, "fp": np.array(fps, dtype=np.int64), "bands": keys, "doc_id": batch["doc_id"].astype("Int64"), "mark": batch["mark"]})
+    return rows.mapInPandas(run, "set long, n int, fp long, bands array<long>, doc_id long, mark long")
 
 
 def measured(pairs: DataFrame, texts: DataFrame, size: int, least: float, per_task: int = 1000) -> DataFrame:
@@ -83,6 +92,19 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def close(known: DataFrame, least: float, radius: int = 2) -> DataFrame:
+    """(a, b): pairs of sets (set, n, fp) that SimHash puts together and whose sizes allow that similarity: the heads of any two
+    fingerprints within radius bits, and each set with the head of its own fingerprint. A fingerprint has at most 2,080 others within
+    two bits, so these grow with the sets, however large a group is."""
+    heads = common.cut(known.groupBy("fp").agg(F.min(F.struct("set", "n")).alias("head")))
+    between = simhash.links(heads, radius)
+    x, y = (heads.select(F.col("fp").alias(k), F.col("head").alias(f"{k}_head")) for k in "ab")
+    pairs = between.join(x, "a").join(y, "b").select("a_head", "b_head") \
+        .union(known.join(heads, "fp").select(F.struct("set", "n"), "head")).toDF("a", "b").filter("a.set <> b.set")
+    sizes = F.least("a.n", "b.n") / F.greatest("a.n", "b.n")
+    return pairs.filter(sizes >= least).select(*_pair(F.col("a.set"), F.col("b.set"))).distinct()
+
+
 def rare_first(apart: DataFrame, texts: DataFrame, size: int) -> DataFrame:
     """(set, n, root, s, at) of the sets (set, n, root): their shingles that another of them has, and each one's place when a set's
     shingles are ordered from the rarest among these sets to the commonest."""
@@ -111,11 +133,11 @@ def likely(places: DataFrame, least: float) -> DataFrame:
     return small.join(large, "s").filter(fit).select(*_pair(F.col("set"), F.col("other"))).distinct()
 
 
-def roots(members: DataFrame, texts: DataFrame, size: int, least: float, rounds: int = 1) -> DataFrame:
-    """(node, root) of the sets with a link, from (key, set, n): a round against a head of each bucket, then the exact filter over the
-    texts of the buckets that are still in parts."""
-    found = members.select(F.col("set").alias("node"), F.col("set").alias("root")).limit(0)
-    links = None
+def roots(together: DataFrame, members: DataFrame, texts: DataFrame, size: int, least: float, rounds: int = 1) -> DataFrame:
+    """(node, root) of the sets with a link, from SimHash's pairs (a, b) and (key, set, n): these pairs are measured, then come a round
+    against a head of each bucket, and the exact filter over the texts of the buckets that are still in parts."""
+    links = common.cut(measured(together, texts, size, least))
+    found = common.components(links)
     for k in range(rounds + 1):
         placed = common.cut(members.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
         heads = placed.groupBy("key").agg(F.min_by(F.struct("set", "n", "root"), F.xxhash64("set", F.lit(k))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
@@ -126,7 +148,7 @@ def roots(members: DataFrame, texts: DataFrame, size: int, least: float, rounds:
             apart = common.cut(placed.join(heads.select("key"), "key", "left_semi").select("set", "n", "root").distinct())
             pairs = likely(common.cut(rare_first(apart, texts, size)), least)
         new = common.cut(measured(common.cut(pairs), texts, size, least))
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         found = common.components(links)
     return found
 
@@ -139,12 +161,14 @@ def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int =
     marked = docs.withColumn(mark, F.xxhash64(text))
     rows = marked.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(mark).alias("mark"))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark")
-    known = common.cut(sketches(rows, size, bands, deep).groupBy("set").agg(F.min(first).alias("head"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    known = common.cut(sketches(rows, size, bands, deep).groupBy("set").agg(F.min(first).alias("head"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     dealt = known.select("set", "n", F.explode("bands").alias("key"))
     members = common.cut(dealt.join(dealt.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").drop("c"), "key").select("key", "set", "n"))
-    wanted = known.join(members.select("set").distinct(), "set").select("set", F.col("head.doc_id").alias("id"), F.col("head.mark").alias("at"))
+    together = common.cut(close(known.select("set", "n", "fp"), least))
+    named = members.select("set").union(together.select("a")).union(together.select("b")).distinct()
+    wanted = known.join(named, "set").select("set", F.col("head.doc_id").alias("id"), F.col("head.mark").alias("at"))
     texts = common.cut(rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("at"))).select("set", "text").dropDuplicates(["set"]))
-    placed = known.select("set", "head").join(roots(members, texts, size, least).withColumnRenamed("node", "set"), "set", "left")
+    placed = known.select("set", "head").join(roots(together, members, texts, size, least).withColumnRenamed("node", "set"), "set", "left")
     kept = placed.groupBy(F.coalesce("root", "set").alias("root")).agg(F.min("head").alias("head")).select(F.col("head.doc_id").alias("__id"), F.col("head.mark").alias("__mark"))
     return marked.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col(mark) == F.col("__mark"))) \
         .drop("__id", "__mark").dropDuplicates(["doc_id", mark]).drop(mark)

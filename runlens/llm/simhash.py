@@ -35,6 +35,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the 64-bit hashes."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        block = hashes[at:at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        total += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """64-bit SimHash of a text's word shingles. A text of fewer words is one shingle; of none, zero."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -48,12 +57,7 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = [0, *(ends[:-shingle] + 1).tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], 42) for a, b in zip(starts, ends[shingle - 1:].tolist())]
-    total = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 65536):
-        block = np.array(hashes[at:at + 65536], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        total += np.unpackbits(block, axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * total > len(hashes))
-    return int.from_bytes(bits.tobytes(), "big")
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from runlens.llm import near_copies
+from runlens.llm import near_copies, simhash
 
 
 def test_stage_finds_edited_copies(spark):
@@ -63,3 +65,28 @@ def test_the_exact_filter_loses_no_pair(spark):
         got = {(r.a, r.b) for r in near_copies.likely(near_copies.rare_first(apart, table, 5), least).collect()}
         want = {(i, j) for i in sets for j in sets if i < j and near_copies.similarity(sets[i], sets[j]) >= least}
         assert want <= got and len(got) < 5 * len(want) + 50
+
+
+def test_the_stage_goes_by_simhash(spark, monkeypatch):
+    """Fingerprints within two bits are found by op5's search, and alone give the groups of texts that share no bucket."""
+    draw = random.Random(11)
+    words = [[f"w{draw.randrange(9000)}" for _ in range(600)] for _ in range(20)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w, "end"]) for w in words] + [None, "", "one two"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = {i: near_copies.shingles(t) for i, t in enumerate(texts)}
+    fps = {i: simhash.majority(s) for i, s in sets.items()}
+    names = {near_copies.name(s): i for i, s in sorted(sets.items(), reverse=True)}
+    known = near_copies.sketches(docs.withColumn("mark", docs.doc_id), 5, 4, 4).select("set", "n", "fp").distinct()
+    got = {tuple(sorted((names[r.a], names[r.b]))) for r in near_copies.close(known, 0.8).collect()}
+    want = {(i, j) for i in fps for j in fps if names[near_copies.name(sets[i])] == i < j == names[near_copies.name(sets[j])]
+            and (fps[i] ^ fps[j]).bit_count() <= 2 and 0.8 <= len(sets[i]) / len(sets[j]) <= 1.25}
+    assert got == want and len(want) >= 15
+
+    linked = {j for i, j in want if near_copies.similarity(sets[i], sets[j]) >= 0.8}
+    sketched = near_copies.sketches
+
+    def without_buckets(*args):
+        return sketched(*args).withColumn("bands", F.array(F.col("set")))
+    monkeypatch.setattr(near_copies, "sketches", without_buckets)
+    left = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
+    assert left == set(names.values()) - linked
