@@ -8,7 +8,9 @@ pair at exactly 0.8 shares no band, and is missed, with probability 0.738 ** 32,
 A large bucket never makes all its pairs. Its members are first measured against one of them, its head, and
 texts already linked need no further measuring. Texts of buckets that are still in parts go through an exact filter instead: their
 shingles are ordered by rarity, and two texts of the wanted similarity share a shingle among the first ninth of the smaller and the
-first fifth of the larger one, at places that leave enough shingles after them. Only such pairs of different parts are measured.
+first fifth of the larger one, at places that leave enough shingles after them. They also differ in at most a ninth of their shingles,
+which the parities of 512 classes of shingles bound from below, so texts just short of the similarity seldom become a pair. Only
+pairs of different parts that pass are measured.
 """
 
 from __future__ import annotations
@@ -23,6 +25,11 @@ from pyspark.sql import functions as F
 
 from . import common, simhash
 
+#: 64-bit words that say of a set which classes of shingles it has an odd number of, and their columns.
+WORDS = 8
+ODD = [f"odd{w}" for w in range(WORDS)]
+SLACK = 1e-9
+
 
 def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """Hashes of a text's different word shingles, in order. A text of fewer words is one shingle; so is one of none."""
@@ -106,8 +113,9 @@ def close(known: DataFrame, least: float, radius: int = 2) -> DataFrame:
 
 
 def rare_first(apart: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """(set, n, root, s, at) of the sets (set, n, root): their shingles that another of them has, and each one's place when a set's
-    shingles are ordered from the rarest among these sets to the commonest."""
+    """(set, n, root, alone, odd0.., s, at) of the sets (set, n, root): their shingles that another of them has, and each one's place
+    when a set's shingles are ordered from the rarest among these sets to the commonest; how many shingles no other set has, and for
+    each of 512 classes of the others if the set has an odd number of them, in WORDS words."""
     def run(batches):
         for batch in batches:
             found = [shingles(t, size).view(np.int64) for t in batch["text"]]
@@ -116,20 +124,30 @@ def rare_first(apart: DataFrame, texts: DataFrame, size: int) -> DataFrame:
                 yield pd.DataFrame({"set": np.repeat(batch["set"].to_numpy()[at:at + 256], [len(x) for x in some]), "s": np.concatenate(some)})
     each = common.cut(texts.join(apart.select("set"), "set").mapInPandas(run, "set long, s long"))
     counts = each.groupBy("s").agg(F.count("*").alias("c")).filter("c > 1")
-    order = each.join(counts, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"))
-    places = order.join(apart, "set").select("set", "n", "root", (F.col("n") - F.size("order")).alias("alone"), F.posexplode("order").alias("k", "x"))
-    return places.select("set", "n", "root", F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
+    odd = [F.bit_xor(F.expr(f"if(pmod(s, {64 * WORDS}) div 64 = {w}, shiftleft(1L, cast(pmod(s, 64) as int)), 0L)")).alias(f"odd{w}") for w in range(WORDS)]
+    order = each.join(counts, "s").groupBy("set").agg(F.sort_array(F.collect_list(F.struct("c", "s"))).alias("order"), *odd)
+    places = order.join(apart, "set").withColumn("alone", F.col("n") - F.size("order"))
+    kept = ["set", "n", "root", "alone", *ODD]
+    return places.select(*kept, F.posexplode("order").alias("k", "x")).select(*kept, F.col("x.s").alias("s"), (F.col("alone") + F.col("k")).alias("at"))
+
+
+def leading(places: DataFrame, least: float) -> DataFrame:
+    """The places of rare_first() at which a pair of that similarity may have its first common shingle."""
+    return places.filter(F.col("n") - F.col("at") >= least * F.col("n") - SLACK)
 
 
 def likely(places: DataFrame, least: float) -> DataFrame:
     """(a, b): every pair of sets with different roots and that similarity, and some more, from rare_first()'s rows. A pair's common
-    shingles number share * (n + m) at least, and no fewer than that are left from its first common one on."""
-    share, slack = least / (1 + least), 1e-9
-    small = places.filter(F.col("n") - F.col("at") >= 2 * share * F.col("n") - slack)
-    large = places.filter(F.col("n") - F.col("at") >= least * F.col("n") - slack).select(
-        "s", F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), F.col("at").alias("there"))
+    shingles number share * (n + m) at least, and no fewer than that are left from its first common one on. So at most
+    (1 - 2 * share) * (n + m) are in one set only: those no other set has, and at least one in each class that differs in odd and even."""
+    share = least / (1 + least)
+    small = places.filter(F.col("n") - F.col("at") >= 2 * share * F.col("n") - SLACK)
+    large = leading(places, least).select("s", F.col("set").alias("other"), F.col("n").alias("m"), F.col("root").alias("its"), F.col("at").alias("there"),
+                                          F.col("alone").alias("lone"), *[F.col(c).alias(f"its_{c}") for c in ODD])
+    differ = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"its_{c}"))) for c in ODD), F.col("alone") + F.col("lone"))
     fit = (F.col("root") != F.col("its")) & ((F.col("n") < F.col("m")) | (F.col("n") == F.col("m")) & (F.col("set") < F.col("other"))) \
-        & (F.col("n") >= least * F.col("m") - slack) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) >= share * (F.col("n") + F.col("m")) - slack)
+        & (F.col("n") >= least * F.col("m") - SLACK) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("there")) >= share * (F.col("n") + F.col("m")) - SLACK) \
+        & (differ <= (1 - 2 * share) * (F.col("n") + F.col("m")) + SLACK)
     return small.join(large, "s").filter(fit).select(*_pair(F.col("set"), F.col("other"))).distinct()
 
 
@@ -146,7 +164,7 @@ def roots(together: DataFrame, members: DataFrame, texts: DataFrame, size: int,
             pairs = joined.filter((F.col("root") != F.col("its")) & (F.least("n", "m") / F.greatest("n", "m") >= least)).select(*_pair(F.col("set"), F.col("other"))).distinct()
         else:
             apart = common.cut(placed.join(heads.select("key"), "key", "left_semi").select("set", "n", "root").distinct())
-            pairs = likely(common.cut(rare_first(apart, texts, size)), least)
+            pairs = likely(common.cut(leading(rare_first(apart, texts, size), least)), least)
         new = common.cut(measured(common.cut(pairs), texts, size, least))
         links = links.unionByName(new)
         found = common.components(links)

@@ -90,3 +90,23 @@ def test_the_stage_goes_by_simhash(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "sketches", without_buckets)
     left = {r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, docs, "").collect()}
     assert left == set(names.values()) - linked
+
+
+def test_texts_short_of_the_similarity_make_few_pairs(spark):
+    """A large group of texts that share most shingles, few of them 0.8 similar, with words that each goes with some of the others:
+    the filter makes those pairs, and not the many that differ in a few shingles more."""
+    draw = random.Random(3)
+    texts = []
+    for _ in range(200):
+        words = [f"c{k}" for k in range(150)]
+        for at in range(4, 150, 24):
+            words[at] = f"v{draw.randrange(6)}"
+        texts.append(words)
+    texts += [[*words, "more"] for words in texts[:20]]
+    sets = {i: near_copies.shingles(" ".join(w)) for i, w in enumerate(texts)}
+    want = {(i, j) for i in sets for j in sets if i < j and near_copies.similarity(sets[i], sets[j]) >= 0.8}
+    apart = spark.createDataFrame([(i, len(s), i) for i, s in sets.items()], "set long, n int, root long")
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "set long, text string")
+    places = near_copies.rare_first(apart, table, 5)
+    got = {(r.a, r.b) for r in near_copies.likely(places, 0.8).collect()}
+    assert {(i, 200 + i) for i in range(20)} <= want <= got and len(got) < 3 * len(want)
