@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import sys
 import tempfile
 import types
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import filterfalse
 
@@ -33,10 +34,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: A setting of Spark 4.1; earlier ones ignore it and keep shuffle files until the driver collects its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Queries written and run inside drop their shuffle files as soon as they end: for those whose rows are kept elsewhere or are a
+    few numbers. Where many follow each other, the files of all of them would else stay on the disks together."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept in the cluster's shared checkpoint folder, so a lost executor loses none of them."""
+    """The rows, computed once and kept in the cluster's shared checkpoint folder, so a lost executor loses none of them. The
+    shuffles behind them are not read again and go."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    with passing(df.sparkSession):
+        return df.select("*").checkpoint()  # the setting holds for queries written under it
 
 
 def held(key, make: Callable):
@@ -158,13 +177,14 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     def mark(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        with passing(e.sparkSession):
+            return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = mark(edges)
     while seen[0]:
         pairs = both(edges)
-        edges = pairs.filter("v > u").join(least(pairs), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        edges = pairs.filter("v > u").join(least(pairs), "u").select(F.col("v").alias("a"), F.col("m").alias("b"))  # no more rows than edges
         low = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         near = low.groupBy("u").agg(F.min("v").alias("m"))
         edges = low.join(near, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b") \

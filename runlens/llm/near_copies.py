@@ -2,15 +2,15 @@
 
 SimHash comes first: each set has a fingerprint, fingerprints within two bits are found through simhash's pivot distance tables,
 and the texts behind them are measured whole. Edited copies differ in more bits than a search of 64 bits can reach, so further
-candidates, of texts that no link holds together yet, come from min-hashes in bands and are measured too. With 32 bands of six, a
-pair at exactly 0.8 shares no band, and is missed, with probability 0.738 ** 32, about 6 in 100,000; a pair at 0.9 never in practice.
-
-A large bucket never makes all its pairs. Its members are first measured against one of them, its head, and
-texts already linked need no further measuring. Texts of buckets that are still in parts go through an exact filter instead: their
-shingles are ordered by rarity, and two texts of the wanted similarity share a shingle among the first ninth of the smaller and the
-first fifth of the larger one, at places that leave enough shingles after them. They also differ in at most a ninth of their shingles,
-which the parities of 512 classes of shingles bound from below, so texts just short of the similarity seldom become a pair. Only
-pairs of different parts that pass are measured.
+candidates come from min-hashes in bands and are measured too. With 32 bands of six, a pair at exactly 0.8 shares no band, and is
+missed, with probability 0.738 ** 32, about 6 in 100,000; a pair at 0.9 never in practice.
+
+A large bucket never makes all its pairs. Its members are measured against one of them, its head, in the same pass as SimHash's pairs,
+and texts that these links hold together need no further measuring. Texts of buckets that are still in parts go through an exact filter
+instead: their shingles are ordered by rarity, and two texts of the wanted similarity share a shingle among the first ninth of the
+smaller and the first fifth of the larger one, at places that leave enough shingles after them. They also differ in at most a ninth of
+their shingles, which the parities of 512 classes of shingles bound from below, so texts just short of the similarity seldom become a
+pair. Only pairs of different parts that pass are measured.
 """
 
 from __future__ import annotations
@@ -81,7 +81,8 @@ def measured(pairs: DataFrame, texts: DataFrame, size: int, least: float, per_ta
 
     Sets are dealt to blocks by hash, and a task measures the pairs of two blocks, about per_task of them: it gets each text once,
     however many of its pairs hold it, and a set with very many pairs goes to as many tasks as there are blocks."""
-    blocks = math.ceil(math.sqrt(pairs.count() / per_task)) or 1
+    with common.passing(pairs.sparkSession):
+        blocks = math.ceil(math.sqrt(pairs.count() / per_task)) or 1
 
     def run(these: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         known = {k: shingles(t, size) for k, t in zip(held["set"].tolist(), held["text"].tolist())}
@@ -151,24 +152,17 @@ def likely(places: DataFrame, least: float) -> DataFrame:
     return small.join(large, "s").filter(fit).select(*_pair(F.col("set"), F.col("other"))).distinct()
 
 
-def roots(together: DataFrame, members: DataFrame, texts: DataFrame, size: int, least: float, rounds: int = 1) -> DataFrame:
-    """(node, root) of the sets with a link, from SimHash's pairs (a, b) and (key, set, n): these pairs are measured, then come a round
-    against a head of each bucket, and the exact filter over the texts of the buckets that are still in parts."""
-    links = common.cut(measured(together, texts, size, least))
-    found = common.components(links)
-    for k in range(rounds + 1):
-        placed = common.cut(members.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
-        heads = placed.groupBy("key").agg(F.min_by(F.struct("set", "n", "root"), F.xxhash64("set", F.lit(k))).alias("head"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
-        if k < rounds:
-            joined = placed.join(heads.select("key", F.col("head.set").alias("other"), F.col("head.n").alias("m"), F.col("head.root").alias("its")), "key")
-            pairs = joined.filter((F.col("root") != F.col("its")) & (F.least("n", "m") / F.greatest("n", "m") >= least)).select(*_pair(F.col("set"), F.col("other"))).distinct()
-        else:
-            apart = common.cut(placed.join(heads.select("key"), "key", "left_semi").select("set", "n", "root").distinct())
-            pairs = likely(common.cut(leading(rare_first(apart, texts, size), least)), least)
-        new = common.cut(measured(common.cut(pairs), texts, size, least))
-        links = links.unionByName(new)
-        found = common.components(links)
-    return found
+def roots(together: DataFrame, members: DataFrame, texts: DataFrame, size: int, least: float) -> DataFrame:
+    """(node, root) of the sets with a link, from SimHash's pairs (a, b) and (key, set, n): these pairs and those of each bucket's
+    members with its head are measured, then come those of the exact filter over the texts of the buckets that are still in parts."""
+    heads = members.groupBy("key").agg(F.min_by(F.struct("set", "n"), F.xxhash64("set", F.lit(0))).alias("head")).select("key", F.col("head.set").alias("other"), F.col("head.n").alias("m"))
+    headed = members.join(heads, "key").filter((F.col("set") != F.col("other")) & (F.least("n", "m") / F.greatest("n", "m") >= least)).select(*_pair(F.col("set"), F.col("other")))
+    found = common.components(measured(common.cut(together.union(headed).distinct()), texts, size, least))
+    placed = common.cut(members.join(found.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set")))
+    parted = placed.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+    apart = common.cut(placed.join(parted.select("key"), "key", "left_semi").select("set", "n", "root").distinct())
+    pairs = common.cut(likely(common.cut(leading(rare_first(apart, texts, size), least)), least))
+    return common.components(found.toDF("a", "b").unionByName(measured(pairs, texts, size, least)))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 32, deep: int = 6) -> DataFrame:

@@ -1,11 +1,12 @@
 """The pipeline's near-duplicate stage against brute force over planted edited copies."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from runlens.llm import near_copies, simhash
+from runlens.llm import common, near_copies, simhash
 
 
 def test_stage_finds_edited_copies(spark):
@@ -110,3 +111,52 @@ def test_texts_short_of_the_similarity_make_few_pairs(spark):
     places = near_copies.rare_first(apart, table, 5)
     got = {(r.a, r.b) for r in near_copies.likely(places, 0.8).collect()}
     assert {(i, 200 + i) for i in range(20)} <= want <= got and len(got) < 3 * len(want)
+
+
+def shuffle_files(spark, most, seconds=20):
+    """How many shuffle files there are now, or once they are no more than most: they go soon after a query's end, not with it."""
+    until = time.time() + seconds
+    while True:
+        now = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").count("/shuffle_")
+        if now <= most or time.time() > until:
+            return now
+        time.sleep(0.5)
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    before, setting = shuffle_files(spark, -1, 0), spark.conf.get(common.DROP_SHUFFLES, None)
+    for _ in range(20):
+        rows = common.cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count().join(spark.range(7).withColumnRenamed("id", "k"), "k"))
+    assert sorted(r["count"] for r in rows.collect()) == [142] * 1 + [143] * 6
+    assert sum(r["count"] for r in rows.collect()) == 1000
+    assert shuffle_files(spark, before) <= before
+    assert spark.conf.get(common.DROP_SHUFFLES, None) == setting
+
+
+def test_the_shuffles_of_the_stage_do_not_add_up(spark):
+    """The stage has some hundred shuffles; those whose rows were kept elsewhere go before the next ones come."""
+    draw = random.Random(13)
+    words = [[f"w{draw.randrange(3000)}" for _ in range(80)] for _ in range(60)]
+    words += [[*w[:k], f"x{k}", *w[k + 1:]] for w in words[:30] for k in (9, 70)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    before = shuffle_files(spark, -1, 0)
+    got = corpus_pipeline.STAGES[2][1](spark, docs, "")
+    assert shuffle_files(spark, before + 60) <= before + 60
+    sets = [near_copies.shingles(" ".join(w)) for w in words]
+    assert {r.doc_id for r in got.collect()} == {j for j, b in enumerate(sets) if all(near_copies.similarity(a, b) < 0.8 for a in sets[:j])}
+
+
+def test_components_of_chains_and_stars(spark):
+    draw = random.Random(17)
+    edges = [(i, i + 1) for i in range(60)] + [(200, i) for i in range(201, 260)] + [(i, 300) for i in range(301, 330)] + [(7, 7), (330, 7), (7, 330)]
+    edges += [(draw.randrange(400, 520), draw.randrange(400, 520)) for _ in range(70)]
+    root = {x: x for e in edges for x in e}
+
+    def top(x):
+        return x if root[x] == x else top(root[x])
+    for a, b in edges:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    got = [(r.node, r.root) for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()]
+    assert sorted(got) == sorted((x, top(x)) for x in linked)
