@@ -11,11 +11,15 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
 from collections import defaultdict
+from itertools import compress
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +33,7 @@ _ODD = re.compile("[^\t\n\x0b\x0c\r -~\xa0-įı-ɏ]")
 _PLAIN = bytes([*b"\t\n\x0b\x0c\r", *range(0x20, 0x7F), *range(0xA0, 0x100)])
 #: Stands between words that are encoded together. Its UTF-8 bytes begin as none of a word's can.
 _BETWEEN = "\ue000"
-_STOPS = ".,;:!?"
+_SIGNS = string.punctuation
 
 
 def plain(text: str) -> bool:
@@ -76,13 +80,18 @@ class Memory(dict):
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit bytes. The tokenizer never joins over white space, so a text's ids are
-    those of its words in turn; a word is encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
+    those of its words in turn. Arrow cuts the texts of a call and numbers their different words, each of which is looked up
+    once a call; its parts are encoded once and remembered, up to a bound. Unusual texts are encoded whole."""
 
     def __init__(self, file: str, remember: int = 320_000, longest: int = 200):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(file)
-        self.words = Memory(self._words, remember, longest)
+        # words of lower-case letters need no normalizing and are one pre-token each: the same model, cut at spaces, gives their ids
+        self.letters = Tokenizer.from_file(file)
+        self.letters.normalizer = None
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.parts = Memory(self._parts, remember, longest)
         self.parts.older[""] = b""
         self.between = np.array(self.tokenizer.encode(_BETWEEN, add_special_tokens=False).ids, "<u4")
@@ -103,7 +112,7 @@ class Encoder:
         letters = [w for w in new if w.isalpha()]
         lines = [letters[i:i + together] for i in range(0, len(letters), together)]
         out = {}
-        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
+        for line, e in zip(lines, self.letters.encode_batch_fast([" ".join(line) for line in lines], add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             data, at = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             out.update(zip(line, [data[a:b] for a, b in zip([0, *at], at)] if len(at) == len(line) else self._marked([line])))
@@ -111,19 +120,22 @@ class Encoder:
         out.update(zip(rest, self._marked([rest[i:i + together] for i in range(0, len(rest), together)])))
         return [out[w] for w in new]
 
-    def _words(self, new: list[str]) -> list[bytes]:
-        """The tokenizer always cuts between a letter or digit and the stops that end a word."""
-        cores = [w.rstrip(_STOPS) for w in new]
-        cores = [c if c and c[-1].isalnum() else w for c, w in zip(cores, new)]
-        ends = [w[len(c):] for c, w in zip(cores, new)]
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The tokenizer always cuts between a letter or digit and the signs that end a word."""
+        cores = [w.rstrip(_SIGNS) for w in words]
+        cores = [c if c and c[-1].isalnum() else w for c, w in zip(cores, words)]
+        ends = [w[len(c):] for c, w in zip(cores, words)]
         cores, ends = self.parts.encoded([cores, ends])
         return list(map(bytes.__add__, cores, ends))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.lower().split() if plain(t) else None for t in texts]
-        found = iter(self.words.encoded([w for w in cut if w is not None]))
-        return [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if words is None else b"".join(next(found))
-                for t, words in zip(texts, cut)]
+        easy = list(map(plain, texts))
+        cut = pc.utf8_split_whitespace(pa.array([t.lower() for t in compress(texts, easy)], pa.large_string()))
+        words = pc.dictionary_encode(cut.flatten())
+        ids = pa.array(self._words(words.dictionary.to_pylist()), pa.large_binary()).take(words.indices)
+        found = iter(pc.binary_join(pa.ListArray.from_arrays(cut.offsets, ids), pa.scalar(b"", pa.large_binary())).to_pylist())
+        return [next(found) if e else np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+                for t, e in zip(texts, easy)]
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
@@ -132,7 +144,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
         encode = common.held_latest("words", ("packing", tokenizer), lambda: Encoder(tokenizer))
         for batch in batches:
             texts, ids, rows = batch["text"].fillna("").tolist(), batch["doc_id"].tolist(), []
-            for a, b in common.groups(texts):
+            for a, b in common.groups(texts, most=10_000, chars=1 << 22):
                 for doc, data in zip(ids[a:b], encode(texts[a:b])):
                     data += b"\0\0\0\0"
                     n = len(data) // 4

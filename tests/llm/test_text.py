@@ -77,6 +77,32 @@ def test_packing_is_gapless_and_exact(odd, docs):
     assert len(at) < 1.05 * sum(r.length for r in got) / 2048 + 8
 
 
+def test_packing_encodes_words_as_the_library_does():
+    """Every plain character beside letters, digits, signs and white space, and random mixtures, also when little is remembered."""
+    from tokenizers import Tokenizer
+    tokenizer, draw = Tokenizer.from_file(WORDS), random.Random(11)
+    plain = [c for c in map(chr, range(0x300)) if packing.plain(c)]
+    texts = [f"a{c}b {c} {c}{c}x X{c}... 7{c}' {c}***{c}, it{c}s '{c}t don't{c}" for c in plain]
+    texts += ["".join(draw.choices("aAéSt7'.,*(<>\" \t\xa0\n", k=80)) for _ in range(300)] + ["", " ", "\n", "dogs' ('the rock'n'roll...' x''s", "y" * 900, "naïve こ x"]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for encode in (packing.Encoder(WORDS), packing.Encoder(WORDS, remember=50, longest=6)):
+        for _ in range(2):
+            assert [ids for a in range(0, len(texts), 40) for ids in encode(texts[a:a + 40])] == want
+    assert encode([]) == []
+
+
+def test_packing_looks_up_each_different_word_once_a_call(monkeypatch):
+    asked, encoded = [], packing.Memory.encoded
+
+    def counted(self, rows):
+        asked.extend(map(len, rows))
+        return encoded(self, rows)
+
+    monkeypatch.setattr(packing.Memory, "encoded", counted)
+    packing.Encoder(WORDS)([" ".join(["five", "words,", "are", "said***", "again"] * 1000)] * 4)
+    assert sum(asked) <= 20
+
+
 def test_bins_are_best_fit_and_bounded():
     draw, size, most = random.Random(3), 100, 5
     bins, held = packing.Bins(size, most), {}
