@@ -2,7 +2,8 @@
 
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame, with the columns of its
 documents in all stages but the last. run() writes each stage's rows as Parquet in the shared folder and gives the next one
-what it reads there, so a lost executor repeats no finished stage.
+what it reads there, so a lost executor repeats no finished stage. Every stage bounds the bytes of text that Python gets at once, for
+the session.
 """
 
 from __future__ import annotations
@@ -18,12 +19,14 @@ from runlens.llm import common, compression, near_copies, packing, toxicity
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not called toxic. Null and empty texts stay."""
+    common.small_batches(spark)
     model = toxicity.fit(docs, common.table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
     return toxicity.keep(docs, model, threshold=0.5)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are called good. Null and empty texts have no quality and go where calibration puts them."""
+    common.small_batches(spark)
     model = compression.fit(docs, common.table(spark, sf_dir, "labels"), ~compression.held_out(F.col("doc_id")))
     return compression.keep(docs, model, threshold=0.7)
 
@@ -32,11 +35,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies, the one with the smallest id; near copies have a Jaccard
     similarity of five-word shingles of 0.8 or more. Fingerprints within op5's two bits give the first pairs; those of copies
     edited further come from min-hashes and a prefix filter. Every pair is measured on whole texts."""
+    common.small_batches(spark)
     return near_copies.one_of_each(docs, size=5, least=0.8)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document lies in the training sequences."""
+    common.small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 

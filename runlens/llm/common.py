@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import sys
 import tempfile
 import types
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from itertools import filterfalse
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +52,18 @@ def passing(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
 
 
+#: A setting of Spark 4.1; earlier ones ignore it and send 10,000 rows at once, however long.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: int = 1 << 22) -> None:
+    """From now on the session hands Python at most about so many bytes of rows at once: a task holds a batch several times over, in
+    the JVM, in Arrow and as Python strings. A bound that somebody has set stays. It is not put back, as a query is planned only when
+    its caller runs it."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept in the cluster's shared checkpoint folder, so a lost executor loses none of them. The
     shuffles behind them are not read again and go."""
@@ -66,15 +80,30 @@ def held(key, make: Callable):
     return store[key]
 
 
+def tidy() -> None:
+    """Gives back the memory of what nobody refers to. Objects that refer to each other, as a decoder and its memories do, would
+    else stay until Python happens to look for them, and Arrow keeps what it has freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def held_latest(name: str, key, make: Callable):
     """As held(), but a worker keeps only the latest key's value of a name: what stages remember of words does not add up."""
     slot = held(("latest", name), lambda: [None, None])
     if slot[0] != key:
-        slot[:] = None, None
+        forget(name)
         slot[:] = key, make()
     return slot[1]
 
 
+def forget(name: str) -> None:
+    """Lets go what held_latest() keeps under a name, in a worker that goes on with other work."""
+    slot = held(("latest", name), lambda: [None, None])
+    if slot[0] is not None:
+        slot[:] = None, None
+        tidy()
+
+
 class Remembered(dict):
     """What make gives for each short text, the newest and those asked for since: two halves, of which the older goes when the
     newer is full."""

@@ -125,6 +125,7 @@ def scorer(model: dict):
 
     @F.pandas_udf("difference double, score double")
     def quality_score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        common.forget("words")  # of an earlier stage
         for texts in batches:
             x = features(dictionaries, texts.tolist())
             yield pd.DataFrame({"difference": x[:, 0], "score": calibration(x)})

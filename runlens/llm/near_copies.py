@@ -63,6 +63,7 @@ def sketches(rows: DataFrame, size: int, bands: int, deep: int) -> DataFrame:
     """(set, n, fp, bands, doc_id, mark) of rows (doc_id, text, mark): a name of the shingle set, its size, its SimHash, a hash for
     each band."""
     def run(batches):
+        common.forget("words")  # of an earlier stage
         for batch in batches:
             names, sizes, fps, keys = [], [], [], []
             for t in batch["text"]:

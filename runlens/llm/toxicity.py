@@ -311,6 +311,8 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column, per_label: int = 6000
         decoder = Decoder(costs, marks)
         for b in batches:
             yield pd.DataFrame({"h": b["h"], "y": b["y"], "marks": [sorted(decoder.restored(t)) for t in b["text"]]})
+        del decoder
+        common.tidy()
 
     marked = common.cut(sample.select("h", "y", "text").mapInPandas(run, "h long, y int, marks array<string>"))
     sizes = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
