@@ -69,11 +69,18 @@ def sampled_json(docs: DataFrame) -> DataFrame:
     """Shared frame table plus samples as frame-index lists; a missing weight is 1; profiles are merged."""
     d = docs.select("run_id", F.from_json("doc", _SAMPLED).alias("d"))
     names = F.transform("d.shared.frames", lambda f: F.coalesce(F.nullif(f["name"], F.lit("")), F.lit("[unknown]")))
-    prof = d.select("run_id", names.alias("names"), F.explode("d.profiles").alias("p")).where(F.col("p.type") == "sampled")
-    one = prof.select("run_id", "names", "p.weights", F.posexplode("p.samples").alias("i", "ix"))
-    frames = F.transform(F.filter("ix", lambda k: (k >= 0) & (k < F.size("names"))), lambda k: F.get("names", k))
-    weight = F.coalesce(F.get("weights", F.col("i")), F.lit(1.0)).cast("long")
-    return one.select("run_id", frames.alias("frames"), weight.alias("weight")).where(F.size("frames") > 0)
+    sampled = F.filter("d.profiles", lambda p: p["type"] == "sampled")
+    prof = d.select("run_id", names.alias("names"), sampled.alias("ps")).select(
+        "run_id", "names", F.explode_outer("ps").alias("p"))  # the outer form, as the plain one would have the document parsed again
+
+    def stack(ix: Column, i: Column) -> Column:
+        known = F.filter(ix, lambda k: (k >= 0) & (k < F.size("names")))
+        return F.struct(F.transform(known, lambda k: F.get("names", k)).alias("frames"),
+                        F.coalesce(F.get("p.weights", i), F.lit(1.0)).cast("long").alias("weight"))
+
+    # Names are looked up before samples become rows: a row for each sample would carry the whole frame table.
+    stacks = F.transform("p.samples", stack)
+    return prof.select("run_id", F.explode(stacks).alias("s")).select("run_id", "s.frames", "s.weight").where(F.size("frames") > 0)
 
 
 # The parts of a parent-linked profile that are read; other fields of the file are not parsed.

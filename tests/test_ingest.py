@@ -1,6 +1,7 @@
 """Parsers on literal lines."""
 
 import gzip
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -152,6 +153,17 @@ def test_json_profiles(spark):
     assert got == [(["main (app.js:4)"], 20), (["main (app.js:4)", "(anonymous)"], 40)]
 
 
+def test_sampled_profiles_share_frames(spark):
+    """Names are looked up inside the document: no row of a sample carries the frame table or the weights."""
+    doc = ('{"shared":{"frames":[{"name":"main"},{"name":""},{"name":"g"}]},"profiles":[{"type":"sampled","samples":[[0,2],null,[-1,7],[0,1]],"weights":[3,4,5]},'
+           '{"type":"evented","samples":[[0]]},{"samples":[[0]]},null,{"type":"sampled","samples":[[2]],"weights":null},{"type":"sampled"}]}')
+    docs = spark.createDataFrame([("s", doc), ("n", "{}"), ("b", "no json"), ("z", None)], "run_id string, doc string")
+    out = profiles.sampled_json(docs)
+    assert sorted(rows(out, "run_id", "frames", "weight")) == [("s", ["g"], 1), ("s", ["main", "[unknown]"], 1), ("s", ["main", "g"], 3)]
+    samples = next(x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Generate" in x)
+    assert re.search(r"\), \[run_id#\d+\], ", samples), samples
+
+
 def test_lines_keep_file_order_over_many_splits(spark, tmp_path):
     for run in ("a", "b"):
         (tmp_path / f"run_id={run}").mkdir()
