@@ -25,12 +25,8 @@ def own_queries(http: DataFrame, db: DataFrame, db_key: list[str]) -> DataFrame:
     h = http.select(*THREAD, c("span_id").alias("owner_id"), c("start_ns").alias("owner_start"),
                     c("dur_ns").alias("owner_dur"))
     d = db.select(*THREAD, *db_key, "start_ns", "dur_ns")
-    pairs = latest_open(d, "start_ns", h, "owner_start", "owner_dur", THREAD, ["owner_start", "owner_id", "owner_dur"])
-    owner = F.max("o").alias("o")
-    # The query's own key leads: the aggregation sorts, and numbers sort faster than a run's name.
-    return pairs.groupBy(*db_key, "tid", "start_ns", "dur_ns", "run_id").agg(owner).select(
-        *THREAD, *db_key, "start_ns", "dur_ns", c("o.owner_id").alias("owner_id"),
-        c("o.owner_start").alias("owner_start"), c("o.owner_dur").alias("owner_dur"))
+    owned = latest_open(d, "start_ns", h, "owner_start", "owner_dur", THREAD, ["owner_start", "owner_id", "owner_dur"])
+    return owned.select(*THREAD, *db_key, "start_ns", "dur_ns", "o.owner_id", "o.owner_start", "o.owner_dur")
 
 
 def with_db_time(http: DataFrame, owned: DataFrame) -> DataFrame:

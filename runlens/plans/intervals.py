@@ -7,13 +7,16 @@ level that really occurs.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scan import MONO_BLOCK_NS, ordered_scan, prev, running, width_block
 
 BASE_BITS = 27      # 2**27 ns: 134 ms
-CELL_BITS = 24      # 2**24 ns: 17 milliseconds
+CELL_BITS = 33      # 2**33 ns: 9 seconds
 _CELL_STEP = 4
 _CELL_LEVELS = 9
 _STEP_BITS = 3
@@ -58,23 +61,93 @@ def contain_join(points: DataFrame, at: str, spans: DataFrame, start: str, dur:
 
 def latest_open(points: DataFrame, at: str, spans: DataFrame, start: str, dur: str, keys: list[str], best: list[str],
                 base_bits: int = CELL_BITS) -> DataFrame:
-    """Each point with candidates for the greatest `best` (a struct, column `o`) of the spans with start <= at <= start + dur.
+    """Each point with the greatest `best` (a struct, column `o`) of the spans with start <= at <= start + dur; equal points are
+    one, points without an open span are dropped. `best` begins with `start`: the latest-started span is the greatest.
 
-    The greatest candidate of a point is the greatest of all spans open there, but there is no row for each open span: time
-    is a tree of cells, each sixteen times as wide as those below it. A span is written to the few widest cells it covers
-    whole, where only the greatest span matters, and by itself to the one or two smallest cells in which it begins or ends.
-    A point meets one row on each level and the spans that begin or end in its own smallest cell (17 milliseconds). Spans that
-    are all open together, as on the one thread of an event loop, so cost a few rows each, however deep they are nested.
+    A sweep along each key's time, cut into blocks. Points and spans are shuffled once: a point to its block, a span to the one
+    or two blocks it begins and ends in. Of the spans that cover a block whole only the greatest matters (`_over_blocks`), so
+    rows do not grow with the spans open at once. A block is read in order, batch by batch, with the spans still open as state.
+    """
+    if best[0] != start:
+        raise ValueError("`best` must begin with the span's start")
+    t = F.col
+    s, e = t("__t"), t("__e")
+    bits = F.lit(base_bits)
+    rest = [x for x in points.columns if x not in [*keys, at]]
+    p = points.select(*keys, _down(t(at), bits).alias("__block"), t(at).alias("__t"), F.struct(*rest).alias("p"))
+    p = p.where(_all([t(k).isNotNull() for k in [*keys, "__t"]]))
+    own = spans.select(*keys, t(start).alias("__t"), (t(start) + t(dur)).alias("__e"), F.struct(*best).alias("o"))
+    own = own.where(_all([t(k).isNotNull() for k in [*keys, "__t", "__e"]]))
+    edges = own.select(*keys, F.explode(F.array_distinct(F.array(_down(s, bits), _down(e, bits)))).alias("__block"), "__t", "__e", "o")
+    over = _over_blocks(p.select(*keys, "__block").distinct(), own, keys, base_bits).select(*edges.columns)
+    line = edges.unionByName(over).unionByName(p, allowMissingColumns=True).repartition(*keys, "__block").distinct()
+    line = line.sortWithinPartitions(*keys, "__block", "__t", t("__e").isNull(), "o")
+    kinds = T.StructType([*points.schema.fields, T.StructField("o", line.schema["o"].dataType)])
+    return line.mapInArrow(_sweep(keys, at, rest, points.columns), kinds)
+
+
+def _sweep(keys: list[str], at: str, rest: list[str], names: list[str]) -> Callable:
+    """Batches of spans and points in order of time -> the points with the span that is then on top of the open ones."""
+    group = [*keys, "__block"]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ends, owners = [], []  # of the open spans; a later one ends earlier, or the earlier one can own nothing any more
+        held = last = None     # what the open spans of earlier batches give; the group that was read last
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            col = {x: b.column(x) for x in [*group, "__t", "__e", "o", "p"]}
+            first = np.zeros(n, bool)
+            for x in group:
+                first[1:] |= pc.not_equal(col[x].slice(1), col[x].slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            first[0] = last != [col[x][0] for x in group]
+            last = [col[x][n - 1] for x in group]
+            base = len(held) if held is not None else 0
+            where, found = [], []
+            for i, (new, time, end) in enumerate(zip(first.tolist(), col["__t"].to_pylist(), col["__e"].to_pylist())):
+                if new:
+                    ends, owners = [], []
+                if end is None:
+                    while ends and ends[-1] < time:
+                        ends.pop()
+                        owners.pop()
+                    if ends:
+                        where.append(i)
+                        found.append(owners[-1])
+                else:
+                    while ends and ends[-1] <= end:
+                        ends.pop()
+                        owners.pop()
+                    ends.append(end)
+                    owners.append(base + i)
+            known = pa.concat_arrays([held, col["o"]]) if base else col["o"]
+            if where:
+                mine = pa.array(where)
+                given = dict(zip(rest, pc.take(col["p"], mine).flatten())) | {k: pc.take(col[k], mine) for k in keys}
+                given[at] = pc.take(col["__t"], mine)
+                yield pa.RecordBatch.from_arrays([*[given[x] for x in names], pc.take(known, pa.array(found))], names=[*names, "o"])
+            held = pc.take(known, pa.array(owners, pa.int64()))
+            owners = list(range(len(owners)))
+    return run
+
+
+def _over_blocks(blocks: DataFrame, own: DataFrame, keys: list[str], base_bits: int) -> DataFrame:
+    """The greatest of the spans that cover a block whole, for each block where there is one.
+
+    Blocks are the lowest cells of a tree in which each cell is sixteen times as wide as those below it. A span is written to
+    the few widest cells it covers whole, where only the greatest span is kept, and a block meets one row on each level.
     """
     t = F.col
-    s, e = t("__s"), t("__e")
+    s, e = t("__t"), t("__e")
+    levels = min(_CELL_LEVELS, (62 - base_bits) // _CELL_STEP)
     top = F.lit(-1)
-    for n in range(_CELL_LEVELS):
+    for n in range(levels):
         top = F.when(e - s + 1 >= F.lit(1 << (base_bits + _CELL_STEP * n)), n).otherwise(top)
-    own = spans.select(*keys, F.struct(*best).alias("o"), t(start).alias("__s"), (t(start) + t(dur)).alias("__e"))
-
-    def down(x: Column, bits: Column) -> Column:
-        return F.call_function("shiftright", x, bits)
 
     def between(a: Column, b: Column) -> Column:
         return F.when(a < b, F.sequence(a, b - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -83,9 +156,9 @@ def latest_open(points: DataFrame, at: str, spans: DataFrame, start: str, dur: s
         """Cells of level k that the span covers and that lie in no covered cell of the next level."""
         bits, above = (k * _CELL_STEP + base_bits).cast("int"), ((k + 1) * _CELL_STEP + base_bits).cast("int")
         one = F.lit(1).cast("long")
-        first, last = down(s + F.call_function("shiftleft", one, bits) - 1, bits), down(e + 1, bits)
-        inner = down(s + F.call_function("shiftleft", one, above) - 1, above) * (1 << _CELL_STEP)
-        outer = down(e + 1, above) * (1 << _CELL_STEP)
+        first, last = _down(s + F.call_function("shiftleft", one, bits) - 1, bits), _down(e + 1, bits)
+        inner = _down(s + F.call_function("shiftleft", one, above) - 1, above) * (1 << _CELL_STEP)
+        outer = _down(e + 1, above) * (1 << _CELL_STEP)
         # Without a covered cell above, `inner` lies at or beyond `outer`, and the two stretches meet or the second is empty.
         found = F.concat(between(first, F.least(last, inner)), between(F.greatest(inner, outer), last))
         return F.transform(F.when(first < last, found).otherwise(F.array().cast("array<bigint>")),
@@ -93,19 +166,17 @@ def latest_open(points: DataFrame, at: str, spans: DataFrame, start: str, dur: s
 
     covered = F.when(top >= 0, F.flatten(F.transform(F.sequence(F.lit(0), top), cells)))
     # The outer form, as the plain one would have the cells computed once more to filter empty lists.
-    whole = (own.select(*keys, "o", F.explode_outer(covered).alias("cell")).where(t("cell").isNotNull())
-             .groupBy(*keys, t("cell.lv").alias("__lv"), t("cell.bin").alias("__bin")).agg(F.max("o").alias("o"))
-             .withColumns({"__s": F.lit(None).cast("long"), "__e": F.lit(None).cast("long")}))
-    bits = F.lit(base_bits)
-    edges = own.select(*keys, F.lit(-1).alias("__lv"), F.explode(F.array_distinct(F.array(down(s, bits), down(e, bits)))).alias("__bin"),
-                       "o", "__s", "__e")
+    whole = (own.select(*keys, F.struct("o", "__t", "__e").alias("b"), F.explode_outer(covered).alias("cell")).where(t("cell").isNotNull())
+             .groupBy(*keys, t("cell.lv").alias("__lv"), t("cell.bin").alias("__bin")).agg(F.max("b").alias("b")))
     highest = own.select(F.max(top)).scalar()
-    probes = points.withColumn("__lv", F.explode(F.sequence(F.lit(-1), highest))).withColumn(
-        "__bin", down(t(at), (F.greatest(t("__lv"), F.lit(0)) * _CELL_STEP + base_bits).cast("int")))
-    a, b = probes.alias("a"), whole.unionByName(edges).alias("b")
-    same = [t(f"a.{k}") == t(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
-    inside = t("b.__s").isNull() | ((t(at) >= t("b.__s")) & (t(at) <= t("b.__e")))
-    return a.join(b, _all([*same, inside])).select(*[t(f"a.{x}") for x in points.columns], t("b.o"))
+    asked = blocks.withColumn("__lv", F.explode(F.when(highest >= 0, F.sequence(F.lit(0), highest)).otherwise(F.array().cast("array<int>"))))
+    asked = asked.withColumn("__bin", _down(t("__block"), (t("__lv") * _CELL_STEP).cast("int")))
+    met = asked.join(whole, [*keys, "__lv", "__bin"]).groupBy(*keys, "__block").agg(F.max("b").alias("b"))
+    return met.select(*keys, "__block", "b.__t", "b.__e", "b.o")
+
+
+def _down(x: Column, bits: Column) -> Column:
+    return F.call_function("shiftright", x, bits)
 
 
 def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_start: str, r_dur: str,

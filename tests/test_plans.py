@@ -120,6 +120,50 @@ def test_latest_open(spark, bits):
     assert intervals.latest_open(p, "at", s.limit(0), "s0", "sd", ["run", "tid"], ["s0", "sid"]).count() == 0
 
 
+@pytest.mark.parametrize("bits", [6, 9, 40])
+def test_latest_open_gives_a_point_one_row(spark, bits):
+    """One row for each different point that has an owner, whatever batches a block is read in; rows without key or time have none."""
+    rng = random.Random(bits)
+    s = [(rng.choice("rq"), rng.randrange(2), i, rng.randrange(3000), rng.choice([0, 3, 40, 700, 5000, -5])) for i in range(300)]
+    s += [("r", 0, 900, None, 10), ("r", 0, 901, 10, None), (None, 0, 902, 0, 9000), ("r", None, 903, 0, 9000)]
+    p = [(rng.choice("rq"), rng.randrange(2), rng.choice([None, i]), rng.randrange(-50, 4000)) for i in range(500)]
+    p += p[:80] + [("r", 0, 700, None), (None, 0, 701, 50), ("r", None, 702, 50)]
+    spans = spark.createDataFrame(s, "run string, tid long, sid long, s0 long, sd long")
+    points = spark.createDataFrame(p, "run string, tid long, pid long, at long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = intervals.latest_open(points, "at", spans, "s0", "sd", ["run", "tid"], ["s0", "sid", "sd"], base_bits=bits)
+        got = [(r.run, r.tid, r.pid, r.at, tuple(r.o)) for r in found.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for run, tid, pid, at in set(p):
+        if None not in (run, tid, at):
+            o = [(x[3], x[2], x[4]) for x in s if x[:2] == (run, tid) and None not in x and x[3] <= at <= x[3] + x[4]]
+            want += [(run, tid, pid, at, max(o, default=None))] * bool(o)
+    assert sorted(got, key=repr) == sorted(want, key=repr) and len(got) > 200
+
+
+def test_latest_open_shuffles_a_point_once(spark):
+    """Rows that the owner search writes to shuffles: the points and the ends of spans, not a row for each level or candidate."""
+    n = 20_000
+    s = spark.range(n).select(F.lit("r").alias("run"), (F.col("id") % 10).alias("tid"), F.col("id").alias("sid"), (F.col("id") * 10_000_000).alias("s0"),
+                              (F.col("id") * 7919 % 500_000 * 1000).alias("sd"))
+    p = spark.range(4 * n).select(F.lit("r").alias("run"), F.expr("id div 4 % 10").alias("tid"), F.col("id").alias("pid"),
+                                  F.expr("id div 4 * 10000000 + id % 4 * 1000000").alias("at"))
+    found = intervals.latest_open(p, "at", s, "s0", "sd", ["run", "tid"], ["s0", "sid"])
+    plan = found._jdf.queryExecution().executedPlan()
+    found.collect()
+    seen, todo, wrote = set(), [plan.executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())] + ([node.plan()] if "QueryStage" in node.nodeName() else [])
+        if node.nodeName() == "Exchange" and node.id() not in seen:
+            seen.add(node.id())
+            wrote += node.metrics().apply("shuffleRecordsWritten").value()
+    assert 4 * n < wrote < 5.5 * n, wrote
+
+
 def test_nested_spans_make_few_rows_a_point(spark):
     """2,000 requests open at once on one thread: a point meets a row a level and those that begin or end in its cell."""
     n, step = 2_000, 1 << intervals.CELL_BITS
