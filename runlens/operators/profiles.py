@@ -78,15 +78,28 @@ def hot_context(stacks: DataFrame, keys: list[str] = ["run_id"], k: int = 5) ->
         *keys, "functions", "stack", "samples")
 
 
-def thread_flame(spans: DataFrame, thread_stacks: DataFrame) -> DataFrame:
-    """The off-CPU flame of each request's own thread, or of the whole process where that thread has none."""
+def thread_flame(spans: DataFrame, thread_stacks: DataFrame, summary: dict[str, Column] | None = None) -> DataFrame:
+    """The off-CPU flame of each request's own thread, or of the whole process where that thread has none.
+
+    One row per request and node. With `summary`, aggregates over the nodes of a flame, there is one row per request (and its
+    number of `copies`) with these instead: they are taken once a flame, and requests are never multiplied by nodes.
+    """
     own = flame_paths(thread_stacks, ["run_id", "tid"])
-    have = own.select("run_id", "tid").distinct()
     whole = flame_paths(thread_stacks, ["run_id"])
     s = spans.select("run_id", "span_id", "tid")
-    mine = s.join(own, ["run_id", "tid"]).withColumn("tid_unavailable", F.lit(False))
-    fallback = s.join(have, ["run_id", "tid"], "left_anti").join(whole, "run_id").withColumn("tid_unavailable", F.lit(True))
-    return mine.unionByName(fallback)
+    if summary is None:
+        have = own.select("run_id", "tid").distinct()
+        mine = s.join(own, ["run_id", "tid"]).withColumn("tid_unavailable", F.lit(False))
+        fallback = s.join(have, ["run_id", "tid"], "left_anti").join(whole, "run_id").withColumn("tid_unavailable", F.lit(True))
+        return mine.unionByName(fallback)
+    flame = F.struct(*[v.alias(k) for k, v in summary.items()])
+    # Requests are dealt by their id, so what the caller sums up by request needs no further shuffle where flames are broadcast.
+    one = s.repartition("run_id", "span_id").groupBy("run_id", "span_id", "tid").agg(F.count("*").alias("copies"))
+    both = one.join(own.groupBy("run_id", "tid").agg(flame.alias("own")), ["run_id", "tid"], "left").join(
+        whole.groupBy("run_id").agg(flame.alias("whole")), "run_id", "left")
+    return both.where(c("own").isNotNull() | c("whole").isNotNull()).select(
+        "run_id", "span_id", "tid", "copies", F.coalesce("own", "whole").alias("flame"), c("own").isNull().alias("tid_unavailable")).select(
+        "run_id", "span_id", "tid", "copies", "flame.*", "tid_unavailable")
 
 
 def hot_function_findings(stacks: DataFrame, medium: float = HOT_MEDIUM, high: float = HOT_HIGH) -> DataFrame:

@@ -46,3 +46,21 @@ def by(df, key):
 def block(n, col="seq"):
     """Blocks of n order values, so that small inputs cross many block borders."""
     return F.floor(F.col(col) / n).cast("long")
+
+
+def ran(df):
+    """Collects `df`; the nodes of the plan that ran, each once, with their metrics."""
+    plan = df._jdf.queryExecution().executedPlan()
+    df.collect()
+    found, todo = {}, [plan]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        todo += [node.plan()] if "QueryStage" in node.nodeName() else [node.executedPlan()] if node.nodeName() == "AdaptiveSparkPlan" else []
+        found[node.id()] = node
+    return list(found.values())
+
+
+def metric(nodes, kind, name):
+    """Values of a metric of the nodes whose name has `kind` in it."""
+    return [x.metrics().apply(name).value() for x in nodes if kind in x.nodeName()]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.plans import intervals, quantile, scan
 from runlens.plans.topk import top_k
 
-from .helpers import block
+from .helpers import block, metric, ran
 
 
 @pytest.fixture(scope="module")
@@ -152,15 +152,7 @@ def test_latest_open_shuffles_a_point_once(spark):
     p = spark.range(4 * n).select(F.lit("r").alias("run"), F.expr("id div 4 % 10").alias("tid"), F.col("id").alias("pid"),
                                   F.expr("id div 4 * 10000000 + id % 4 * 1000000").alias("at"))
     found = intervals.latest_open(p, "at", s, "s0", "sd", ["run", "tid"], ["s0", "sid"])
-    plan = found._jdf.queryExecution().executedPlan()
-    found.collect()
-    seen, todo, wrote = set(), [plan.executedPlan()], 0
-    while todo:
-        node = todo.pop()
-        todo += [node.children().apply(i) for i in range(node.children().size())] + ([node.plan()] if "QueryStage" in node.nodeName() else [])
-        if node.nodeName() == "Exchange" and node.id() not in seen:
-            seen.add(node.id())
-            wrote += node.metrics().apply("shuffleRecordsWritten").value()
+    wrote = sum(metric(ran(found), "Exchange", "shuffleRecordsWritten"))
     assert 4 * n < wrote < 5.5 * n, wrote
 
 

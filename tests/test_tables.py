@@ -5,9 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.adapters import view
 from runlens.operators import catalog, compare, digest, incidents, ledger, profiles, series, timeline
+from runlens.queries import ingest
 
-from .helpers import block, by, events, metrics, one, rows
+from .helpers import block, by, events, metric, metrics, one, ran, rows
 
 
 def lib(fn, args, ret=None):
@@ -81,6 +83,23 @@ def test_profiles(spark):
     assert {x.span_id: x.tid_unavailable for x in profiles.thread_flame(spans, own).collect()} == {1: False, 2: True}
 
 
+def test_thread_drill_meets_a_flame_once(spark, tmp_path):
+    """The nodes of a flame are summed up before requests meet them: no join gives a row for each request and node."""
+    n = 2000
+    spark.range(n).selectExpr("id % 1990 AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus", "1000.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority").write.parquet(
+        f"{tmp_path}/orders.parquet")
+    spark.range(400).selectExpr("id AS p_partkey", "concat('b', id % 5) AS p_brand", "concat('t', id % 7) AS p_type", "CAST(1 + id % 11 AS INT) AS p_size").write.parquet(
+        f"{tmp_path}/part.parquet")
+    out = ingest.thread_drill(spark, str(tmp_path))
+    joined = metric(ran(out), "Join", "numOutputRows")
+    assert joined and max(joined) <= n
+    stacks = view(spark, str(tmp_path), "stacks").selectExpr("run_id", "weight % 3 AS tid", "split(folded, ';') AS frames", "weight")
+    pairs = profiles.thread_flame(view(spark, str(tmp_path), "http_spans"), stacks)
+    want = pairs.groupBy("span_id", "run_id", "tid_unavailable").agg(F.count("*").alias("nodes"), F.sum("value").alias("value"),
+                                                                     F.min(F.array_join("path", ";")).alias("first_path"))
+    assert sorted(rows(out, *want.columns)) == sorted(rows(want)) and out.count() == 1990
+
+
 @pytest.mark.parametrize("need,width", [(1, 5), (3, 5), (3, 500)])
 def test_rearming_alerts(spark, need, width):
     rng = random.Random(need)
