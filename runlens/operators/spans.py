@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +53,17 @@ def breakdown(http: DataFrame, owned: DataFrame, intervals: DataFrame) -> DataFr
     """
     iv = intervals.select(*THREAD, "kind", "start_ns", "dur_ns", _reason().alias("reason"))
     off = c("kind") == "off"
-    classes = {"off": off, "rq": ~off, **{f"off_{r}": off & (c("reason") == r) for r in names.OFF_REASONS}}
+    by_reason = {f"off_{r}": off & (c("reason") == r) for r in names.OFF_REASONS}
     swept = coverage(http.select(*THREAD, "span_id", "start_ns", "dur_ns"), "span_id", "start_ns", "dur_ns",
-                     iv, "start_ns", "dur_ns", THREAD, classes)
+                     iv, "start_ns", "dur_ns", THREAD, {"rq": ~off, **by_reason})
 
     # Identical intervals stay distinct in the sums through their copy count.
     iv_key = ["i_start", "i_dur", "i_reason"]
-    off_iv = iv.where(off & (c("dur_ns") > 0)).groupBy(
-        *THREAD, c("start_ns").alias("i_start"), c("dur_ns").alias("i_dur"), c("reason").alias("i_reason")
-    ).agg(F.count("*").alias("copies"))
+    off_iv = iv.where(off & (c("dur_ns") > 0)).select(
+        *THREAD, c("start_ns").alias("i_start"), c("dur_ns").alias("i_dur"), c("reason").alias("i_reason"))
     q = owned.where(c("dur_ns") > 0).select(*THREAD, "owner_id", "owner_start", "owner_dur",
                                             c("start_ns").alias("q_start"), c("dur_ns").alias("q_dur"))
-    met = overlap_join(q, "q_start", "q_dur", off_iv, "i_start", "i_dur", THREAD)
+    met = overlap_join(q, "q_start", "q_dur", off_iv, "i_start", "i_dur", THREAD, copies="copies")
     i_end, o_end = c("i_start") + c("i_dur"), c("owner_start") + c("owner_dur")
     per = met.groupBy(*THREAD, "owner_id", "owner_start", "owner_dur", *iv_key, "copies").agg(
         F.sum(overlap(c("i_start"), i_end, c("q_start"), c("q_start") + c("q_dur"))).alias("shared"))
@@ -73,8 +75,8 @@ def breakdown(http: DataFrame, owned: DataFrame, intervals: DataFrame) -> DataFr
     zero = F.lit(0).cast("long")
     full = http.join(swept, [*THREAD, "span_id"], "left").join(waits, [*THREAD, "span_id"], "left").select(
         *[c(n) for n in http.columns], *[F.coalesce(n, zero).alias(n) for n in
-                                         [*classes, "db_wait", *[f"w_{r}" for r in names.OFF_REASONS]]])
-    off_ns = F.least("off", "dur_ns")
+                                         ["rq", *by_reason, "db_wait", *[f"w_{r}" for r in names.OFF_REASONS]]])
+    off_ns = F.least(reduce(add, [c(n) for n in by_reason]), c("dur_ns"))
     rq_ns = F.least(c("rq"), F.greatest(zero, c("dur_ns") - off_ns))
     reasons = F.map_filter(F.map_from_arrays(
         F.array(*[F.lit(r) for r in names.OFF_REASONS]),

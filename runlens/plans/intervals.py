@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scan import MONO_BLOCK_NS, ordered_scan, prev, running, width_block
+from .scan import MONO_BLOCK_NS, width_block
 
 BASE_BITS = 27      # 2**27 ns: 134 ms
 CELL_BITS = 33      # 2**33 ns: 9 seconds
@@ -180,32 +180,34 @@ def _down(x: Column, bits: Column) -> Column:
 
 
 def overlap_join(left: DataFrame, l_start: str, l_dur: str, right: DataFrame, r_start: str, r_dur: str,
-                 keys: list[str], base_bits: int = BASE_BITS) -> DataFrame:
-    """Pairs of intervals that share more than a point, each pair once."""
+                 keys: list[str], base_bits: int = BASE_BITS, copies: str | None = None) -> DataFrame:
+    """Pairs of intervals that share more than a point, each pair once. With `copies`, equal rows of `right` are one row with
+    their number in that column."""
     levels = {side: _levels_in(df, dur, base_bits) for side, df, dur in (("a", left, l_dur), ("b", right, r_dur))}
-    lv, own = F.col("__lv"), F.col("__own")
-
-    def binned(df: DataFrame, start: str, dur: str, level: Column, above: Column) -> DataFrame:
-        out = df.withColumn("__own", _level(F.col(dur), base_bits)).withColumn("__lv", level).where(above)
-        return out.withColumn("__bin", F.explode(F.sequence(
-            _bin(F.col(start), lv, base_bits), _bin(F.col(start) + F.col(dur), lv, base_bits))))
-
-    def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
-        a, b = a.alias("a"), b.alias("b")
-        first = F.greatest(F.col(l_start), F.col(r_start))
-        cond = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in [*keys, "__lv", "__bin"]]
-        # One home per pair: the coarser of the two levels, and there the bin of the later start.
-        cond += [F.col("a.__bin") == _bin(first, F.col("a.__lv"), base_bits),
-                 F.least(F.col(l_start) + F.col(l_dur), F.col(r_start) + F.col(r_dur)) > first]
-        rest = [c for c in right.columns if c not in keys]
-        return a.join(b, _all(cond)).select(*[F.col(f"a.{c}") for c in left.columns], *[F.col(f"b.{c}") for c in rest])
-
-    # One interval of every candidate pair is on its own level, so short ones do not meet in the bins of long ones.
-    own_left = binned(left, l_start, l_dur, own, F.lit(True))
-    own_right = binned(right, r_start, r_dur, own, F.lit(True))
-    at_or_over = binned(left, l_start, l_dur, F.explode(levels["b"]), lv >= own)
-    over = binned(right, r_start, r_dur, F.explode(levels["a"]), lv > own)
-    return pairs(at_or_over, own_right).unionByName(pairs(own_left, over))
+    t = F.col
+    own, x, place = t("__own"), t("__x"), ["__side", "__lv", "__bin"]
+
+    def binned(df: DataFrame, start: str, dur: str, side: int, others: Column, met: Column, alone: Column) -> DataFrame:
+        """The bins of each row on its own level (`__x` -1; where `alone` holds) for `side`, and on levels of the other table."""
+        out = df.withColumn("__own", _level(t(dur), base_bits)).withColumn("__x", F.explode(F.concat(F.array(F.lit(-1)), others)))
+        out = out.where(F.when(x < 0, alone).otherwise(met)).withColumn("__lv", F.when(x < 0, own).otherwise(x))
+        bins = F.sequence(_bin(t(start), t("__lv"), base_bits), _bin(t(start) + t(dur), t("__lv"), base_bits))
+        return out.select(*df.columns, F.when(x < 0, side).otherwise(3 - side).alias("__side"), "__lv", F.explode(bins).alias("__bin"))
+
+    # One interval of every candidate pair is on its own level, so short ones do not meet in the bins of long ones: on side 1 it
+    # is the right one, on side 2, where the left one is the longer, the left one. Each table is binned and shuffled once.
+    a = binned(left, l_start, l_dur, 2, levels["b"], x >= own, own > F.array_min(levels["b"]))
+    b = binned(right, r_start, r_dur, 1, levels["a"], x > own, F.lit(True))
+    rest = [c for c in right.columns if c not in keys]
+    if copies:
+        b = b.repartition(*keys, *place).groupBy(*keys, *place, *rest).agg(F.count("*").alias(copies))
+        rest = [*rest, copies]
+    a, b = a.alias("a"), b.alias("b")
+    first = F.greatest(t(l_start), t(r_start))
+    cond = [t(f"a.{k}") == t(f"b.{k}") for k in [*keys, *place]]
+    # One home per pair: the coarser of the two levels, and there the bin of the later start.
+    cond += [t("a.__bin") == _bin(first, t("a.__lv"), base_bits), F.least(t(l_start) + t(l_dur), t(r_start) + t(r_dur)) > first]
+    return a.join(b, _all(cond)).select(*[t(f"a.{c}") for c in left.columns], *[t(f"b.{c}") for c in rest])
 
 
 def _all(conds: list[Column]) -> Column:
@@ -219,32 +221,66 @@ def coverage(spans: DataFrame, span_id: str, start: str, dur: str, intervals: Da
              keys: list[str], classes: dict[str, Column], block_ns: int = MONO_BLOCK_NS) -> DataFrame:
     """Per span: total length shared with the intervals of each class (overlaps counted once per interval).
 
-    A sweep, not a join: interval ends are +1/-1 steps, the area under the step curve is a running sum, and a span's
-    share is the area at its end minus the area at its start. Work is a sort, however many intervals a span covers.
+    A sweep, not a join: interval ends are steps of +1 and -1, and the area under the step curve up to a time x is the sum of
+    step * (x - its time); a span's share is the area at its end minus the area at its start. Work is a sort, however many
+    intervals a span covers. Rows are shuffled once, whole, to the one or two blocks they begin and end in and become steps and
+    marks there; a block begins with what the blocks before it have left open and their area. Times are counted from the block's
+    beginning, so sums stay as small as areas.
     """
     names = list(classes)
-    zero = F.lit(0).cast("long")
     t = F.col
-    steps = intervals.where(t(i_dur) > 0).select(
-        *keys, F.explode(F.array(
-            F.struct(t(i_start).alias("t"), F.lit(1).cast("long").alias("s")),
-            F.struct((t(i_start) + t(i_dur)).alias("t"), F.lit(-1).cast("long").alias("s")))).alias("p"),
-        *[F.when(c, 1).otherwise(0).cast("long").alias(f"__k_{n}") for n, c in classes.items()])
-    # Equal instants of one thread collapse here, which also combines map-side.
-    steps = steps.groupBy(*keys, t("p.t").alias("__t")).agg(
-        *[F.sum(t("p.s") * t(f"__k_{n}")).alias(f"__d_{n}") for n in names])
-    marks = spans.select(*keys, F.explode(F.array(
-        F.struct(t(start).alias("t"), F.lit(-1).alias("sign"), t(span_id).alias("id")),
-        F.struct((t(start) + t(dur)).alias("t"), F.lit(1).alias("sign"), t(span_id).alias("id")))).alias("p"))
-    marks = marks.select(*keys, t("p.t").alias("__t"), t("p.sign").alias("__sign"), t("p.id").alias("__id"),
-                         *[zero.alias(f"__d_{n}") for n in names])
-    line = (steps.withColumn("__sign", F.lit(0)).withColumn("__id", F.lit(None).cast(spans.schema[span_id].dataType))
-            .unionByName(marks))
-    order, block = ["__t", "__sign", "__id"], width_block("__t", block_ns)
-    active = ordered_scan(line, keys, order, block, shared=True, __prev=prev("__t"),
-                          **{f"__a_{n}": running(t(f"__d_{n}")) for n in names})
-    gap = t("__t") - F.coalesce(t("__prev.__t"), t("__t"))
-    grown = active.select(*keys, *order, *[((t(f"__a_{n}") - t(f"__d_{n}")) * gap).alias(f"__g_{n}") for n in names])
-    area = ordered_scan(grown, keys, order, block, shared=True, **{f"__f_{n}": running(t(f"__g_{n}")) for n in names})
-    return (area.where(t("__id").isNotNull()).groupBy(*keys, t("__id").alias(span_id))
-            .agg(*[F.sum(t("__sign") * t(f"__f_{n}")).alias(n) for n in names]))
+    begin = t("__block") * F.lit(block_ns)
+    known = _all([t(k).isNotNull() for k in [*keys, "__block"]])
+
+    def dealt(df: DataFrame, *cols: str) -> DataFrame:
+        """Rows from `__s` to `__e` in the blocks of both, with each end, as `__a` and `__b` from the block's beginning, only in its own."""
+        first, last = width_block("__s", block_ns), width_block("__e", block_ns)
+        return df.withColumn("__block", F.explode(F.array_distinct(F.array(first, last)))).where(known).select(
+            *keys, "__block", F.when(first == t("__block"), t("__s") - begin).alias("__a"),
+            F.when(last == t("__block"), t("__e") - begin).alias("__b"), *cols)
+
+    mask = F.lit(0)
+    for i, c in enumerate(classes.values()):
+        mask = mask + F.when(c, 1 << i).otherwise(0)
+    inter = dealt(intervals.where(t(i_dur) > 0).select(*keys, t(i_start).alias("__s"), (t(i_start) + t(i_dur)).alias("__e"), mask.alias("__k"))
+                  .where("__k > 0"), "__k")
+    marks = dealt(spans.where(t(span_id).isNotNull()).select(*keys, t(start).alias("__s"), (t(start) + t(dur)).alias("__e"),
+                                                              t(span_id).alias("__id")), "__id")
+
+    def has(i: int) -> Column:
+        return t("__k").bitwiseAND(1 << i) > 0
+
+    up, down = t("__a").isNotNull().cast("long"), t("__b").isNotNull().cast("long")
+    moved = F.coalesce(t("__a"), F.lit(0)) - F.coalesce(t("__b"), F.lit(0))
+    each = inter.unionByName(marks.select(*keys, "__block").distinct(), allowMissingColumns=True).groupBy(*keys, "__block").agg(
+        *[F.coalesce(F.sum(F.when(has(i), up - down)), F.lit(0)).alias(f"__n{i}") for i in range(len(names))],
+        *[F.coalesce(F.sum(F.when(has(i), moved)), F.lit(0)).alias(f"__m{i}") for i in range(len(names))])
+    key = Window.partitionBy(*keys)
+    before = key.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    since = begin - F.min(begin).over(key)
+    at = each.withColumn("__since", since)
+
+    def so_far(x: Column) -> Column:
+        return F.coalesce(F.sum(x).over(before), F.lit(0))
+
+    open_, area = [so_far(t(f"__n{i}")) for i in range(len(names))], [
+        t("__since") * so_far(t(f"__n{i}")) - so_far(t(f"__n{i}") * t("__since") + t(f"__m{i}")) for i in range(len(names))]
+    left = at.select(*keys, "__block", F.array(*open_).alias("__open"), F.array(*area).alias("__area"))
+    left = left.where(F.exists("__open", lambda x: x != 0) | F.exists("__area", lambda x: x != 0))
+
+    line = inter.unionByName(marks, allowMissingColumns=True).unionByName(left, allowMissingColumns=True).repartition(*keys, "__block")
+    side = F.when(t("__id").isNull(), 1).otherwise(-1).cast("long")  # a span's area is that at its end less that at its start
+    ends = F.array(F.struct(t("__a").alias("x"), side.alias("sign")), F.struct(t("__b").alias("x"), (-side).alias("sign")),
+                   F.struct(F.when(t("__open").isNotNull(), F.lit(-1 << 62)).alias("x"), F.lit(0).cast("long").alias("sign")))
+    steps = line.withColumn("__p", F.explode(F.filter(ends, lambda p: p["x"].isNotNull()))).select(
+        *keys, "__block", "__id", t("__p.x").alias("__x"), t("__p.sign").alias("__sign"), "__k", "__open", "__area")
+    upto = Window.partitionBy(*keys, "__block").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+
+    def shared(i: int) -> Column:
+        n = F.when(has(i), t("__sign")).when(t("__open").isNotNull(), F.get("__open", F.lit(i)))
+        m = F.when(has(i), t("__sign") * t("__x")).when(t("__open").isNotNull(), -F.get("__area", F.lit(i)))
+        zero = F.lit(0).cast("long")
+        return t("__x") * F.sum(F.coalesce(n, zero)).over(upto) - F.sum(F.coalesce(m, zero)).over(upto)
+
+    found = steps.select(*keys, "__id", "__x", "__sign", *[shared(i).alias(f"__f{i}") for i in range(len(names))]).where(t("__id").isNotNull())
+    return found.groupBy(*keys, t("__id").alias(span_id)).agg(*[F.sum(t("__sign") * t(f"__f{i}")).alias(n) for i, n in enumerate(names)])

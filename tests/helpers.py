@@ -62,5 +62,6 @@ def ran(df):
 
 
 def metric(nodes, kind, name):
-    """Values of a metric of the nodes whose name has `kind` in it."""
-    return [x.metrics().apply(name).value() for x in nodes if kind in x.nodeName()]
+    """Values of a metric of the nodes whose name has `kind` in it; copies of a node share theirs, which counts once."""
+    found = [x.metrics().apply(name) for x in nodes if kind in x.nodeName() and x.metrics().contains(name)]
+    return list({m.id(): m.value() for m in found}.values())

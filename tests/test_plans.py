@@ -185,6 +185,51 @@ def test_overlap_join_and_coverage(spark):
         assert sums[x[2]] == (sum(v for v, i in parts if i % 2 == 0), sum(v for v, _ in parts))
 
 
+@pytest.mark.parametrize("width", [7, 100, 10**9])
+def test_coverage_over_blocks(spark, width):
+    """Intervals that stay open over many blocks, blocks with marks only, times below zero, equal intervals, rows without times."""
+    rng = random.Random(width)
+    spans = [("r", rng.randrange(2), i, rng.randrange(-400, 900), rng.choice([0, 1, 30, 400])) for i in range(150)]
+    inter = [("r", rng.randrange(2), i % 40, rng.randrange(-500, 800), rng.choice([0, 1, 9, 60, 900])) for i in range(80)]
+    inter += inter[:9] + [("r", 0, 1, None, 50), ("r", 0, 1, 50, None), (None, 0, 1, 0, 50), ("r", None, 1, 0, 50)]
+    a = spark.createDataFrame(spans + [(None, 0, 900, 5, 5), ("r", 0, None, 5, 5), ("r", 0, 901, None, 5)], "run string, tid long, aid long, a0 long, ad long")
+    b = spark.createDataFrame(inter, "run string, tid long, bid long, b0 long, bd long")
+    cov = intervals.coverage(a, "aid", "a0", "ad", b, "b0", "bd", ["run", "tid"], {"even": F.col("bid") % 2 == 0, "none": F.lit(None).cast("boolean"), "all": F.lit(True)}, width)
+    got = {r.aid: (r.even, r["none"], r["all"]) for r in cov.collect()}
+
+    def total(x, even):
+        return sum(max(0, min(x[3] + x[4], y[3] + y[4]) - max(x[3], y[3])) for y in inter if None not in y and y[1] == x[1] and not (even and y[2] % 2))
+
+    assert {x[2]: got[x[2]] for x in spans} == {x[2]: (total(x, True), 0, total(x, False)) for x in spans}
+
+
+def test_coverage_and_overlap_shuffle_rows_once(spark):
+    """Intervals go to a shuffle once, not as steps, scanned steps and areas; queries once, not once for each kind of pair."""
+    n = 20_000
+    a = spark.range(n).selectExpr("concat('r', id % 2) AS run", "id % 10 AS tid", "id AS aid", "id * 10000000 AS a0", "id * 7919 % 500000 * 1000 AS ad")
+    b = spark.range(4 * n).selectExpr("concat('r', id div 4 % 2) AS run", "id div 4 % 10 AS tid", "id AS bid", "id div 4 * 10000000 + id % 4 * 1000000 AS b0", "(1 + id % 9) * 1000000 AS bd")
+    cov = intervals.coverage(a, "aid", "a0", "ad", b, "b0", "bd", ["run", "tid"], {"even": F.col("bid") % 2 == 0})
+    assert sum(metric(ran(cov), "Exchange", "shuffleRecordsWritten")) < 8 * n
+    left = b.selectExpr("run", "tid", "bid AS cid", "b0 + 5 AS c0", "bd AS cd")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        met = intervals.overlap_join(left, "c0", "cd", b, "b0", "bd", ["run", "tid"], copies="n")
+        assert sum(metric(ran(met), "Exchange", "shuffleRecordsWritten")) < 9 * n
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("bits", [0, 3, 12])
+def test_overlap_of_copies(spark, bits):
+    left, right = _intervals(bits, 90, 5000, 3000), _intervals(7, 120, 5000, 900)
+    right += right[:30] + right[:10]
+    a = spark.createDataFrame(left, "run string, tid long, aid long, a0 long, ad long")
+    b = spark.createDataFrame(right, "run string, tid long, bid long, b0 long, bd long")
+    got = sorted((r.aid, r.bid, r.n) for r in intervals.overlap_join(a, "a0", "ad", b, "b0", "bd", ["run", "tid"], base_bits=bits, copies="n").collect())
+    want = sorted((x[2], y[2], right.count(y)) for x in left for y in set(right) if x[1] == y[1] and min(x[3] + x[4], y[3] + y[4]) > max(x[3], y[3]))
+    assert got == want and len(got) > 200
+
+
 def test_overlap_candidates_grow_with_rows(spark):
     """One long interval on another thread changes neither the result nor how many pairs are looked at."""
     def candidates(n, long):
